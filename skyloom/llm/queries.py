@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, secrets, sharding
 
 QUERIES = {
+    "op4_maglev_sharding": sharding.op4_maglev_sharding,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLES = {
+    "op4_maglev_sharding": sharding.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
