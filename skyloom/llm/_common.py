@@ -141,3 +141,13 @@ def slices(offsets: np.ndarray, most: int = 4 << 20):
         j = max(int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1, i + 1)
         yield i, min(j, n)
         i = j
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that no returned DataFrame reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
