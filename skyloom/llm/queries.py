@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, sharding, token_output
+from . import packing, quality, secrets, sharding, token_output
 
 QUERIES = {
+    "op7_retrieval_packing": packing.op7_retrieval_packing,
     "op3_token_output": token_output.op3_token_output,
     "op4_maglev_sharding": sharding.op4_maglev_sharding,
     "op6_secret_scan": secrets.op6_secret_scan,
