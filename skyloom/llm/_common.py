@@ -58,7 +58,9 @@ def _power_table(base: np.uint64, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         m = max(n, _BLOCK + 4096)
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate(([1], np.full(m - 1, base, np.uint64))).astype(np.uint64))
+            have = np.full(m, base, np.uint64)
+            have[0] = 1
+            have = np.cumprod(have, dtype=np.uint64)
         if m <= 2 * _BLOCK:
             _powers[int(base)] = have
     return have

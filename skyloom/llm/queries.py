@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, quality, secrets, sharding, token_output
+from . import licenses, near_dup, packing, quality, secrets, sharding, token_output
 
 QUERIES = {
+    "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
     "op8_license_scan": licenses.op8_license_scan,
     "op7_retrieval_packing": packing.op7_retrieval_packing,
     "op3_token_output": token_output.op3_token_output,
