@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, near_dup, packing, quality, secrets, sharding, token_output
+from . import html_text, licenses, near_dup, packing, quality, secrets, sharding, token_output
 
 QUERIES = {
+    "op1_main_text": html_text.op1_main_text,
     "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
     "op8_license_scan": licenses.op8_license_scan,
     "op7_retrieval_packing": packing.op7_retrieval_packing,
