@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, licenses, near_dup, packing, quality, secrets, sharding, token_output
+from . import decontam, html_text, licenses, near_dup, packing, quality, secrets, sharding, token_output
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op1_main_text": html_text.op1_main_text,
     "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
     "op8_license_scan": licenses.op8_license_scan,
