@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, licenses, near_dup, packing, quality, secrets, sharding, token_output
+from . import decontam, html_text, licenses, line_dedup, near_dup, packing, quality, secrets, sharding, token_output
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op2_decontamination": decontam.op2_decontamination,
     "op1_main_text": html_text.op1_main_text,
     "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLES = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op4_maglev_sharding": sharding.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
