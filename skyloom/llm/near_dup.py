@@ -18,7 +18,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import SPACE_WORD, column_bytes, discard, id_text, lower_ascii, mix64, new_path, saved, slices, table, word_bounds, word_hashes
@@ -314,5 +314,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS) -> D
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+    """``docs`` with one document of each component: its least doc_id, and of rows that repeat it, one.
+
+    Rows with a null doc_id all stay.
+    """
+    kept = near_duplicates(docs, percent, words).where("kept and doc_id is not null").select("doc_id").distinct()
+    out = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    out = out.withColumn("__place", place).where("__place = 1")
+    return out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
