@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -21,6 +21,7 @@ EDITS = 2
 LEAST_CHARS = 20
 #: Letters counted for the filter, six bits each; an edit changes the counts by two together at most.
 LETTERS = "etaonirshd"
+SHORTER = 6 * len(LETTERS)
 _SPACES = "".join(chr(i) for i in range(128) if not SPACE_WORD[i])
 
 
@@ -61,36 +62,36 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != F.lit(""))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 1): the last ``length % parts`` have one more."""
-    base, more = F.floor(length / parts).cast("int"), length % parts
-    long_before = F.greatest(F.lit(i - 1) - (parts - more), F.lit(0))
-    return base * (i - 1) + long_before + 1, base + (F.lit(i) > parts - more).cast("int")
+def _specs(rows: list[tuple[int, int, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in rows])).alias("spec")
 
 
-def _key(length: Column, i: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), part)
+def index_specs(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(length difference, segment, shift) of a line's own segments."""
+    return [(0, i, 0) for i in range(1, edits + 2)]
 
 
-def index_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    out = []
-    for i in range(1, edits + 2):
-        start, size = _segment(n, i, edits + 1)
-        out.append(_key(n, i, F.substring(line, start, size)))
-    return F.array(*out)
+def probe_specs(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """The substrings that may equal a segment of a line as long or up to ``edits`` shorter, with the bounds from both ends."""
+    return [
+        (less, i, shift)
+        for less in range(edits + 1)
+        for i in range(1, edits + 2)
+        for shift in range(max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i)) + 1)
+    ]
 
 
-def probe_keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """Keys of the substrings that may equal a segment of a line as long or up to ``edits`` shorter."""
-    out = []
-    for less in range(edits + 1):
-        other = n - less
-        for i in range(1, edits + 2):
-            start, size = _segment(other, i, edits + 1)
-            for shift in range(max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i)) + 1):
-                at = start + shift
-                out.append(F.when((at >= 1) & (at + size - 1 <= n), _key(other, i, F.substring(line, at, size))))
-    return F.array(*out)
+def segment_keys(lines: DataFrame, specs: list[tuple[int, int, int]], edits: int = EDITS) -> DataFrame:
+    """(key, id, letters): hashes of (length, segment number, substring); bit SHORTER of letters tells probes of shorter lines. The last ``length % parts`` segments have one more character."""
+    parts, i = edits + 1, F.col("spec.i")
+    t = lines.select("id", "letters", "line", "n", _specs(specs))
+    t = t.withColumn("other", F.col("n") - F.col("spec.less"))
+    t = t.withColumns({"base": F.floor(F.col("other") / parts).cast("int"), "short": parts - F.col("other") % parts})
+    t = t.withColumns({"at": F.col("base") * (i - 1) + F.greatest(i - 1 - F.col("short"), F.lit(0)) + 1 + F.col("spec.shift"), "size": F.col("base") + (i > F.col("short")).cast("int")})
+    t = t.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+    key = F.xxhash64("other", i, F.substring(F.col("line"), F.col("at"), F.col("size")))
+    shorter = F.shiftleft((F.col("spec.less") > 0).cast("long"), SHORTER)
+    return t.select(key.alias("key"), "id", F.col("letters").bitwiseOR(shorter).alias("letters"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -110,11 +111,29 @@ def letters_apart(a: Column, b: Column) -> Column:
     return total
 
 
+#: Bits of a membership filter: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def maybe_among(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``among``: false only where ``column`` is surely none of ``keys``.
+
+    A bitmap of hashed keys is broadcast, so rows aren't moved to find the few that a join needs.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(7)), F.lit(FILTER_BITS).cast("long"))
+    bits = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("__bits"))
+    spot = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(column)) == F.col("__bucket"), "left")
+    return joined.select(*rows.columns, F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False)).alias("among"))
+
+
 def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), text).alias("k"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(_SPACES)))
-    return rows.withColumn("n", F.length("line")).where(F.col("n") >= least_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    rows = rows.where(F.octet_length("line") >= least_chars).withColumn("line", F.btrim("line", F.lit(_SPACES)))
+    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
+    return rows.withColumns({"id": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "letters": letter_counts(F.col("line"))})
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -123,30 +142,38 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
     ``k`` tells apart rows with the same doc_id and other texts. Rows that repeat doc_id and text are the same
     document: their lines are no copies of one another. Null doc_ids come first.
     """
-    lines = _lines(docs, least_chars)
-    where = F.struct("doc_id", "k", "line_no")
-    distinct = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct(where.alias("at"), F.col("line"))).alias("first"), F.count(F.lit(1)).alias("copies"))
-    distinct = distinct.select("h1", "h2", "n", "copies", F.col("first.at").alias("at"), F.col("first.line").alias("line"))
-    distinct = saved(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-
-    keyed = distinct.select("id", "n", "line", letter_counts(F.col("line")).alias("letters"))
-    index = keyed.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("a"), F.col("letters").alias("la"))
-    probes = keyed.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("id").alias("b"), F.col("letters").alias("lb"))
-    alike = (F.col("a") != F.col("b")) & (letters_apart(F.col("la"), F.col("lb")) <= 2 * edits)
-    pairs = index.join(probes.where("key is not null"), (index["key"] == probes["key"]) & alike)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    text = distinct.select("id", "line", "at")
-    left = text.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("at").alias("at_a"))
-    right = text.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("at").alias("at_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    lines = saved(_lines(docs, least_chars), "lines", dictionary=False)
+    at = F.struct("doc_id", "k", "line_no")
+    same_line = ["id", "h2", "n"]
+    copied = saved(lines.groupBy(*same_line).agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "line-copies")
+
+    # one row a distinct line: those without a copy as they are, the rest grouped
+    text = maybe_among(lines.select(*same_line, "line", "letters"), "id", copied, "id")
+    grouped = text.where("among").groupBy(*same_line).agg(F.min("line").alias("line"), F.min("letters").alias("letters"))
+    distinct = text.where("not among").drop("among").unionByName(grouped)
+
+    index = segment_keys(distinct, index_specs(edits), edits).select("key", F.col("id").alias("a"), F.col("letters").alias("la"))
+    probes = segment_keys(distinct, probe_specs(edits), edits).select("key", F.col("id").alias("b"), F.col("letters").alias("lb"))
+    # lines of one length meet twice: once is enough
+    alike = ((F.col("a") < F.col("b")) | (F.getbit("lb", F.lit(SHORTER)) == 1)) & (letters_apart(F.col("la"), F.col("lb")) <= 2 * edits)
+    pairs = index.join(probes, (index["key"] == probes["key"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = saved(pairs, "line-pairs")
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    found = maybe_among(lines, "id", wanted, "id").where("among")
+    found = found.groupBy(*same_line).agg(F.min(F.struct(at.alias("at"), F.col("line"))).alias("x")).select(*same_line, "x.at", "x.line")
+    side = lambda s: found.select(*[F.col(c).alias(f"{c}_{s}") for c in (*same_line, "at", "line")])
+    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
     same = let(chars(F.col("line_a")), lambda x: let(chars(F.col("line_b")), lambda y: near_equal(x, y, edits)))
-    later = F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a"))
-    near = both.where(same).select(later.alias("id")).distinct().withColumn("near", F.lit(True))
-
-    marked = distinct.select("id", "h1", "h2", "n", "at", "copies").join(near, "id", "left")
-    marked = marked.where("near or copies > 1").select("h1", "h2", "n", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    hits = lines.select("doc_id", "k", "line_no", "h1", "h2", "n").join(marked, ["h1", "h2", "n"])
-    first = F.struct("doc_id", "k", "line_no") == F.col("at")
+    later = F.col("at_a") > F.col("at_b")
+    # the built-in distance, cut off at the bound, spares the automaton most of the pairs
+    both = both.where(F.levenshtein("line_a", "line_b", edits) >= 0)
+    near = both.where(same).select(*[F.when(later, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in (*same_line, "at")]).distinct()
+
+    marked = near.withColumn("near", F.lit(True)).unionByName(copied.withColumn("near", F.lit(False)))
+    marked = saved(marked.groupBy(*same_line, "at").agg(F.bool_or("near").alias("near")), "line-marks")
+    hits = maybe_among(lines.select("doc_id", "k", "line_no", *same_line), "id", marked, "id").where("among").join(marked, same_line)
+    first = at == F.col("at")
     # a first place is dropped only for a near-equal line before it
     return hits.where(F.col("near") | ~first).select("doc_id", "k", "line_no", (F.col("near") & first).alias("near")).distinct()
 
