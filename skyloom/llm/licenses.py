@@ -80,7 +80,29 @@ class Finder:
             for a, b in spans:
                 for m in self.patterns[i].finditer(text, a, b):
                     found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(found, key=lambda x: (x[1], x[0]))
+        return [x for run in _runs(sorted(found, key=lambda x: (x[1], x[2], x[0]))) for x in self._closest(run)]
+
+    def _closest(self, run: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Of matches that overlap, the one with the smallest share of edits stays, then the longest."""
+        kept: list[tuple[int, int, int, int]] = []
+        for x in sorted(run, key=lambda x: (x[3] / len(self.notices[x[0]][0]), x[1] - x[2], x)):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+                kept.append(x)
+        return sorted(kept, key=lambda x: x[1])
+
+
+def _runs(found: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Matches, sorted by start, in runs that overlap one another."""
+    run: list[tuple[int, int, int, int]] = []
+    end = 0
+    for x in found:
+        if run and x[1] >= end:
+            yield run
+            run = []
+        end = max(x[2], end) if run else x[2]
+        run.append(x)
+    if run:
+        yield run
 
 
 _PHRASES = {p: re.compile(f"(?<![^ ]){p}(?![^ ])") for p in BASE}

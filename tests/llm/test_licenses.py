@@ -54,5 +54,10 @@ def test_span_words(spark):
     assert r.spans == "mit:2:7:1" and r.labels == "mit" and 0.9 < r.score < 1
 
 
+def test_the_closest_of_like_notices_is_reported(spark):
+    (r,) = licenses.scan(frame(spark, ["Licensed under CC BY-NC 4.0."])).collect()
+    assert (r.base_labels, r.labels, r.spans, r.score) == ("cc-by", "cc-by,cc-by-nc-4.0", "cc-by-nc-4.0:0:7:0", 1.0)
+
+
 def test_empty_table(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
