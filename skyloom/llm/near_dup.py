@@ -328,3 +328,13 @@ def keep_one(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFram
 
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]'), lambda x: x <> '') as w from documents),
+h as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from d),
+s as (select doc_id, len(g) as n, unnest(g) as g from h),
+link as (select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select doc_id, doc_id as root from documents union select link.y, reach.root from reach join link on link.x = reach.doc_id)
+select h.doc_id, len(g) as n_shingles, c.component_id, h.doc_id = c.component_id as kept from h join (select doc_id, min(root) as component_id from reach group by doc_id) c using (doc_id)
+"""

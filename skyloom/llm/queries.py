@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLES = {
+    "op10_minhash_near_dup": near_dup.OP10_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op4_maglev_sharding": sharding.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
