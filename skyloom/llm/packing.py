@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import mix64, saved, table
+from ._common import id_text, mix64, saved, table
 
 WINDOW = 4096
-#: Rests of documents a shard: at most 4096 ids each, so under 40 MB.
-SHARD_ROWS = 4096
+#: Rests of documents a shard: at most 4096 ids each, so under 10 MB. A seed is scored against its whole shard.
+SHARD_ROWS = 1024
 K1, B = 1.2, 0.75
 NEIGHBOURS = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,22 +40,8 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
 
 
-def _document_counts(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            total[np.unique(np.frombuffer(x.as_buffer(), "<u2"))] += 1
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-
-def idf(ids: DataFrame, n_docs: int) -> np.ndarray:
-    """BM25 idf of each id from counts over all documents; the vocabulary bounds what reaches the driver."""
-    df = np.zeros(1 << 16)
-    for r in ids.select("ids").mapInArrow(_document_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        df[r["id"]] = r["n"]
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """BM25 idf of each id from counts over all documents."""
     return np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
@@ -75,10 +61,18 @@ class Shard:
         order = np.argsort(flat, kind="stable")
         self.owner, self.score = np.concatenate(owner)[order], np.concatenate(score)[order]
         self.ends = np.searchsorted(flat[order], np.arange((1 << 16) + 1))
-        self.unused = np.ones(len(docs), bool)
+        self.unused, self.listed = np.ones(len(docs), bool), len(docs)
+
+    def _forget_used(self) -> None:
+        """Take documents in use out of the postings, once they are half of them."""
+        keep = self.unused[self.owner]
+        self.ends = np.concatenate(([0], np.cumsum(keep)))[self.ends]
+        self.owner, self.score, self.listed = self.owner[keep], self.score[keep], int(np.count_nonzero(self.unused))
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Best unused documents by BM25 of the seed's terms, best first; ties by place."""
+        if 2 * np.count_nonzero(self.unused) < self.listed:
+            self._forget_used()
         t = self.terms[seed]
         lo, n = self.ends[t], self.ends[t + 1] - self.ends[t]
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -126,6 +120,30 @@ class Shard:
             yield window
 
 
+ENCODED = "doc_id long, n_tokens long, crcs array<long>, rest binary, counts binary"
+
+
+def _encode(path: str):
+    """Per document its number of ids, the checksums of its full windows and the ids after them; then a row of document counts."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(1 << 16, np.int64)
+        names = [x.split()[0] for x in ENCODED.split(", ")]
+        for doc_ids, ids, at in tokens.encoded(batches, path):
+            crcs, rest = [], []
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                total[np.unique(ids[x:y])] += 1
+                z = y - (y - x) % WINDOW
+                crcs.append([_crc(ids[a : a + WINDOW]) for a in range(x, z, WINDOW)])
+                rest.append(ids[z:y].astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(at)), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.nulls(len(rest), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())], pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row a piece, as ``PIECES`` says: every id of every row lies in one piece, a sequence has at most 4096.
 
@@ -133,17 +151,11 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     own. An empty table gives no rows. Nothing is dropped: a document of any length is cut into windows.
     """
     spark = docs.sparkSession
-    ids = saved(tokens.id_table(docs, tokenizer), "packing-ids")
+    made = saved(id_text(docs).mapInArrow(_encode(tokenizer), ENCODED), "packing-ids")
+    ids = made.where("n_tokens is not null")
     total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.count_if(F.col("n_tokens") % WINDOW > 0).alias("r")).first()
     n_docs, mean = total["n"], (total["t"] or 0) / max(total["n"], 1)
-    weights = idf(ids, n_docs)
-    shared = spark.sparkContext.broadcast(weights)  # 65,536 numbers
-
-    def full(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for doc_id, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                x = np.frombuffer(raw.as_buffer(), "<u2")
-                yield _batch([(doc_id, a, WINDOW, _crc(x[a : a + WINDOW]), n, 0, 0) for a in range(0, n // WINDOW * WINDOW, WINDOW)])
+    shared = spark.sparkContext.broadcast(idf(tokens.counts_of(made), n_docs))  # 65,536 numbers
 
     def rests(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -151,10 +163,9 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         w = np.maximum(shared.value.astype(np.float64), 1e-6) ** 2
         draw = [-np.log((mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54) / w for s in (1, 2)]
         for batch in batches:
-            n = batch.column(1).to_pylist()
-            rest = [np.frombuffer(raw.as_buffer(), "<u2")[k // WINDOW * WINDOW :] for raw, k in zip(batch.column(2), n)]
+            rest = [np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column(2)]
             keys = [pa.array([int(x[np.argmin(d[x])]) for x in rest], pa.int32()) for d in draw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in rest], pa.binary()), *keys], ["doc_id", "doc_tokens", "ids", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], ["doc_id", "doc_tokens", "ids", "k1", "k2"])
 
     def fill(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
@@ -181,8 +192,10 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         yield _batch(out)
 
     shards = max(1, math.ceil((total["r"] or 0) / SHARD_ROWS))
-    long = ids.where(F.col("n_tokens") >= WINDOW).mapInArrow(full, PIECES).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1)
-    short = ids.where(F.col("n_tokens") % WINDOW > 0).mapInArrow(rests, "doc_id long, doc_tokens long, ids binary, k1 int, k2 int")
+    window = F.lit(WINDOW).cast("long")
+    long = ids.where(F.col("n_tokens") >= WINDOW).select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.posexplode("crcs").alias("place", "ids_crc32"))
+    long = long.select("doc_id", (F.col("place") * window).alias("start"), window.alias("length"), "ids_crc32", "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = ids.where(F.col("n_tokens") % WINDOW > 0).select("doc_id", "n_tokens", "rest").mapInArrow(rests, "doc_id long, doc_tokens long, ids binary, k1 int, k2 int")
     short = short.repartitionByRange(shards, "k1", "k2", "doc_id").sortWithinPartitions("k1", "k2", "doc_id", F.crc32("ids"))
     return long.unionByName(short.select("doc_id", "doc_tokens", "ids").mapInArrow(fill, PIECES))
 

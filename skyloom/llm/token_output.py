@@ -51,18 +51,18 @@ def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
 
 
 def codes_of(lengths: np.ndarray) -> np.ndarray:
-    """Canonical codes, left-aligned in 16 bits."""
-    codes, at = np.zeros(len(lengths), np.uint32), 0
+    """Canonical codes, as numbers of ``lengths`` bits."""
+    codes = np.zeros(len(lengths), np.uint64)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    steps = (1 << (MAX_BITS - lengths[order].astype(np.int64))).astype(np.int64)
-    codes[order] = np.cumsum(steps) - steps + at
-    return codes.astype(np.uint16)
+    size = lengths[order].astype(np.int64)
+    steps = 1 << (MAX_BITS - size)
+    codes[order] = (np.cumsum(steps) - steps) >> (MAX_BITS - size)
+    return codes
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Id and code length for each value of the next 16 bits."""
-    codes = codes_of(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     ids, size = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.int64)
@@ -70,24 +70,28 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         span = 1 << (MAX_BITS - lengths[order].astype(np.int64))
         ids[: span.sum()] = np.repeat(order, span)
         size[: span.sum()] = np.repeat(lengths[order], span)
-    assert len(codes) == len(lengths)
     return ids, size
 
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ``ids`` and the bit offset of every 64th."""
-    ends = np.cumsum(lengths[ids], dtype=np.int64)
-    out = []
-    carry = np.zeros(0, np.uint8)
-    for a in range(0, len(ids), BLOCK):  # bounded memory for a very long document
-        part = ids[a : a + BLOCK]
-        bits = np.unpackbits(codes[part].astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
-        bits = np.concatenate((carry, bits[np.arange(MAX_BITS) < lengths[part][:, None]]))
-        whole = len(bits) // 8 * 8
-        out.append(np.packbits(bits[:whole]).tobytes())
-        carry = bits[whole:]
-    out.append(np.packbits(carry).tobytes())
-    return b"".join(out), (ends - lengths[ids])[::STEP]
+    """The bits of ``ids`` and the bit offset of every 64th.
+
+    Codes are put together in 64-bit words; the last code of a word may end in the next one.
+    """
+    size = lengths[ids].astype(np.int64)
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    words = np.zeros(total // 64 + 2, np.uint64)
+    for a in range(0, len(ids), 16 * BLOCK):  # bounded memory for a very long document
+        n, end = size[a : a + 16 * BLOCK], ends[a : a + 16 * BLOCK]
+        code, start = codes[ids[a : a + 16 * BLOCK]], end - n
+        word, room = start >> 6, 64 - (start & 63) - n
+        here = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        words[word[first]] |= np.bitwise_or.reduceat(here, first)
+        over = np.flatnonzero(room < 0)
+        words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+    return words.astype(">u8").tobytes()[: -(-total // 8)], (ends - size)[::STEP]
 
 
 def unpack(bits: bytes, offsets: np.ndarray, n: int, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -103,26 +107,6 @@ def unpack(bits: bytes, offsets: np.ndarray, n: int, ids: np.ndarray, size: np.n
     return out.T.reshape(-1)[:n]
 
 
-def _partial_counts(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-
-def id_counts(table_of_ids: DataFrame) -> np.ndarray:
-    """Number of each id over all documents: at most 65,536 rows reach the driver, whatever the input."""
-    rows = table_of_ids.select("ids").mapInArrow(_partial_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << 16, np.int64)
-    for r in rows:
-        out[r["id"]] = r["n"]
-    return out
-
-
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) and write their ids below ``path``.
 
@@ -133,7 +117,8 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     kept = new_path(spark, "ids")
     tokens.id_table(docs, tokenizer).write.option("compression", "zstd").parquet(kept)
     ids = spark.read.parquet(kept)
-    lengths = code_lengths(id_counts(ids))
+    lengths = code_lengths(tokens.counts_of(ids))
+    ids = ids.where("ids is not null")
     packed_lengths = lengths.tobytes()
 
     def encode(batches: Iterator) -> Iterator:
@@ -149,7 +134,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
         def flush():
             flat = np.concatenate([np.frombuffer(x[1], "<u2") for x in held])
             bits, offsets = pack(flat, codes, lengths)
-            row = [part, state["block"], state["start"], len(flat), [x[0] for x in held], [len(x[1]) // 2 for x in held], offsets.tolist(), bits]
+            row = [part, state["block"], state["start"], len(flat), [x[0] for x in held], [len(x[1]) // 2 for x in held], offsets, bits]
             state["block"], state["start"] = state["block"] + 1, state["start"] + len(flat)
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
@@ -189,8 +174,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 start, n, docs, lengths, offsets, bits = (batch.column(k)[row] for k in range(6))
-                flat = unpack(bits.as_py(), np.array(offsets.as_py(), np.int64), n.as_py(), ids, size).astype("<u4")
-                lengths = np.array(lengths.as_py(), np.int64)
+                flat = unpack(bits.as_py(), offsets.values.to_numpy(), n.as_py(), ids, size).astype("<u4")
+                lengths = lengths.values.to_numpy()
                 ends = np.cumsum(lengths)
                 each = [flat[e - k : e] for e, k in zip(ends, lengths)]
                 made = [docs.values, pa.array(start.as_py() + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]

@@ -8,6 +8,7 @@ the library whole. The table of known pieces is bounded.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import column_bytes, id_text, slices
 
@@ -31,7 +33,8 @@ _PIECES = {
     "word_bpe_49k.json": re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
 _LOWERED = {"word_bpe_49k.json"}
-MOST_PIECES = 1 << 18
+#: Pieces that a worker remembers; beyond them, a new piece is forgotten after its batch.
+MOST_PIECES = 1 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -40,6 +43,36 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself, or one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _shown(piece: str) -> str:
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", _LETTERS[0x20])
+    return piece.encode().decode("latin1").translate(_LETTERS)
+
+
+class _Batch(dict):
+    """The pieces of a batch with their numbers: few, so that most look-ups stay in the CPU's cache."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known, self.new = known, []
+
+    def __missing__(self, piece: str) -> int:
+        n = self.known.get(piece)
+        if n is None:
+            self.known[piece] = n = len(self.known)
+            self.new.append(piece)
+        self[piece] = n
+        return n
+
+
 class Encoder:
     """Ids of whole texts; the same as ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
 
@@ -51,36 +84,42 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         name = os.path.basename(path)
         self.pattern, self.lowered = _PIECES.get(name), name in _LOWERED
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(MOST_PIECES, np.int64), np.empty(MOST_PIECES, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 4096):
-            for piece, e in zip(pieces[a : a + 4096], self.tokenizer.encode_batch(pieces[a : a + 4096], add_special_tokens=False)):
-                ids, k = e.ids, len(self.known)
-                if k == len(self.start):
-                    self.start, self.length = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.length))
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.start[k], self.length[k], self.known[piece] = self.used, len(ids), k
-                self.used += len(ids)
+        self.pool, self.used = np.empty(1 << 18, np.uint32), 0
+        self.start, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def _learn(self, pieces: list[str], first: int) -> None:
+        merge = self.tokenizer.model.tokenize
+        for a in range(0, len(pieces), 1 << 15):
+            some = pieces[a : a + (1 << 15)]
+            each = [[t.id for t in merge(_shown(p))] for p in some]
+            n = np.fromiter(map(len, each), np.int64, len(some))
+            ids = np.fromiter(chain.from_iterable(each), np.uint32, int(n.sum()))
+            k = first + a
+            while k + len(some) > len(self.start):
+                self.start, self.length = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.length))
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.start[k : k + len(some)] = self.used + np.cumsum(n) - n
+            self.length[k : k + len(some)] = n
+            self.used += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's."""
         short = [self.pattern is not None and _COVERED.fullmatch(t) is not None for t in texts]
         cut = [self.pattern.findall(t.lower() if self.lowered else t) for t, s in zip(texts, short) if s]
-        flat = list(chain.from_iterable(cut))
-        if new := set(flat) - self.known.keys():
-            if len(self.known) + len(new) > MOST_PIECES:
-                self._forget()
-                new = set(flat)
-            self._learn(list(new))
-        k = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        batch, had, used = _Batch(self.known), len(self.known), self.used
+        k = np.fromiter(map(batch.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        self._learn(batch.new, had)
+        ids, counts = self._gather(texts, short, cut, k)
+        if len(self.known) > MOST_PIECES:
+            for piece in batch.new:
+                del self.known[piece]
+            self.used = used
+        return ids, counts
+
+    def _gather(self, texts: list[str], short: list[bool], cut: list[list[str]], k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.length[k]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.start[k] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
@@ -98,6 +137,12 @@ class Encoder:
         return np.concatenate(parts), counts
 
 
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """A worker process keeps its encoder from task to task."""
+    return Encoder(path)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Each text's ids followed by the end id."""
     out = np.full(len(ids) + len(counts), end, np.uint32)
@@ -107,25 +152,58 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int = END) -> tuple[np.nd
     return out, counts + 1
 
 
-TOKENS = "doc_id long, n_tokens long, ids binary"
+TOKENS = "doc_id long, n_tokens long, ids binary, counts binary"
+
+
+def encoded(batches: Iterator, path: str, end: int = END) -> Iterator:
+    """From batches of (doc_id, text): doc_ids, all ids with end ids, and where each document's begin; about 2 MB of text at once."""
+    e = encoder(path)
+    if e.tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError("the vocabulary has ids over 16 bits")
+    for batch in batches:
+        _, offsets = column_bytes(batch.column(1))
+        for a, b in slices(offsets, 2 << 20):
+            ids, counts = with_end(*e.encode(batch.column(1)[a:b].to_pylist()), end)
+            yield batch.column(0)[a:b], ids, np.concatenate(([0], np.cumsum(counts)))
 
 
 def id_table(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, n_tokens, ids (16-bit little-endian) of every row; null text is empty and has the end id alone."""
+    """doc_id, n_tokens, ids (16-bit little-endian) of every row; null text is empty and has the end id alone.
+
+    Each task ends with a row of its own that has ``counts`` alone: 65,536 numbers, how often each id occurs.
+    """
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = Encoder(path)
-        if encoder.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("the vocabulary has ids over 16 bits")
-        for batch in batches:
-            _, offsets = column_bytes(batch.column(1))
-            for a, b in slices(offsets):
-                ids, counts = with_end(*encoder.encode(batch.column(1)[a:b].to_pylist()), end)
-                raw = ids.astype("<u2").tobytes()
-                at = np.concatenate(([0], np.cumsum(counts))) * 2
-                made = pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(counts), made], ["doc_id", "n_tokens", "ids"])
+        total = np.zeros(1 << 16, np.int64)
+        names = [x.split()[0] for x in TOKENS.split(", ")]
+        for doc_ids, ids, at in encoded(batches, path, end):
+            total += np.bincount(ids, minlength=1 << 16)
+            raw, n = ids.astype("<u2").tobytes(), len(doc_ids)
+            made = pa.array([raw[x:y] for x, y in zip((2 * at[:-1]).tolist(), (2 * at[1:]).tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(at)), made, pa.nulls(n, pa.binary())], names)
+        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, names)
 
     return id_text(docs).mapInArrow(encode, TOKENS)
+
+
+def _summed(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            total += np.frombuffer(x.as_buffer(), "<i8")
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+
+
+def counts_of(table_of_ids: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counts: at most 65,536 rows reach the driver, whatever the input."""
+    rows = table_of_ids.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(1 << 16, np.int64)
+    for r in rows:
+        out[r["id"]] = r["n"]
+    return out

@@ -68,3 +68,13 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert token_output.op3_token_output(spark, put(spark, tmp_path, [])).count() == 0
+
+
+def test_a_full_table_of_pieces_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_PIECES", 20)
+    e, some = tokens.Encoder(tokens.vocabulary_path("byte_bpe_50k.json")), texts(9)
+    for a in range(0, len(some), 50):
+        ids, counts = e.encode(some[a : a + 50])
+        want = [x.ids for x in e.tokenizer.encode_batch(some[a : a + 50], add_special_tokens=False)]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+    assert len(e.known) <= 20
