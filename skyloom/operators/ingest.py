@@ -188,3 +188,8 @@ def largest_drift(vis: DataFrame, channels: DataFrame) -> DataFrame:
     """Largest change of u or v, in wavelengths, from the first to the last channel: one row, ``drift``."""
     span = channels.agg((F.max("frequency") - F.min("frequency")).alias("span"))
     return vis.agg(F.max(F.greatest(F.abs("uu"), F.abs("vv"))).alias("longest")).crossJoin(span).select((F.col("longest") * F.col("span") / units.C).alias("drift"))
+
+
+def subsample(vis: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """A random sample with replacement: this operator's purpose."""
+    return vis.sample(True, fraction, seed)

@@ -165,3 +165,31 @@ class Measurement:
         var = F.col("sigma") * F.col("sigma")
         d_re, d_im = F.col("m_re") - F.col("re"), F.col("m_im") - data_im
         return t.withColumns({"chi2": 0.5 * (d_re * d_re + d_im * d_im) / var, "re": d_re / var, "im": d_im / var})
+
+
+def noise(vis: DataFrame, seed: int = 0) -> DataFrame:
+    """Samples of pure noise: real and imaginary parts normal with the sample's sigma."""
+    return vis.withColumns({"re": F.randn(seed) * F.col("sigma"), "im": F.randn(seed + 1) * F.col("sigma")})
+
+
+def sampling_grid(pixels: DataFrame, target: dict, source: dict, kind: str = "SIN") -> DataFrame:
+    """Where each target pixel (y, x) lies in a source image, in [-1, 1]: (y, x, gx, gy)."""
+    from ..functions import sky
+
+    ra, dec = sky.to_sky(F.col("x").cast("double"), F.col("y").cast("double"), target, kind)
+    px, py = sky.to_pixel(ra, dec, source, kind)
+    w, h = source["NAXIS1"], source["NAXIS2"]
+    return pixels.select("y", "x", (2 * px / (w - 1) - 1).alias("gx"), (2 * py / (h - 1) - 1).alias("gy"))
+
+
+def beams_on_target(pb: DataFrame, headers: dict[int, dict], pixels: DataFrame, target: dict, kind: str = "SIN") -> tuple[DataFrame, DataFrame]:
+    """Primary beams and sampling grids of all beams on the target's pixels, NaN of the beams as 0: (pb, grid)."""
+    from functools import reduce
+
+    beams, grids = [], []
+    for b, header in headers.items():  # a header a beam: a short list
+        grid = sampling_grid(pixels, target, header, kind).withColumn("beam", F.lit(b))
+        own = pb.where(F.col("beam") == b).select("y", "x", F.nanvl("value", F.lit(0.0)).alias("value"))
+        beams.append(reproject(own, interp(grid, header["NAXIS2"], header["NAXIS1"]), grid).select("beam", "y", "x", "value"))
+        grids.append(grid.select("beam", "y", "x", "gx", "gy"))
+    return reduce(DataFrame.unionByName, beams), reduce(DataFrame.unionByName, grids)

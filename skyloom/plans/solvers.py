@@ -213,3 +213,62 @@ def solve(problem: Problem, x: np.ndarray | None = None, solver: str = "lbfgs",
     if solver == "cg":
         return conjugate_gradient(problem, x, iterations)
     raise ValueError(f"unknown solver {solver}")
+
+
+class LowRankProblem:
+    """A cube as Σ_k basis[k, chan] x_k: the unknowns are coefficient maps (k, H, W).
+
+    The Laplacian term is taken on the coefficient maps, and negative cube values are penalised. ``continuum_only``
+    channels have no line components (the first ``n_line`` of the basis), in the objective and in ``cube`` alike.
+    Sigma is at least 1e-6.
+    """
+
+    def __init__(self, op: measure.Measurement, channels: list[int], basis: np.ndarray, lambda_r: float = 0.0, lambda_pos: float = 0.0, n_line: int | None = None, continuum_only: list[int] = ()):
+        self.data = Problem(op, channels, sigma_floor=1e-6)
+        if basis.shape[1] != len(channels):
+            raise ValueError("the basis needs a column for each channel")
+        self.basis = np.array(basis, float)
+        for c in continuum_only:
+            self.basis[: len(basis) if n_line is None else n_line, self.data.channels.index(c)] = 0.0
+        self.lambda_r, self.lambda_pos = lambda_r, lambda_pos
+        self.shape = (len(basis), op.height, op.width)
+        self.smooth = Problem.__new__(Problem)
+        self.smooth.op, self.smooth.lambda_r = op, lambda_r
+
+    def cube(self, x: np.ndarray) -> np.ndarray:
+        return np.einsum("kc,kyx->cyx", self.basis, x.reshape(self.shape))
+
+    def _to_coefficients(self, cube: np.ndarray) -> np.ndarray:
+        return np.einsum("kc,cyx->kyx", self.basis, cube)
+
+    def loss_and_gradient(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        x = x.reshape(self.shape)
+        cube = self.cube(x)
+        value, g = self.data._pass(cube, True)
+        below = np.maximum(-cube, 0)
+        value, g = value + self.lambda_pos * float((below * below).sum()), g - 2 * self.lambda_pos * below
+        smooth, gs = self.smooth._regularised(x)
+        return value + smooth, self._to_coefficients(g) + gs
+
+    def apply_normal_operator(self, x: np.ndarray) -> np.ndarray:
+        x = x.reshape(self.shape)
+        return self._to_coefficients(self.data._pass(self.cube(x), False)[1]) + self.smooth._regularised(x)[1]
+
+    def quadratic_rhs(self) -> np.ndarray:
+        return -self._to_coefficients(self.data._pass(np.zeros(self.data.shape), True)[1])
+
+
+def with_continuum(line_basis: np.ndarray, frequencies: np.ndarray, order: int = 0, reference: float | None = None) -> tuple[np.ndarray, int]:
+    """A line basis with Taylor terms of a continuum below it, and the number of line rows."""
+    ref = float(np.mean(frequencies)) if reference is None else reference
+    rows = [((frequencies - ref) / ref) ** m for m in range(order + 1)]
+    return np.vstack([line_basis, *rows]), len(line_basis)
+
+
+def sweep(make: Callable[[float], Problem], values: list[float], **how) -> dict[float, np.ndarray]:
+    """Solutions for a list of regularisation strengths, each started from the one before."""
+    out: dict[float, np.ndarray] = {}
+    x = None
+    for v in values:
+        out[v] = x = solve(make(v), x, **how)
+    return out

@@ -288,3 +288,48 @@ def test_live_planes_and_late_events(spark, tmp_path):
     events = slabs.event_stream(spark, f"{tmp_path}/events.parquet", name="*.parquet")
     out = slabs.run_once(slabs.sessions(events), "sessions", f"{tmp_path}/c2", "complete")
     assert out.count() == 1
+
+
+def test_low_rank_equals_the_cube_form(spark, setup):
+    op, rng = operator(setup), np.random.default_rng(8)
+    basis = np.array([[1.0, 0.5], [0.0, 0.75], [1.0, 1.0]])
+    low, plain = solvers.LowRankProblem(op, [0, 1], basis), solvers.Problem(op, [0, 1])
+    x = rng.normal(size=low.shape)
+    a, g = low.loss_and_gradient(x)
+    b, h = plain.loss_and_gradient(low.cube(x))
+    np.testing.assert_allclose(a, b, rtol=1e-6)
+    np.testing.assert_allclose(g, np.einsum("kc,cyx->kyx", basis, h), rtol=1e-6, atol=1e-5)
+    penalised = solvers.LowRankProblem(op, [0, 1], basis, lambda_r=1e-6, lambda_pos=0.3, n_line=2, continuum_only=[1])
+    assert (penalised.basis[:2, 1] == 0).all() and penalised.basis[2, 1] == 1
+    value, g = penalised.loss_and_gradient(x)
+    step = np.zeros_like(x)
+    step[1, 2, 2] = 1e-4
+    d = (penalised.loss_and_gradient(x + step)[0] - penalised.loss_and_gradient(x - step)[0]) / 2e-4
+    assert abs(d - g[1, 2, 2]) < 1e-5 * max(1, abs(d))
+    both, n = solvers.with_continuum(basis[:1], np.array([1.40e9, 1.42e9]), 1)
+    assert n == 1 and both.shape == (3, 2) and (both[1] == 1).all()
+    np.testing.assert_allclose(both[2], [-0.01 / 1.41, 0.01 / 1.41])
+
+
+def test_noise_beams_and_rotation(spark, setup):
+    n = measure.noise(setup[0], 3)
+    assert n.count() == setup[0].count() and n.agg(F.stddev("re")).first()[0] > 0
+    header = {"NAXIS1": W, "NAXIS2": H, "CRVAL1": 75.0, "CRVAL2": -70.0, "CRPIX1": 2.0, "CRPIX2": 3.0, "CDELT1": -1e-3, "CDELT2": 1e-3}
+    pb, grid = measure.beams_on_target(setup[2], {0: header, 1: header}, images.pixels(spark, H, W), header)
+    seen = {(r.beam, r.y, r.x): r.value for r in pb.collect()}
+    for r in setup[2].collect():
+        assert abs(seen[r.beam, r.y, r.x] - r.value) < 1e-6
+    assert grid.count() == 2 * H * W
+    cube = np.random.default_rng(9).normal(size=(1, 5, 5))
+    turned = dense(images.rotated(image_table(spark, cube), 5, 5, 90.0), cube.shape, "value")[0]
+    assert np.allclose(turned[0], np.rot90(cube[0]), atol=1e-9) or np.allclose(turned[0], np.rot90(cube[0], -1), atol=1e-9)
+    assert ingest.subsample(setup[0], 0.5).count() > 0
+
+
+def test_elliptical_fit(spark):
+    source = images.elliptical_source(spark, 32, 32, 2.0, 3.0, 20.0, 12.0, 30.0).withColumn("chan", F.lit(0))
+    (r,) = images.fit_elliptical(source, 2.0).collect()
+    # the source's widths use 2.3548 for 2 sqrt(2 ln 2)
+    assert abs(r.flux - 3.0) < 0.01 and abs(r.major - 20.0) < 0.01 and abs(r.minor - 12.0) < 0.01 and abs(r.pa_deg - 30) < 0.01
+    assert abs(r.cx - 16) < 1e-3 and abs(r.cy - 16) < 1e-3
+    assert images.fit_elliptical(source.withColumn("value", F.lit(0.0)), 2.0).first().flux is None
