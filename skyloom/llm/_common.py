@@ -6,6 +6,7 @@ Tables that must outlive an executor are written as Parquet below the folder nam
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -23,12 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that operators write inside are deleted at the end: for results that are written themselves meanwhile."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            discard(spark, path)
+
+
 def saved(df: DataFrame, label: str, dictionary: bool = True) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.saved_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,10 +163,18 @@ def slices(offsets: np.ndarray, most: int = 4 << 20):
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, *tables: str | DataFrame) -> None:
+    """Delete tables (paths, or what ``saved`` gave) that no returned DataFrame reads."""
+    for path in tables:
+        _delete(spark, path if isinstance(path, str) else path.saved_at)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table that no returned DataFrame reads."""
+def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE_WORD, let, saved, table
+from ._common import SPACE_WORD, discard, let, saved, table
 
 EDITS = 2
 #: Shorter lines are left alone.
@@ -172,6 +172,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
 
     marked = near.withColumn("near", F.lit(True)).unionByName(copied.withColumn("near", F.lit(False)))
     marked = saved(marked.groupBy(*same_line, "at").agg(F.bool_or("near").alias("near")), "line-marks")
+    discard(lines.sparkSession, copied, pairs)
     hits = maybe_among(lines.select("doc_id", "k", "line_no", *same_line), "id", marked, "id").where("among").join(marked, same_line)
     first = at == F.col("at")
     # a first place is dropped only for a near-equal line before it

@@ -272,7 +272,9 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     forest = _dealt(blocks(ready)).select("task", "node", "side", "sig", "shingles").mapInArrow(verify, "a long, b long").distinct()
-    return nodes, saved(forest, "near-dup-links")
+    out = saved(forest, "near-dup-links")
+    discard(spark, own, members, met)
+    return nodes, out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,6 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(spark, path)
         path = new
         if not changed:
+            discard(spark, both)
             return done.select("node", "component")
 
 
