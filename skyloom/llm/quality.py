@@ -42,15 +42,18 @@ def _gone(text: Column, chars: str) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in windows of three that occur twice or more: windows sorted with their places, neighbours compared."""
-    windows = F.when(F.size(words) < 3, F.array().cast("array<struct<w:string,i:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, 3)).alias("w"), i.alias("i")))
+    """Words in windows of three that occur twice or more.
+
+    Windows are sorted by hash and place, neighbours of one hash compared word by word.
+    """
+    word = lambda i: F.get(words, i)
+    windows = F.when(F.size(words) < 3, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("h"), i.alias("i")))
     )
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (word(x["i"]) == word(y["i"])) & (word(x["i"] + 1) == word(y["i"] + 1)) & (word(x["i"] + 2) == word(y["i"] + 2)), F.lit(False))
 
     def covered(s: Column) -> Column:
-        def again(x, k):  # k from 0; equal to the one before or the one after
-            return ((k > 0) & (F.get(s, k - 1)["w"] == x["w"])) | F.coalesce(F.get(s, k + 1)["w"] == x["w"], F.lit(False))
-
+        again = lambda x, k: ((k > 0) & same(x, F.get(s, k - 1))) | same(x, F.get(s, k + 1))
         return F.size(F.array_distinct(F.flatten(F.transform(F.filter(s, again), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
     return let(F.sort_array(windows), covered)
@@ -117,9 +120,11 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for
 OP9_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
 m as (
- select doc_id, len(w) as n_words, length(regexp_replace(t, '[ 	-]', '', 'g')) as word_chars,
+ select doc_id, len(w) as n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g')) as word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
-  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) as l,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) as l,
   length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) as n_upper,
   len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) in ({_STOPS}))) as n_stop_words
  from d),
