@@ -54,8 +54,8 @@ class Shard:
         for d, ids in enumerate(docs):
             t, tf = np.unique(ids, return_counts=True)
             terms.append(t.astype(np.int64))
-            owner.append(np.full(len(t), d, np.int32))
-            score.append((weights[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
+            owner.append(np.full(len(t), d, np.intp))
+            score.append((weights[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float64))
         self.terms = terms
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
@@ -129,12 +129,14 @@ def _encode(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros(1 << 16, np.int64)
+        total, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         names = [x.split()[0] for x in ENCODED.split(", ")]
         for doc_ids, ids, at in tokens.encoded(batches, path):
             crcs, rest = [], []
             for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-                total[np.unique(ids[x:y])] += 1
+                mine, place = ids[x:y], np.arange(y - x)
+                last[mine] = place  # an id counts where it stands last
+                total[mine[last[mine] == place]] += 1
                 z = y - (y - x) % WINDOW
                 crcs.append([_crc(ids[a : a + WINDOW]) for a in range(x, z, WINDOW)])
                 rest.append(ids[z:y].astype("<u2").tobytes())

@@ -26,11 +26,12 @@ _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ſ"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = " \t\n\r"
 _COVERED = re.compile("[ \t\n\r\x21-\x7e\xa1-įı-ſ]*")
-#: The cutting patterns of the two public vocabularies.
+#: The cutting patterns of the two public vocabularies. Words come first: no other part starts with a
+#: letter, or with a space and a letter, so the order makes no difference but in speed.
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _PIECES = {
-    "byte_bpe_50k.json": re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
-    "word_bpe_49k.json": re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+    "byte_bpe_50k.json": re.compile(f" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    "word_bpe_49k.json": re.compile(f"[{_L}]+|{_SHORT}|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
 _LOWERED = {"word_bpe_49k.json"}
 #: Pieces that a worker remembers; beyond them, a new piece is forgotten after its batch.
@@ -156,13 +157,13 @@ TOKENS = "doc_id long, n_tokens long, ids binary, counts binary"
 
 
 def encoded(batches: Iterator, path: str, end: int = END) -> Iterator:
-    """From batches of (doc_id, text): doc_ids, all ids with end ids, and where each document's begin; about 2 MB of text at once."""
+    """From batches of (doc_id, text): doc_ids, all ids with end ids, and where each document's begin; about 4 MB of text at once."""
     e = encoder(path)
     if e.tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("the vocabulary has ids over 16 bits")
     for batch in batches:
         _, offsets = column_bytes(batch.column(1))
-        for a, b in slices(offsets, 2 << 20):
+        for a, b in slices(offsets, 4 << 20):
             ids, counts = with_end(*e.encode(batch.column(1)[a:b].to_pylist()), end)
             yield batch.column(0)[a:b], ids, np.concatenate(([0], np.cumsum(counts)))
 
