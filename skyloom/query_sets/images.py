@@ -85,7 +85,7 @@ def coefficient_statistics(v):
     return each.groupBy("beam").agg(r(F.avg("s"), 6).alias("mean"), F.round(F.stddev_samp("s"), 6).alias("spread"))
 
 
-@query("q59", "select block, beam, chan, count(*) as n, count_if(flag) as flagged from fx_sky group by rollup(block, beam, chan)")
+@query("q59", "select block, beam, chan, count(*) as n, cast(count_if(flag) as bigint) as flagged from fx_sky group by rollup(block, beam, chan)")
 def quality_rollup(v):
     return v("fx_sky").rollup("block", "beam", "chan").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"))
 

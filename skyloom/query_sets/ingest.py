@@ -63,7 +63,7 @@ def phase_centre(v):
     return v("fx_beam").select("beam", sky.sexagesimal(F.col("ra_deg") / 15).alias("ra"), sky.sexagesimal(F.col("dec_deg")).alias("dec"))
 
 
-@query("q08", "select b.beam, count(s.beam) as nvis, coalesce(sum(case when not s.flag then 1 else 0 end), 0) as ngood from fx_beam b left join fx_sky s on b.beam = s.beam group by b.beam")
+@query("q08", "select b.beam, count(s.beam) as nvis, cast(coalesce(sum(case when not s.flag then 1 else 0 end), 0) as bigint) as ngood from fx_beam b left join fx_sky s on b.beam = s.beam group by b.beam")
 def block(v):
     return op.load_block(v("fx_sky"), v("fx_beam"))
 
@@ -151,7 +151,7 @@ def cross_correlations(v):
     return op.cross_only(v("fx_sky")).where(~F.col("flag")).groupBy("beam", "chan").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("re"), 4).alias("re"))
 
 
-@query("q22", "select beam, count(*) as n, count_if(flag or not b) as flagged, count_if(not b) as infinite, round(sum(case when b then sigma else 0.0e0 end), 4) as sigma from (select beam, flag, sigma, sqrt(uu*uu+vv*vv+ww*ww) between 20.0e0 and 250.0e0 as b from fx_sky) t group by beam")
+@query("q22", "select beam, count(*) as n, cast(count_if(flag or not b) as bigint) as flagged, cast(count_if(not b) as bigint) as infinite, round(sum(case when b then sigma else 0.0e0 end), 4) as sigma from (select beam, flag, sigma, sqrt(uu*uu+vv*vv+ww*ww) between 20.0e0 and 250.0e0 as b from fx_sky) t group by beam")
 def uv_flags(v):
     t = op.flag_uv_range(v("fx_sky"), 20.0, 250.0)
     far = F.col("sigma") == float("inf")
@@ -196,7 +196,7 @@ def footprint(v):
     return t.select("beam", r("px", 5).alias("px"), r("py", 5).alias("py"), (F.col("px").between(0, 63) & F.col("py").between(0, 63)).alias("inside"))
 
 
-@query("q28", "select p.beam, count(*) as n, count_if(p.value > 0.2e0) as kept, round(sum(case when p.value > 0.2e0 then i.value else 0.0e0 end), 5)+0.0e0 as total from fx_pb p join fx_image i on p.y = i.y and p.x = i.x and i.chan = 0 group by p.beam")
+@query("q28", "select p.beam, count(*) as n, cast(count_if(p.value > 0.2e0) as bigint) as kept, round(sum(case when p.value > 0.2e0 then i.value else 0.0e0 end), 5)+0.0e0 as total from fx_pb p join fx_image i on p.y = i.y and p.x = i.x and i.chan = 0 group by p.beam")
 def beam_mask(v):
     from ..operators import images as im
 
