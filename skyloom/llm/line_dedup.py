@@ -217,6 +217,6 @@ d as (select line, length(line) as n, min((doc_id, line_no)) as at from l where
 near as (select distinct b.line from d a join d b on a.n between b.n - {EDITS} and b.n + {EDITS} and a.at < b.at where levenshtein(a.line, b.line) <= {EDITS}),
 g as (select doc_id, line_no, (doc_id, line_no) = d.at as first, near.line is not null as near from l join d using (line) left join near using (line)),
 s as (select doc_id, count(*) as n, count_if(near and first) as near, string_agg(cast(line_no as varchar), ',' order by line_no) as lines from g where near or not first group by doc_id)
-select documents.doc_id, len(string_split(coalesce(text, ''), chr(10))) as n_lines, coalesce(s.n, 0) as n_dropped, coalesce(s.near, 0) as n_near, coalesce(s.lines, '') as dropped_lines
+select documents.doc_id, len(string_split(coalesce(text, ''), chr(10))) as n_lines, coalesce(s.n, 0) as n_dropped, cast(coalesce(s.near, 0) as bigint) as n_near, coalesce(s.lines, '') as dropped_lines
 from documents left join s using (doc_id)
 """
