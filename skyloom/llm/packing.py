@@ -64,14 +64,14 @@ class Shard:
         self.unused, self.listed = np.ones(len(docs), bool), len(docs)
 
     def _forget_used(self) -> None:
-        """Take documents in use out of the postings, once they are half of them."""
+        """Take documents in use out of the postings, once they are a quarter of them."""
         keep = self.unused[self.owner]
         self.ends = np.concatenate(([0], np.cumsum(keep)))[self.ends]
         self.owner, self.score, self.listed = self.owner[keep], self.score[keep], int(np.count_nonzero(self.unused))
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Best unused documents by BM25 of the seed's terms, best first; ties by place."""
-        if 2 * np.count_nonzero(self.unused) < self.listed:
+        if 4 * np.count_nonzero(self.unused) < 3 * self.listed:
             self._forget_used()
         t = self.terms[seed]
         lo, n = self.ends[t], self.ends[t + 1] - self.ends[t]

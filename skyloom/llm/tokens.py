@@ -157,13 +157,13 @@ TOKENS = "doc_id long, n_tokens long, ids binary, counts binary"
 
 
 def encoded(batches: Iterator, path: str, end: int = END) -> Iterator:
-    """From batches of (doc_id, text): doc_ids, all ids with end ids, and where each document's begin; about 4 MB of text at once."""
+    """From batches of (doc_id, text): doc_ids, all ids with end ids, and where each document's begin; about 6 MB of text at once."""
     e = encoder(path)
     if e.tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("the vocabulary has ids over 16 bits")
     for batch in batches:
         _, offsets = column_bytes(batch.column(1))
-        for a, b in slices(offsets, 4 << 20):
+        for a, b in slices(offsets, 6 << 20):
             ids, counts = with_end(*e.encode(batch.column(1)[a:b].to_pylist()), end)
             yield batch.column(0)[a:b], ids, np.concatenate(([0], np.cumsum(counts)))
 
