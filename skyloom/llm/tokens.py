@@ -111,20 +111,23 @@ class Encoder:
         short = [self.pattern is not None and _COVERED.fullmatch(t) is not None for t in texts]
         cut = [self.pattern.findall(t.lower() if self.lowered else t) for t, s in zip(texts, short) if s]
         batch, had, used = _Batch(self.known), len(self.known), self.used
-        k = np.fromiter(map(batch.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
-        self._learn(batch.new, had)
-        ids, counts = self._gather(texts, short, cut, k)
+        sizes = list(map(len, cut))
+        k = np.fromiter(map(batch.__getitem__, chain.from_iterable(cut)), np.int32, sum(sizes))
+        new = batch.new
+        del cut, batch  # most of the memory of a batch
+        self._learn(new, had)
+        ids, counts = self._gather(texts, short, sizes, k)
         if len(self.known) > MOST_PIECES:
-            for piece in batch.new:
+            for piece in new:
                 del self.known[piece]
             self.used = used
         return ids, counts
 
-    def _gather(self, texts: list[str], short: list[bool], cut: list[list[str]], k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _gather(self, texts: list[str], short: list[bool], sizes: list[int], k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.length[k]
         ends = np.cumsum(lengths)
         ids = self.pool[np.repeat(self.start[k] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
+        at = np.concatenate(([0], ends))[np.cumsum([0, *sizes])]
         if all(short):
             return ids, np.diff(at)
         parts, counts, i = [], np.empty(len(texts), np.int64), 0
@@ -157,13 +160,13 @@ TOKENS = "doc_id long, n_tokens long, ids binary, counts binary"
 
 
 def encoded(batches: Iterator, path: str, end: int = END) -> Iterator:
-    """From batches of (doc_id, text): doc_ids, all ids with end ids, and where each document's begin; about 6 MB of text at once."""
+    """From batches of (doc_id, text): doc_ids, all ids with end ids, and where each document's begin; about 4 MB of text at once."""
     e = encoder(path)
     if e.tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("the vocabulary has ids over 16 bits")
     for batch in batches:
         _, offsets = column_bytes(batch.column(1))
-        for a, b in slices(offsets, 6 << 20):
+        for a, b in slices(offsets, 4 << 20):
             ids, counts = with_end(*e.encode(batch.column(1)[a:b].to_pylist()), end)
             yield batch.column(0)[a:b], ids, np.concatenate(([0], np.cumsum(counts)))
 
