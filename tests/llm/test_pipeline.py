@@ -7,6 +7,7 @@ from skyloom.llm import decontam, quality
 from .data import ODD
 from .test_line_dedup import brute as brute_lines
 from .test_near_dup import brute as brute_near
+from .test_near_dup import texts as near_texts
 from .test_packing import check, ids_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,3 +68,14 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
     assert decontam.HITS
+
+
+def test_near_copies_from_80_percent_on_are_dropped(spark):
+    words = [f"w{k}" for k in range(60)]
+    other = [*words[:30], "x", *words[31:]]  # 51 of 61 shingles are shared: 0.836
+    far = [*words[:20], "y", *words[21:40], "z", *words[41:]]  # 46 of 66: 0.697
+    texts = [*(" ".join(w) for w in (words, other, far)), *near_texts()]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_deduplication(spark, docs, "").collect()}
+    assert kept == {i for i, _, _, keep in brute_near(texts, 80) if keep}
+    assert {0, 2} <= kept and 1 not in kept
