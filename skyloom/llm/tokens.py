@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text into pieces by a pattern and then merge inside each piece, so a piece has the
 same ids wherever it stands. Where a text has only characters whose classes are beyond doubt (ASCII and
-Latin letters), it is cut here and each new piece is encoded by the library once; any other text goes to
-the library whole. The table of known pieces is bounded.
+Latin letters) and no added token's string, it is cut here and each new piece is encoded by the library once;
+any other text goes to the library whole. The table of known pieces is bounded.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         name = os.path.basename(path)
         self.pattern, self.lowered = _PIECES.get(name), name in _LOWERED
         self.known: dict[str, int] = {}
@@ -106,9 +106,12 @@ class Encoder:
             self.length[k : k + len(some)] = n
             self.used += len(ids)
 
+    def _is_short(self, text: str) -> bool:
+        return self.pattern is not None and _COVERED.fullmatch(text) is not None and not any(t in text for t in self.added)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's."""
-        short = [self.pattern is not None and _COVERED.fullmatch(t) is not None for t in texts]
+        short = [self._is_short(t) for t in texts]
         cut = [self.pattern.findall(t.lower() if self.lowered else t) for t, s in zip(texts, short) if s]
         batch, had, used = _Batch(self.known), len(self.known), self.used
         sizes = list(map(len, cut))

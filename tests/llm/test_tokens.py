@@ -26,6 +26,17 @@ def test_encoder_equals_library(name):
         assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name, want", [("byte_bpe_50k.json", [505, 220, 50256, 734]), ("word_bpe_49k.json", [637, 49407, 1237])])
+def test_added_tokens_are_matched_as_by_a_fresh_tokenizer(name, want):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path(name)
+    fresh, some = Tokenizer.from_file(path), ["one <|endoftext|> two", "<|startoftext|>a", "<|ENDOFTEXT|>", *texts(6)]
+    ids, counts = tokens.Encoder(path).encode(some)
+    assert ids[: counts[0]].tolist() == want
+    assert ids.tolist() == sum((fresh.encode(t, add_special_tokens=False).ids for t in some), [])
+
+
 def test_code_lengths_are_limited_and_optimal():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 50, 3000):
