@@ -61,5 +61,33 @@ def test_neighbours_are_the_brute_force_best():
         assert all(d % 3 for d in got)
 
 
+def test_lists_are_the_best_of_all_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 40)
+    real, seen = packing._ask, []
+
+    def spy(shards, seeds, state, base, most, weights, mean):
+        got, docs = real(shards, seeds, state, base, most, weights, mean), [None] * len(state.unused)
+        for r in shards.select("shard", "lengths", "ids").collect():
+            at = np.concatenate(([0], np.cumsum(np.frombuffer(r["lengths"], "<u2"), dtype=np.int64)))
+            for k in range(len(at) - 1):
+                docs[base[r["shard"]] + k] = np.frombuffer(r["ids"], "<u2")[at[k] : at[k + 1]]
+        w = weights.value.astype(float)
+        for s in seeds:
+            terms, scores = np.unique(docs[s]), []
+            for d in docs:
+                tf = np.array([np.count_nonzero(d == t) for t in terms])
+                scores.append((w[terms] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))).sum())
+            assert state.unused[got[s]].all() and len(set(got[s])) == min(most, state.unused.sum())
+            want = np.sort(np.array(scores)[state.unused])[::-1][: len(got[s])]
+            assert np.allclose([scores[d] for d in got[s]], want, rtol=1e-4, atol=1e-5)
+        seen.append((len(base), len(docs), len(seeds)))
+        return got
+
+    monkeypatch.setattr(packing, "_ask", spy)
+    some = [*ODD, *(" ".join(t.split()) * 12 for t in texts(5)[:200])]
+    assert check(packing.op7_retrieval_packing(spark, put(spark, tmp_path, some)).collect(), ids_of(some)) < 0.2
+    assert len(seen) > 2 and seen[0][0] > 4 and seen[0][1] > 200
+
+
 def test_empty_table(spark, tmp_path):
     assert packing.op7_retrieval_packing(spark, put(spark, tmp_path, [])).count() == 0
