@@ -72,28 +72,31 @@ def cheaper_first(n_basis: int, n_chan: int) -> str:
     return "transform" if n_basis < n_chan else "mix"
 
 
-def w_bins(vis: DataFrame, planes: int) -> DataFrame:
-    """Adds ``wc``, the centre of the sample's bin of equal width in w (wavelengths). One plane or less: w is 0; an even number is made odd."""
+def w_bins(vis: DataFrame, planes: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``wc``, the centre of the sample's bin of equal width in w (wavelengths). One plane or less: w is 0; an even number is made odd. With ``keys``, bins of each key."""
     if planes <= 1:
         return vis.withColumn("wc", F.lit(0.0))
     planes += planes % 2 == 0
     from ..functions import units
 
     t = vis.withColumn("wl", units.to_lambda(F.col("ww"), F.col("frequency")))
-    ends = t.agg(F.min("wl").alias("lo"), F.max("wl").alias("hi"))
+    ends = t.groupBy(*keys).agg(F.min("wl").alias("lo"), F.max("wl").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / planes
     k = F.least(F.floor(F.coalesce(F.try_divide(F.col("wl") - F.col("lo"), step), F.lit(0.0))), F.lit(planes - 1))
-    return t.crossJoin(F.broadcast(ends)).withColumn("wc", F.col("lo") + (k + 0.5) * step).drop("lo", "hi", "wl")
+    both = t.join(F.broadcast(ends), list(keys)) if keys else t.crossJoin(F.broadcast(ends))
+    return both.withColumn("wc", F.col("lo") + (k + 0.5) * step).drop("lo", "hi", "wl")
 
 
-def w_stacked(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, planes: int) -> DataFrame:
-    """Degridding with a phase π w r² for the bin's w, r in radians."""
+def w_stacked(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, planes: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Degridding with a phase π w r² for the bin's w, r in radians. With ``keys``, each key has its own bins, and its image if that has the column."""
     rad = cell * math.pi / 648000.0
     r2 = (F.pow(F.col("y") - height // 2, 2) + F.pow(F.col("x") - width // 2, 2)) * rad**2
-    pix = image.select("y", "x", "value", r2.alias("r2"))
+    on = [k for k in keys if k in image.columns]
+    pix = image.select(*on, "y", "x", "value", r2.alias("r2"))
     p = measure.phase(height, width) + F.col("wc") * math.pi * F.col("r2")
-    both = w_bins(vis, planes).crossJoin(F.broadcast(pix))
-    s = both.groupBy("vis_id").agg(F.sum(F.col("value") * F.cos(p)).alias("m_re"), F.sum(F.col("value") * F.sin(p)).alias("m_im"))
+    binned = w_bins(vis, planes, keys)
+    both = binned.join(F.broadcast(pix), on) if on else binned.crossJoin(F.broadcast(pix))
+    s = both.groupBy("vis_id", *keys).agg(F.sum(F.col("value") * F.cos(p)).alias("m_re"), F.sum(F.col("value") * F.sin(p)).alias("m_im"))
     return s.withColumns({"m_re": F.col("m_re") * cell**2, "m_im": F.col("m_im") * cell**2})
 
 

@@ -167,3 +167,69 @@ def fista_step(v):
     from ..plans import solvers
 
     return solvers.fista_first_step(operator(v, "chan = 2"), 1e-6, positive=True).select("y", "x", r("value", 5).alias("value"))
+
+
+# The same operators over all beams and channels; too many products for DuckDB, so tests/test_queries.py holds them
+# against the queries of one cell above.
+
+
+def _good(v):
+    return me.radpix(v("fx_stokes").where("not flag"), v("fx_channel"), CELL)
+
+
+@query("q40_all")
+def degrid_all(v):
+    t = me.degrid(_good(v), v("fx_image"), 8, 8, CELL)
+    return t.select("vis_id", "beam", "chan", r("m_re", 6).alias("re"), r("m_im", 6).alias("im"))
+
+
+@query("q41_all")
+def dirty_image_all(v):
+    t = me.grid_adjoint(_good(v), v("fx_image").where("chan = 0"), 8, 8, CELL)
+    return t.select("beam", "chan", "y", "x", r("re", 3).alias("re"), r("im", 3).alias("im"))
+
+
+@query("q62_all")
+def forward_all(v):
+    t = operator(v).forward(v("fx_image"))
+    return t.select("vis_id", "beam", "chan", r("m_re", 5).alias("m_re"), r("m_im", 5).alias("m_im"))
+
+
+@query("q64_all")
+def gradient_all(v):
+    image = v("fx_image")
+    a = ob.data_gradient(operator(v), image)
+    b = ob.laplacian_gradient(image, 8, 8, CELL, 1e-2, radius=0.6).select("chan", "y", "x", F.col("value").alias("l"))
+    return a.join(b, ["chan", "y", "x"]).select("chan", "y", "x", r(F.col("value") + F.col("l"), 1).alias("gradient"))
+
+
+@query("q74_all")
+def channel_invariant_all(v):
+    from ..operators import spectral
+
+    coef = v("fx_image").where("chan < 3").withColumnRenamed("chan", "k")  # a map for each row of the basis
+    basis = v("fx_basis").join(v("fx_channel").select("chan"), "chan")
+    t = spectral.mixed_visibilities(_good(v), coef, basis, 8, 8, CELL)
+    return t.select("vis_id", "chan", r("re", 5).alias("re"), r("im", 5).alias("im"))
+
+
+@query("q77_all")
+def w_stacking_all(v):
+    from ..operators import spectral
+
+    t = spectral.w_stacked(_good(v), v("fx_image"), 8, 8, CELL, 5, ("beam", "chan"))
+    return t.select("vis_id", "beam", "chan", r("m_re", 5).alias("re"), r("m_im", 5).alias("im"))
+
+
+@query("q83_all")
+def conjugate_gradient_step_all(v):
+    from ..plans import solvers
+
+    return solvers.cg_step(operator(v)).select("chan", "y", "x", r(1000 * F.col("value"), 5).alias("value"))
+
+
+@query("q84_all")
+def fista_step_all(v):
+    from ..plans import solvers
+
+    return solvers.fista_first_step(operator(v), 1e-6, positive=True).select("chan", "y", "x", r("value", 5).alias("value"))

@@ -264,3 +264,10 @@ def baseline_spectrum(v):
     rows = v("fx_plain").where("ant1 % 12 = 2 and ant2 % 12 = 3")
     t = rows.groupBy("chan").agg((0.5 * (F.avg("p0_re") + F.avg("p1_re"))).alias("re"), (0.5 * (F.avg("p0_im") + F.avg("p1_im"))).alias("im"))
     return t.select("chan", F.round(F.hypot("re", "im"), 5).alias("amplitude"))
+
+
+@query("q85_pair", "select chan, round(sqrt(re*re+im*im), 5) as amplitude from (select chan, 0.5e0*(avg(p0_re)+avg(p1_re)) as re, 0.5e0*(avg(p0_im)+avg(p1_im)) as im from fx_plain where ant1 = 2 and ant2 = 3 group by chan) t")
+def baseline_pair_spectrum(v):
+    rows = v("fx_plain").where("ant1 = 2 and ant2 = 3")
+    t = rows.groupBy("chan").agg((0.5 * (F.avg("p0_re") + F.avg("p1_re"))).alias("re"), (0.5 * (F.avg("p0_im") + F.avg("p1_im"))).alias("im"))
+    return t.select("chan", F.round(F.hypot("re", "im"), 5).alias("amplitude"))
