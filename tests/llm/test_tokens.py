@@ -88,4 +88,24 @@ def test_a_full_table_of_pieces_forgets(monkeypatch):
         ids, counts = e.encode(some[a : a + 50])
         want = [x.ids for x in e.tokenizer.encode_batch(some[a : a + 50], add_special_tokens=False)]
         assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
-    assert len(e.known) <= 20
+    assert e.pieces <= 20 and e.known.n <= 20
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cutting_and_merging_equal_the_library(name):
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(5), tokens.vocabulary_path(name)
+    bits = [*"a b'stremvld '' \n\t  1²é!?#.,AŚ", "'s", "'re", "'ll", "'VE", " '", "  ", "\r\n", "<|", "x" * 300, "aaaa"]
+    some = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    ids, counts = tokens.Encoder(path).encode(some)
+    want = Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)
+    assert counts.tolist() == [len(w.ids) for w in want] and ids.tolist() == sum((w.ids for w in want), [])
+
+
+def test_known_hashes():
+    rng, known = np.random.default_rng(1), tokens.Known(4)
+    keys = np.unique(rng.integers(1, 1 << 63, 5000).astype(np.uint64))
+    for a in range(0, len(keys), 700):
+        known.add(keys[a : a + 700], np.arange(a, min(a + 700, len(keys)), dtype=np.int32))
+    assert (known.find(keys) == np.arange(len(keys))).all() and (known.find(keys + np.uint64(1 << 63)) == -1).all()
