@@ -1,19 +1,18 @@
 """Lexical retrieval packing: a sharded BM25 inverted index gives unused neighbours for each seed document.
 
-Documents become token ids once. Full windows of a long document stand alone; what is left of each document
-goes to a shard (by a weighted min-hash of its ids, then doc_id, dealt by range), and each shard has an inverted
-index of its documents, with idf from counts over all documents. Windows are filled in rounds: the seeds of a
-round are asked of every shard, the shards' best unused documents are merged by score, and the windows take
-theirs one after another; a window whose list runs out asks again in the next round. So each document taken is
-the best unused one of all. When the next doesn't fit, it is cut, and its rest is the next seed. What is left at
-the end, ``SHARD_ROWS`` documents at most, is one shard and is filled by itself.
-
-A seed is scored against all unused rests, so the work grows with the square of the input.
+Documents become token ids once. Full windows of a long document stand alone; what is left of each document goes to
+a shard by two weighted min-hashes of its ids, so that documents that share their rarer ids lie together. Each shard
+has an inverted index of its documents, with idf from counts over all documents. Some seeds at a time are scored
+against all unused documents of their shard, and their windows take the best ones one after another; a window whose
+list runs out asks again. When the next doesn't fit, it is cut, and its rest is a seed later on.
+
+A shard is bounded (``SHARD_ROWS``, ``SHARD_IDS``), so the work grows with the input. To ask every shard for every
+seed grows with its square; README.md has both ways' figures and what a shard's neighbours are worth against those
+of a brute force over all documents.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -22,17 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import id_text, mix64, new_path, saved, table
+from ._common import id_text, mix64, saved, table
 
 WINDOW = 4096
-#: Rests of documents a shard: at most 4096 ids each, so under 32 MB.
-SHARD_ROWS = 4096
-#: Seeds of a round, their lists' greatest length, and seeds scored at once.
-SEEDS, LONGEST_LIST, SEED_ROWS = 8192, 1024, 256
+#: Rests of documents a shard, and their ids: so 16 MB of ids and as many postings at most. A task's last shard has up to half as much again.
+SHARD_ROWS, SHARD_IDS = 8192, 1 << 23
+#: Seeds scored at once, and the length of their lists.
+SEEDS, NEIGHBOURS = 64, 64
 #: A shard's terms in more than this share of its documents are multiplied as a matrix, up to so many.
 COMMON, MOST_COMMON = 1 / 24, 2048
 K1, B = 1.2, 0.75
-NEIGHBOURS = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -50,201 +48,110 @@ class Shard:
     """Inverted index of a shard's documents (arrays of ids) and the packing of their windows."""
 
     def __init__(self, docs: list[np.ndarray], weights: np.ndarray, mean: float):
-        self.docs = docs
-        terms, owner, score = [], [], []
-        for d, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            terms.append(t.astype(np.int64))
-            owner.append(np.full(len(t), d, np.intp))
-            score.append((weights[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float64))
-        self.terms = terms
-        flat = np.concatenate(terms)
-        order = np.argsort(flat, kind="stable")
-        self.owner, self.score = np.concatenate(owner)[order], np.concatenate(score)[order]
-        self.ends = np.searchsorted(flat[order], np.arange((1 << 16) + 1))
-        self.unused, self.listed = np.ones(len(docs), bool), len(docs)
+        self.docs, n = docs, len(docs)
+        self.lengths = np.array([len(x) for x in docs], np.int64)
+        each = [np.unique(x, return_counts=True) for x in docs]
+        self.own_at = np.concatenate(([0], np.cumsum([len(t) for t, _ in each])))
+        self.own, tf = (np.concatenate([x[k] for x in each]) for k in (0, 1))
+        del each
+        order = np.argsort(self.own, kind="stable")
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.own_at))[order]
+        term, tf, norm = self.own[order], tf[order], K1 * (1 - B + B * self.lengths / mean)
+        score = (weights[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
+        self.first, self.unused = np.zeros(n, np.int64), np.ones(n, bool)
+        self._index(np.arange(n), term, owner, score)
+
+    def _index(self, listed: np.ndarray, term: np.ndarray, owner: np.ndarray, score: np.ndarray) -> None:
+        """Postings of the documents ``listed``; owners are places in that list."""
+        self.listed, self.term, self.owner, self.score = listed, term, owner, score
+        self.ends = np.searchsorted(term, np.arange((1 << 16) + 1))
+        count = np.diff(self.ends)
+        common = np.flatnonzero(count > max(COMMON * len(listed), 1))
+        common = common[np.argsort(-count[common], kind="stable")[:MOST_COMMON]]
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        here = self.row[term] >= 0
+        self.matrix = np.zeros((len(common), len(listed)), np.float32)
+        self.matrix[self.row[term[here]], owner[here]] = score[here]
 
     def _forget_used(self) -> None:
-        """Take documents in use out of the postings, once they are a quarter of them."""
-        keep = self.unused[self.owner]
-        self.ends = np.concatenate(([0], np.cumsum(keep)))[self.ends]
-        self.owner, self.score, self.listed = self.owner[keep], self.score[keep], int(np.count_nonzero(self.unused))
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Best unused documents by BM25 of the seed's terms, best first; ties by place."""
-        if 4 * np.count_nonzero(self.unused) < 3 * self.listed:
-            self._forget_used()
-        t = self.terms[seed]
+        """Take documents in use out of the index, once they are a quarter of it."""
+        left = self.unused[self.listed]
+        if 4 * np.count_nonzero(left) < 3 * len(left):
+            keep = left[self.owner]
+            self._index(self.listed[left], self.term[keep], (np.cumsum(left) - 1)[self.owner[keep]], self.score[keep])
+
+    def neighbours(self, seeds: list[int]) -> list[np.ndarray]:
+        """For each seed the best unused documents by BM25 of the seed's terms, best first; ties by place."""
+        self._forget_used()
+        left = np.flatnonzero(self.unused[self.listed])
+        if not len(left):
+            return [left] * len(seeds)
+        wide, size = len(self.listed), np.diff(self.own_at)[seeds]
+        seed = np.repeat(np.arange(len(seeds)), size)
+        t = np.concatenate([self.own[self.own_at[s] : self.own_at[s + 1]] for s in seeds])
+        dense = self.row[t] >= 0
+        asked = np.zeros((len(seeds), len(self.matrix)), np.float32)
+        asked[seed[dense], self.row[t[dense]]] = 1
+        seed, t = seed[~dense], t[~dense]
         lo, n = self.ends[t], self.ends[t + 1] - self.ends[t]
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        scores = np.bincount(self.owner[at], weights=self.score[at], minlength=len(self.docs))
-        left = np.flatnonzero(self.unused)
-        s = scores[left]
-        if len(left) > NEIGHBOURS:
-            bound = np.partition(s, len(s) - NEIGHBOURS)[len(s) - NEIGHBOURS]
-            keep = s >= bound
-            left, s = left[keep], s[keep]
-        return left[np.lexsort((left, -s))][:NEIGHBOURS]
+        found = np.bincount(np.repeat(seed * wide, n) + self.owner[at], weights=self.score[at], minlength=len(seeds) * wide)
+        scores = (asked @ self.matrix)[:, left] + found.reshape(-1, wide)[:, left].astype(np.float32)
+        most, out = min(NEIGHBOURS, len(left)), []
+        bound = np.partition(scores, len(left) - most, axis=1)[:, len(left) - most]
+        for s, b in zip(scores, bound):
+            best = np.flatnonzero(s >= b)
+            out.append(self.listed[left[best[np.lexsort((best, -s[best]))][:most]]])
+        return out
 
     def windows(self) -> Iterator[list[tuple[int, int, int]]]:
         """Windows of (document, first, length), each full but the last."""
-        carry, place = None, 0
-        while True:
-            if carry is None:
-                while place < len(self.docs) and not self.unused[place]:
-                    place += 1
-                if place == len(self.docs):
-                    return
-                carry, self.unused[place] = (place, 0), False
-            seed, first = carry
-            window = [(seed, first, len(self.docs[seed]) - first)]
-            room, carry = WINDOW - window[0][2], None
-            while room and carry is None:
-                best = self.neighbours(seed)
-                if not len(best):
-                    break
-                unfit = -1
-                for d in best:
-                    n = len(self.docs[d])
-                    if n <= room:
-                        window.append((int(d), 0, n))
-                        self.unused[d] = False
-                        room -= n
-                    elif unfit < 0:
-                        unfit = int(d)
-                    if not room:
-                        break
-                if room and unfit >= 0:
-                    window.append((unfit, 0, room))
-                    self.unused[unfit] = False
-                    carry, room = (unfit, room), 0
-            yield window
-
+        open_: list[tuple[int, list]] = []  # seed, pieces
+        cut: list[int] = []
 
-SHARDS = "shard long, doc_ids array<long>, doc_tokens array<long>, lengths binary, ids binary, owner binary, tf binary, terms binary, n binary"
-PLAN = "rid long, first long, length long, sequence_id long, offset long"
+        def take(window: list, d: int, n: int) -> None:
+            window.append((d, int(self.first[d]), n))
+            self.first[d] += n
+            self.unused[d] = False
 
-
-def _postings(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Owner and frequency of each posting in order of terms; the terms and their numbers of postings."""
-    n = len(lengths)
-    key, tf = np.unique(ids.astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
-    terms, counts = np.unique(key // n, return_counts=True)
-    return tuple(x.astype("<u2") for x in (key % n, tf, terms, counts))
-
-
-class Best:
-    """The best documents found so far for each seed, over one shard after another."""
-
-    def __init__(self, seeds: list[np.ndarray], most: int):
-        self.seeds, self.most = seeds, most
-        self.score = np.full((len(seeds), most), -1, np.float32)  # scores are never below 0
-        self.doc = np.full((len(seeds), most), -1, np.int64)
-
-    def add(self, docs: np.ndarray, unused: np.ndarray, lengths: np.ndarray, postings: tuple[np.ndarray, ...], weights: np.ndarray, mean: float) -> None:
-        """Score all seeds against a shard's unused documents, whose numbers are ``docs``."""
-        owner, tf, terms, n = (x.astype(np.int64) for x in postings)
-        term, keep = np.repeat(terms, n), unused[owner]
-        owner, tf, term = (np.cumsum(unused) - 1)[owner[keep]], tf[keep], term[keep]
-        docs, norm, wide = docs[unused], K1 * (1 - B + B * lengths[unused] / mean), int(np.count_nonzero(unused))
-        if not wide:
-            return
-        score = (weights[term] * tf * (K1 + 1) / (tf + norm[owner])).astype(np.float32)
-        ends = np.searchsorted(term, np.arange((1 << 16) + 1))
-        count = np.diff(ends)
-        common = np.flatnonzero(count > COMMON * wide)
-        common = common[np.argsort(-count[common], kind="stable")[:MOST_COMMON]]
-        row = np.full(1 << 16, -1)
-        row[common] = np.arange(len(common))
-        here = row[term] >= 0
-        matrix = np.zeros((len(common), wide), np.float32)
-        matrix[row[term[here]], owner[here]] = score[here]
-        for a in range(0, len(self.seeds), SEED_ROWS):
-            some = self.seeds[a : a + SEED_ROWS]
-            seed, t = np.repeat(np.arange(len(some)), list(map(len, some))), np.concatenate(some).astype(np.int64)
-            dense = row[t] >= 0
-            asked = np.zeros((len(some), len(common)), np.float32)
-            asked[seed[dense], row[t[dense]]] = 1
-            seed, t = seed[~dense], t[~dense]
-            lo, m = ends[t], count[t]
-            at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            found = np.bincount(np.repeat(seed * wide, m) + owner[at], weights=score[at], minlength=len(some) * wide)
-            self._merge(a, asked @ matrix + found.reshape(len(some), wide).astype(np.float32), docs)
-
-    def _merge(self, a: int, scores: np.ndarray, docs: np.ndarray) -> None:
-        rows, wide = scores.shape
-        had, had_docs = self.score[a : a + rows], self.doc[a : a + rows]
-        bound = had[:, -1]
-        keep = scores >= bound[:, None]
-        if wide > self.most and np.count_nonzero(keep) > 4 * self.most * rows:
-            keep &= scores >= np.partition(scores, wide - self.most, axis=1)[:, wide - self.most, None]
-        r, c = np.nonzero(keep)
-        r = np.concatenate((np.repeat(np.arange(rows), self.most), r))
-        s, d = np.concatenate((had.ravel(), scores[keep])), np.concatenate((had_docs.ravel(), docs[c]))
-        order = np.lexsort((d, -s, r))
-        first = np.searchsorted(r[order], np.arange(rows))
-        take = order[first[:, None] + np.arange(self.most)]
-        self.score[a : a + rows], self.doc[a : a + rows] = s[take], d[take]
-
-
-class Packing:
-    """Which documents are unused, and the windows that take them; on the driver, a few bytes a document."""
-
-    def __init__(self, lengths: np.ndarray):
-        self.lengths, self.first, self.unused = lengths, np.zeros(len(lengths), np.int32), np.ones(len(lengths), bool)
-        self.open: list[list[int]] = []  # seed, sequence, ids so far
-        self.carries: list[int] = []
-        self.windows, self.rows = 0, []
-
-    def _piece(self, window: list[int], d: int, n: int) -> None:
-        self.rows.append((d, int(self.first[d]), n, 2 * window[1], window[2]))
-        self.unused[d] = False
-        self.first[d] += n
-        window[2] += n
-
-    def _start(self, d: int) -> None:
-        self.open.append([d, self.windows, 0])
-        self.windows += 1
-        self._piece(self.open[-1], d, int(self.lengths[d] - self.first[d]))
-
-    def seeds(self) -> list[int]:
-        """Seeds of the next round: of windows with room, rests of cut documents, then unused documents far apart; none at the end."""
-        self.unused[self.carries] = True
-        carries, self.carries = self.carries, []
-        left = np.flatnonzero(self.unused)
-        if len(left) > SHARD_ROWS:
+        room = lambda window: WINDOW - sum(x[2] for x in window)
+        while True:
+            self.unused[cut] = True
+            left = np.flatnonzero(self.unused)
+            if not len(left):
+                yield from (w for _, w in open_)
+                return
             ids = int((self.lengths[left] - self.first[left]).sum())
-            more = max(1, min(SEEDS, ids // WINDOW // 4)) - len(self.open)
-            for d in carries[: max(more, 0)]:
-                self._start(d)
-            more, left = more - len(carries), np.flatnonzero(self.unused)
+            more = max(1, min(SEEDS, ids // WINDOW // 4)) - len(open_)
             if more > 0:
-                for d in left[np.unique(np.linspace(0, len(left) - 1, more).astype(np.int64))].tolist():
-                    self._start(d)
-        if not self.unused.any():
-            self.open = []
-        return [w[0] for w in self.open]
-
-    def fill(self, lists: dict[int, np.ndarray]) -> None:
-        """Each open window takes the best of its seed's list that are still unused."""
-        still = []
-        for window in self.open:
-            unfit = -1
-            best = lists[window[0]]
-            for d in best[self.unused[best]].tolist():
-                n = int(self.lengths[d] - self.first[d])
-                if n <= WINDOW - window[2]:
-                    self._piece(window, d, n)
-                elif unfit < 0:
-                    unfit = d
-                if window[2] == WINDOW:
-                    break
-            if window[2] < WINDOW and unfit >= 0:
-                self._piece(window, unfit, WINDOW - window[2])
-                self.carries.append(unfit)
-            if window[2] < WINDOW:
-                still.append(window)
-        self.open = still
+                new = cut[:more]
+                spread = left[np.unique(np.linspace(0, len(left) - 1, max(more - len(new), 0)).astype(np.int64))]
+                for d in dict.fromkeys([*new, *spread.tolist()]):
+                    open_.append((d, []))
+                    take(open_[-1][1], d, int(self.lengths[d] - self.first[d]))
+            cut = []
+            still = []
+            for (seed, window), best in zip(open_, self.neighbours([s for s, _ in open_])):
+                unfit, free = -1, room(window)
+                for d in best[self.unused[best]].tolist():
+                    n = int(self.lengths[d] - self.first[d])
+                    if n <= free:
+                        take(window, d, n)
+                        free -= n
+                    elif unfit < 0:
+                        unfit = d
+                    if not free:
+                        break
+                if free and unfit >= 0:
+                    take(window, unfit, free)
+                    cut.append(unfit)
+                    free = 0
+                if free:
+                    still.append((seed, window))
+                else:
+                    yield window
+            open_ = still
 
 
 ENCODED = "doc_id long, n_tokens long, crcs array<long>, rest binary, counts binary"
@@ -277,12 +184,13 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row a piece, as ``PIECES`` says: every id of every row lies in one piece, a sequence has at most 4096.
 
     Null text is empty: its document is the end id alone. Rows with equal or null doc_id are documents of their
-    own. An empty table gives no rows. Nothing is dropped: a document of any length is cut into windows.
+    own. An empty table gives no rows. Nothing is dropped: a document of any length is cut into windows. Other
+    columns of ``docs`` aren't read.
     """
     spark = docs.sparkSession
     made = saved(id_text(docs).mapInArrow(_encode(tokenizer), ENCODED), "packing-ids")
     ids = made.where("n_tokens is not null")
-    total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.count_if(F.col("n_tokens") % WINDOW > 0).alias("r")).first()
+    total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).first()
     n_docs, mean = total["n"], (total["t"] or 0) / max(total["n"], 1)
     shared = spark.sparkContext.broadcast(idf(tokens.counts_of(made), n_docs))  # 65,536 numbers
 
@@ -296,170 +204,48 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
             keys = [pa.array([int(x[np.argmin(d[x])]) for x in rest], pa.int32()) for d in draw]
             yield pa.RecordBatch.from_arrays([*batch.columns, *keys], ["doc_id", "doc_tokens", "ids", "k1", "k2"])
 
-    def index(batches: Iterator) -> Iterator:
+    def fill(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names, kinds = [x.split()[0] for x in SHARDS.split(", ")], [pa.int64(), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 6]
+        number = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
-        number = TaskContext.get().partitionId() << 24
-
-        def flush():
-            flat, lengths = np.frombuffer(b"".join(x[2] for x in held), "<u2"), np.array([len(x[2]) // 2 for x in held])
-            row = [number, [x[0] for x in held], [x[1] for x in held], *(x.tobytes() for x in (lengths.astype("<u2"), flat, *_postings(flat, lengths)))]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+        total = 0
+
+        def flush(some: list[tuple]):
+            nonlocal number
+            docs = [np.frombuffer(x[2], "<u2") for x in some]
+            rows = []
+            for window in Shard(docs, shared.value, mean).windows():
+                offset = 0
+                for d, first, n in window:
+                    doc_id, size, _ = some[d]
+                    rows.append((doc_id, size - len(docs[d]) + first, n, _crc(docs[d][first : first + n]), size, 2 * number, offset))
+                    offset += n
+                number += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], _NAMES)
 
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 held.append(row)
-                if len(held) == SHARD_ROWS:
-                    yield flush()
-                    held, number = [], number + 1
+                total += len(row[2]) // 2
+                if 2 * len(held) >= 3 * SHARD_ROWS or 2 * total >= 3 * SHARD_IDS:
+                    at = np.searchsorted(np.cumsum([len(x[2]) // 2 for x in held]), SHARD_IDS, "right")
+                    at = max(1, min(SHARD_ROWS, int(at)))
+                    yield flush(held[:at])
+                    held = held[at:]
+                    total = sum(len(x[2]) // 2 for x in held)
         if held:
-            yield flush()
+            yield flush(held)
 
     window = F.lit(WINDOW).cast("long")
     long = ids.where(F.col("n_tokens") >= WINDOW).select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.posexplode("crcs").alias("place", "ids_crc32"))
     long = long.select("doc_id", (F.col("place") * window).alias("start"), window.alias("length"), "ids_crc32", "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = ids.where(F.col("n_tokens") % WINDOW > 0).select("doc_id", "n_tokens", "rest").mapInArrow(rests, "doc_id long, doc_tokens long, ids binary, k1 int, k2 int")
-    shards = max(1, math.ceil((total["r"] or 0) / SHARD_ROWS))
-    short = short.repartitionByRange(shards, "k1", "k2", "doc_id").sortWithinPartitions("k1", "k2", "doc_id", F.crc32("ids"))
-    made = saved(short.select("doc_id", "doc_tokens", "ids").mapInArrow(index, SHARDS), "packing-shards")
-    return long.unionByName(_packed(made, shared, mean))
-
-
-def _packed(shards: DataFrame, weights, mean: float) -> DataFrame:
-    """The pieces of all rests in ``shards``."""
-    import pyarrow as pa
-
-    spark = shards.sparkSession
-    sizes = sorted((r["shard"], np.frombuffer(r["lengths"], "<u2")) for r in shards.select("shard", "lengths").toLocalIterator())
-    lengths = np.concatenate([x for _, x in sizes] or [np.zeros(0)]).astype(np.int32)
-    base = dict(zip([k for k, _ in sizes], np.cumsum([0, *(len(x) for _, x in sizes)]).tolist()))
-    del sizes
-    state, path = Packing(lengths), new_path(spark, "packing-plan")
-    most = max(NEIGHBOURS, min(LONGEST_LIST, 2 * WINDOW * len(lengths) // max(int(lengths.sum()), 1)))
-
-    def put(df: DataFrame) -> None:
-        df.coalesce(1).write.mode("append").parquet(path)
-
-    put(spark.createDataFrame([], PLAN))
-    while seeds := state.seeds():
-        state.fill(_ask(shards, seeds, state, base, most, weights, mean))
-        columns = zip(*state.rows)
-        put(spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in PLAN.split(", ")])))
-        state.rows = []
-    left = np.flatnonzero(state.unused)  # SHARD_ROWS at most
-    if len(left):
-        put(_last_shard(shards, {int(d): int(state.first[d]) for d in left}, base, state.windows, weights, mean))
-
-    def rests(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for shard, doc_ids, doc_tokens, sizes, ids in zip(*(batch.column(k) for k in range(5))):
-                rid = base[shard.as_py()] + np.arange(len(doc_ids))
-                at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<u2"), dtype=np.int32))) * 2
-                each = pa.Array.from_buffers(pa.binary(), len(rid), [None, pa.py_buffer(at.astype(np.int32)), ids.as_buffer()])
-                yield pa.RecordBatch.from_arrays([pa.array(rid), doc_ids.values, doc_tokens.values, each], ["rid", "doc_id", "doc_tokens", "ids"])
-
-    def pieces(batches: Iterator) -> Iterator:
-        for batch in batches:
-            doc_ids, doc_tokens, ids, first, n, sequence, offset = batch.columns
-            first, n = first.to_numpy(), n.to_numpy()
-            crc = [_crc(np.frombuffer(x.as_buffer(), "<u2")[a : a + k]) for x, a, k in zip(ids, first.tolist(), n.tolist())]
-            start = doc_tokens.to_numpy() // WINDOW * WINDOW + first
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start), pa.array(n), pa.array(crc, pa.int64()), doc_tokens, sequence, offset], _NAMES)
-
-    each = shards.select("shard", "doc_ids", "doc_tokens", "lengths", "ids").mapInArrow(rests, "rid long, doc_id long, doc_tokens long, ids binary")
-    both = each.join(spark.read.schema(PLAN).parquet(path), "rid")
-    return both.select("doc_id", "doc_tokens", "ids", "first", "length", "sequence_id", "offset").mapInArrow(pieces, PIECES)
-
-
-def _ask(shards: DataFrame, seeds: list[int], state: Packing, base: dict[int, int], most: int, weights, mean: float) -> dict[int, np.ndarray]:
-    """For each seed the best ``most`` unused documents of all shards, best first; ties by number."""
-    context = shards.sparkSession.sparkContext
-    wanted = np.sort(np.array(seeds, np.int64))
-
-    def terms(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for shard, sizes, ids in zip(*batch.columns):
-                at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<u2"), dtype=np.int64)))
-                lo = base[shard.as_py()]
-                mine = wanted[np.searchsorted(wanted, lo) : np.searchsorted(wanted, lo + len(at) - 1)]
-                flat = np.frombuffer(ids.as_buffer(), "<u2")
-                got = [np.unique(flat[at[d] : at[d + 1]]).tobytes() for d in (mine - lo).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(got, pa.binary())], ["seed", "terms"])
-
-    found = shards.select("shard", "lengths", "ids").mapInArrow(terms, "seed long, terms binary").collect()
-    found = sorted((r["seed"], bytes(r["terms"])) for r in found)
-    asked = context.broadcast(([k for k, _ in found], [t for _, t in found], np.packbits(state.unused)))
-
-    def search(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        numbers, raw, bits = asked.value
-        best = Best([np.frombuffer(t, "<u2") for t in raw], most)
-        for batch in batches:
-            for shard, sizes, *postings in zip(*batch.columns):
-                n, *postings = (np.frombuffer(x.as_buffer(), "<u2") for x in (sizes, *postings))
-                lo = base[shard.as_py()]
-                unused = np.unpackbits(bits[lo >> 3 : (lo + len(n) + 7) >> 3])[lo & 7 : (lo & 7) + len(n)].astype(bool)
-                best.add(lo + np.arange(len(n)), unused, n, postings, weights.value.astype(np.float64), mean)
-        for a in range(0, len(numbers), 1024):
-            docs, score = ([x.tobytes() for x in y[a : a + 1024]] for y in (best.doc, best.score))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[a : a + 1024], pa.int64()), pa.array(docs, pa.binary()), pa.array(score, pa.binary())], ["seed", "docs", "scores"])
-
-    def merge(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        each: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for seed, docs, scores in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                d, s = np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(scores.as_buffer(), np.float32)
-                if seed in each:
-                    d, s = (np.concatenate(x) for x in zip(each[seed], (d, s)))
-                order = np.lexsort((d, -s))[:most]
-                each[seed] = d[order], s[order]
-        docs = [d[d >= 0].tobytes() for d, _ in each.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.int64()), pa.array(docs, pa.binary())], ["seed", "docs"])
-
-    lists = shards.select("shard", "lengths", "owner", "tf", "terms", "n").mapInArrow(search, "seed long, docs binary, scores binary")
-    rows = lists.repartition("seed").mapInArrow(merge, "seed long, docs binary").collect()
-    asked.destroy()
-    return {r["seed"]: np.frombuffer(bytes(r["docs"]), np.int64) for r in rows}
-
-
-def _last_shard(shards: DataFrame, left: dict[int, int], base: dict[int, int], number: int, weights, mean: float) -> DataFrame:
-    """The plan of the documents ``left`` (each with its first id), windows numbered from ``number``."""
-
-    def rests(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for shard, sizes, ids in zip(*batch.columns):
-                at = np.concatenate(([0], np.cumsum(np.frombuffer(sizes.as_buffer(), "<u2"), dtype=np.int64)))
-                lo, flat = base[shard.as_py()], np.frombuffer(ids.as_buffer(), "<u2")
-                mine = [d for d in range(lo, lo + len(at) - 1) if d in left]
-                got = [flat[at[d - lo] + left[d] : at[d - lo + 1]].tobytes() for d in mine]
-                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array(got, pa.binary())], ["rid", "ids"])
-
-    def fill(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        rows = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        if not rows:
-            return
-        out: list[tuple] = []
-        for k, window in enumerate(Shard([np.frombuffer(x, "<u2") for _, x in rows], weights.value, mean).windows(), number):
-            offset = 0
-            for d, first, n in window:
-                out.append((rows[d][0], left[rows[d][0]] + first, n, 2 * k, offset))
-                offset += n
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [x.split()[0] for x in PLAN.split(", ")])
-
-    few = shards.select("shard", "lengths", "ids").mapInArrow(rests, "rid long, ids binary")
-    return few.repartition(1).sortWithinPartitions("rid").mapInArrow(fill, PLAN)
+    # as many tasks as the session has shuffle partitions, each with as many shards as its rows make
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    short = short.repartitionByRange(parts, "k1", "k2", "doc_id").sortWithinPartitions("k1", "k2", "doc_id", F.crc32("ids"))
+    return long.unionByName(short.select("doc_id", "doc_tokens", "ids").mapInArrow(fill, PIECES))
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
