@@ -7,7 +7,6 @@ Tables that must outlive an executor are written as Parquet below the folder nam
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,10 +15,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
+    """The cluster's shared folder; where none is set, one below the session's warehouse, which all executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="skyloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/skyloom-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -57,11 +56,61 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def own(docs: DataFrame) -> list:
+    """All columns of ``docs``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores after it until no column of ``docs`` has that name."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def let(value, body):
     """Bind an expression to a lambda variable, so that ``body`` uses it without evaluating it again."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Bits of a membership filter: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def maybe_among(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``among``: false only where ``column`` is surely none of ``keys``.
+
+    A bitmap of hashed keys is broadcast, so rows aren't moved to find the few that a join needs.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(7)), F.lit(FILTER_BITS).cast("long"))
+    bits = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("__bits"))
+    spot = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(column)) == F.col("__bucket"), "left")
+    return joined.select(*rows.columns, F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False)).alias("among"))
+
+
+#: A key of more rows than this is spread over SALTS tasks in ``hot_join``.
+HOT, SALTS = 4096, 64
+
+
+def hot_join(rows: DataFrame, few: DataFrame, on: list[str], n: str, spread: str, hot: int = HOT) -> DataFrame:
+    """``rows`` left-joined with ``few``, which has a row a key and in ``n`` how many rows have that key.
+
+    A key of more than ``hot`` rows is spread by ``spread`` over ``SALTS`` tasks: its row of ``few`` goes to each of them.
+    A bitmap tells on both sides which keys those are, so the others are moved once and as they are.
+    """
+    key = F.xxhash64(*on)
+    many = few.where(F.col(n) > hot).select(key.alias("__key"))
+    rows, few = (maybe_among(t.withColumn("__key", key), "__key", many, "__key").drop("__key") for t in (rows, few))
+    salt = F.pmod(F.xxhash64(F.col(spread), F.lit(3)), F.lit(SALTS).cast("long")).alias("__salt")
+    side = lambda t, among: t.where(F.col("among") == among).drop("among")
+    plain = side(rows, False).join(side(few, False), on, "left")
+    copies = side(few, True).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    return plain.unionByName(side(rows, True).select("*", salt).join(copies, [*on, "__salt"], "left").drop("__salt"))
+
+
 # ---------------------------------------------------------------- byte-level kernels (NumPy)
 
 _P = np.uint64(0x9E3779B97F4A7C15)

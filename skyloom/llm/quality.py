@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import let, table
+from ._common import free_name, let, own, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -28,7 +28,8 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("stop_words", "stop_ratio", 0.04, None),
     ("repeated_lines", "dup_line_ratio", None, 0.5),
 )
-METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop_words", "n_upper")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("n_lines", "n_stop_words", "n_upper")
 
 
 def words_of(text: Column) -> Column:
@@ -96,23 +97,30 @@ def verdict(fields: dict[str, Column], rules=RULES) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def score(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Every row of ``docs`` with its metrics under ``quality``: a struct, so that no column clashes.
+def score(docs: DataFrame, rules=RULES, name: str = "quality") -> DataFrame:
+    """Every row of ``docs`` with its metrics in a last column ``quality``, a struct.
 
-    Null text counts as empty: no words, and so not kept. Nothing is joined, grouped or cut; a repeated
-    row is scored again.
+    A column of that name stays as it is: the struct's then has an underscore more. Null text counts as empty: no
+    words, and so not kept. Nothing is joined, grouped or cut; a repeated row is scored again; an empty table gives none.
     """
+    name = free_name(docs, name)
     text = F.coalesce(docs["text"], F.lit(""))
     found = let(text, lambda t: let(words_of(t), lambda w: F.struct(*[c.alias(k) for k, c in metrics(t, w).items()])))
-    out = docs.withColumn("quality", found)
-    fields = {k: F.col(f"quality.{k}") for k in METRICS}
+    out = docs.select(*own(docs), found.alias(name))
+    fields = {k: F.col(f"{name}.{k}") for k in (*METRICS, *MORE)}
     base = (fields["n_words"] < 50) | (100 * fields["n_repeat_words"] > 50 * fields["n_words"])
-    return out.withColumn("quality", F.struct("quality.*", base.alias("base_failed"), (~base & verdict(fields, rules)).alias("kept")))
+    return out.withColumn(name, F.struct(f"{name}.*", base.alias("base_failed"), (~base & verdict(fields, rules)).alias("kept")))
+
+
+def keep(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
+    scored = score(docs, rules)
+    return scored.where(F.col(f"{scored.columns[-1]}.kept")).select(*own(docs))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = score(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return q.select("doc_id", *[f"quality.{k}" for k in (*METRICS, "base_failed", "kept")])
+    return q.select("doc_id", *[f"quality.{k}" for k in (*METRICS, "base_failed", "kept", *MORE)])
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '')"
@@ -120,11 +128,9 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for
 OP9_SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
 m as (
- select doc_id, len(w) as n_words, length(regexp_replace(t, '[ 	-
-]', '', 'g')) as word_chars,
+ select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
-  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) as l,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
   length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) as n_upper,
   len(list_filter(w, lambda x: lower(rtrim(x, '.,;:!?')) in ({_STOPS}))) as n_stop_words
  from d),
@@ -132,7 +138,7 @@ g as (select doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as g from (select
 r as (select doc_id, count(distinct i + k) as n_repeat_words from
   (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) cross join (values (0), (1), (2)) v(k) where c > 1 group by doc_id),
 f as (select m.doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, len(l) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_stop_words, n_upper from m left join r using (doc_id))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_stop_words, n_upper,
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, n_upper,
  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
  n_words >= 50 and 100 * n_repeat_words <= 50 * n_words and word_chars / greatest(n_words, 1) between 2.0e0 and 12.0e0
   and n_symbols / greatest(n_words, 1) <= 0.2e0 and n_upper / greatest(word_chars, 1) <= 0.4e0

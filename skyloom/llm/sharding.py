@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import free_name, own, table
 
 #: A prime well over a hundred times the number of shards keeps shares within one percent.
 TABLE_SIZE = 65_537
@@ -51,26 +51,35 @@ def key_hash(key: Column) -> Column:
 
 
 def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """Every row of ``docs`` with ``placement``: a struct of slot and shard (one column, so that names can't clash).
+    """Every row of ``docs`` with a last column ``placement``, a struct of slot and shard.
 
-    Equal keys, nulls among them, go to one shard, so a key that few rows share should be chosen
-    (``doc_id``, not a source). Row count and other columns stay as they are. No shuffle.
+    A column of that name stays as it is: the struct's then has an underscore more. Equal keys, nulls among them, go to
+    one shard, so a key that few rows share should be chosen (``doc_id``, not a source). Row count and other columns stay
+    as they are; an empty table gives no rows. No shuffle.
     """
     owners = ",".join(map(str, lookup_table(shards, size)))
     spark = docs.sparkSession
     owned = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "owner"))
     names = F.split(F.lit("\n".join(shards)), "\n")
-    owned = owned.select(F.col("slot").cast("long").alias("__slot"), F.element_at(names, F.col("owner").cast("int") + 1).alias("__shard"))
-    out = docs.withColumn("placement", F.pmod(key_hash(F.col(key)), F.lit(size).cast("long")))
-    out = out.join(F.broadcast(owned), out["placement"] == owned["__slot"], "left")
-    return out.withColumn("placement", F.struct(F.col("placement").alias("slot"), F.col("__shard").alias("shard"))).drop("__slot", "__shard")
+    name, slot, shard = (free_name(docs, x) for x in ("placement", "__slot", "__shard"))
+    owned = owned.select(F.col("slot").cast("long").alias(slot), F.element_at(names, F.col("owner").cast("int") + 1).alias(shard))
+    out = docs.select(*own(docs), F.pmod(key_hash(F.col(key)), F.lit(size).cast("long")).alias(name))
+    out = out.join(F.broadcast(owned), out[name] == owned[slot], "left")
+    return out.select(*own(docs), F.struct(F.col(name).alias("slot"), F.col(shard).alias("shard")).alias(name))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 1) -> None:
-    """Write ``docs`` below ``path`` in one folder a shard; a shard's rows are dealt over ``files_per_shard`` tasks."""
-    placed = place(docs, key, shards, size).select(*docs.columns, F.col("placement.shard").alias("shard"))
-    part = F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_shard).cast("long"))
-    placed.repartition(len(shards) * files_per_shard, "shard", part).write.partitionBy("shard").parquet(path)
+    """Write ``docs`` below ``path`` in one folder a shard; a shard's rows are dealt over ``files_per_shard`` tasks.
+
+    The folders are named ``shard=``; where ``docs`` has a column ``shard``, that stays in the files and the folders'
+    name has an underscore more. Null keys are one key; rows that share a key are dealt over their shard's
+    files, so a hot key is no larger task than its shard's others. An empty table gives an empty folder.
+    """
+    placed = place(docs, key, shards, size)
+    name = free_name(docs, "shard")
+    placed = placed.select(*own(docs), F.col(f"{placed.columns[-1]}.shard").alias(name))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_shard).cast("long"))
+    placed.repartition(len(shards) * files_per_shard, name, part).write.partitionBy(name).parquet(path)
 
 
 def op4_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
