@@ -60,7 +60,7 @@ class Finder:
         for part, at in seeds.items():
             self.automaton.add_word(part, (len(part), at))
         self.automaton.make_automaton()
-        # BESTMATCH: the fewest edits in the candidate's range; whole words only
+        # BESTMATCH: the fewest edits in a range; whole words only
         self.patterns = [regex.compile(f"(?be)(?<![^ ])(?:{text}){{e<={k}}}(?![^ ])") for text, _, k in self.notices]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -78,10 +78,20 @@ class Finder:
         found = []
         for i, spans in ranges.items():
             for a, b in spans:
-                for m in self.patterns[i].finditer(text, a, b):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                found += self._all(i, text, text.rfind(" ", 0, a) + 1, b if (space := text.find(" ", b)) < 0 else space)
         return [x for run in _runs(sorted(found, key=lambda x: (x[1], x[2], x[0]))) for x in self._closest(run)]
 
+    def _all(self, i: int, text: str, a: int, b: int) -> list[tuple[int, int, int, int]]:
+        """Matches of a notice between ``a`` and ``b``, both at ends of words: the best, then those before and after it."""
+        notice, _, k = self.notices[i]
+        found, ranges = [], [(a, b)]
+        while ranges:
+            a, b = ranges.pop()
+            if b - a >= len(notice) - k and (m := self.patterns[i].search(text, a, b)):
+                found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                ranges += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
+        return found
+
     def _closest(self, run: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Of matches that overlap, the one with the smallest share of edits stays, then the longest."""
         kept: list[tuple[int, int, int, int]] = []
@@ -140,13 +150,16 @@ def scan(docs: DataFrame) -> DataFrame:
                 for i in range(b - a):
                     text = flat[cuts[i] : cuts[i + 1]].decode("utf-8", "replace")
                     lead = text.startswith(" ")
-                    word = lambda p: text.count(" ", 0, p) - lead  # noqa: E731, B023
                     places, base, more, score = [], set(), [], 0.0
-                    for phrase, pattern in _PHRASES.items():
-                        if phrase in text and (hits := [word(m.start()) for m in pattern.finditer(text)]):
+                    starts = {p: [m.start() for m in pattern.finditer(text)] for p, pattern in _PHRASES.items() if p in text}
+                    notices = finder.find(text)
+                    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32) if starts or notices else []
+                    word = lambda p: int(np.searchsorted(spaces, p)) - lead  # noqa: E731, B023
+                    for phrase, hits in starts.items():
+                        if hits:
                             base.add(BASE[phrase])
-                            places += hits
-                    for n, s, e, edits in finder.find(text):
+                            places += map(word, hits)
+                    for n, s, e, edits in notices:
                         notice, label, _ = finder.notices[n]
                         more.append((label, word(s), word(e - 1) + 1, edits))
                         score = max(score, 1 - edits / len(notice))

@@ -4,6 +4,7 @@ import re
 from skyloom.llm import licenses
 
 from .data import ODD, frame, put
+from .test_line_dedup import distance
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -54,6 +55,30 @@ def test_span_words(spark):
     assert r.spans == "mit:2:7:1" and r.labels == "mit" and 0.9 < r.score < 1
 
 
+def test_all_notices_of_a_range_are_found(spark):
+    worse, exact = "released under the mit licence", "released under the mit license"
+    rows = [f"{worse} {exact}", f"{exact} {worse} {exact}", " ".join(["licensed under the apache licence version 2 0"] * 3 + ["licensed under the apache license version 2 0"]), f"{worse} and more {worse}"]
+    got = licenses.scan(frame(spark, rows)).orderBy("doc_id").collect()
+    assert [r.spans for r in got] == ["mit:0:5:1,mit:5:10:0", "mit:0:5:0,mit:5:10:1,mit:10:15:0", "apache-2.0:0:8:1,apache-2.0:8:16:1,apache-2.0:16:24:1,apache-2.0:24:32:0", "mit:0:5:1,mit:7:12:1"]
+
+
+def test_spans_equal_brute_force():
+    """Every whole-word stretch of a text against every notice by edit distance: each one in bounds meets a reported span."""
+    rng, finder = random.Random(9), licenses.Finder(licenses.NOTICES[:3])
+    for _ in range(25):
+        parts = [rng.choice([edited(rng, n, rng.choice([0, 1, 2])), "the cat sat on a mat"]) for n, _ in (rng.choice(licenses.NOTICES[:3]) for _ in range(4))]
+        text = " ".join(" ".join(parts).split())
+        found = finder.find(text)
+        for i, s, e, edits in found:
+            assert distance(finder.notices[i][0], text[s:e]) == edits <= finder.notices[i][2]
+        cuts = [0, *(m.end() for m in re.finditer(" ", text))]
+        for i, (notice, _, k) in enumerate(finder.notices):
+            for s in cuts:
+                for e in (m.start() for m in re.finditer(" |$", text)):
+                    if abs(e - s - len(notice)) <= k and distance(notice, text[s:e]) <= k:
+                        assert any(s < y and x < e for _, x, y, _ in found), (notice, text[s:e])
+
+
 def test_the_closest_of_like_notices_is_reported(spark):
     (r,) = licenses.scan(frame(spark, ["Licensed under CC BY-NC 4.0."])).collect()
     assert (r.base_labels, r.labels, r.spans, r.score) == ("cc-by", "cc-by,cc-by-nc-4.0", "cc-by-nc-4.0:0:7:0", 1.0)
