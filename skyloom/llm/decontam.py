@@ -2,12 +2,16 @@
 
 Passages are windows of 64 words, one every 32. An item's score is divided by its own threshold, a share of
 what the item scores against itself, so that 1 is the bar for all. Items are grouped into blocks; a term's
-largest impact in each block bounds what a passage can score there (block-max WAND, for all passages of a
-batch at once): only passage and block pairs whose bound reaches 1 are scored exactly, and all items at 1 or
-more are retrieved. A retrieved item counts as leaked where n-grams of its question and of its answer stand
-in the text around the passage.
-
-The index of one round is built from at most ``ROUND_BYTES`` of item text; more items take more rounds.
+largest impact in each block bounds what a passage can score there. This is block-max WAND, for all passages of a
+batch at once: a passage whose terms' largest impacts don't reach 1 together is skipped; of the others, the terms
+in order of those impacts have a pivot, where the sum reaches 1, and an item needs a term from the pivot on, so
+only blocks that hold one are looked at; only passage and block pairs whose bound reaches 1 are scored exactly. All
+items at 1 or more are retrieved. A retrieved item counts as leaked where n-grams of its question and of its
+answer stand in the text around the passage.
+
+The index of one round is built from at most about ``ROUND_BYTES`` of item text; more items take more rounds, each a
+scan of the documents. Counts of terms, the number of items and their lengths are those of all items, so scores
+don't depend on the rounds.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ALNUM_WORD, column_bytes, id_text, lower_ascii, slices, table, word_bounds, word_hashes
+from ._common import ALNUM_WORD, column_bytes, discard, free_name, id_text, lower_ascii, own, saved, slices, table, word_bounds, word_hashes
 
 HALF = 32
 SHARE = 0.6
@@ -71,19 +76,34 @@ def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+class Totals(NamedTuple):
+    """Statistics of all items: their number, mean and greatest length in words, and how many items hold each term."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[np.ndarray]) -> Totals:
+        terms, counts = np.unique(np.concatenate([np.unique(w) for w in words] or [np.zeros(0, np.uint64)]), return_counts=True)
+        return cls(len(words), sum(map(len, words)) / max(len(words), 1), max(map(len, words), default=0), terms, counts)
+
+
 class Index:
     """Inverted index of items: impacts over the item's threshold, and their maxima by block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], totals: Totals | None = None):
         self.ids = [i for i, _ in items]
         self.parts = [tuple(map(text_hashes, question_and_answer(t or ""))) for _, t in items]
         words = [text_hashes(t or "") for _, t in items]
-        self.longest = max(map(len, words), default=0)
-        mean = sum(map(len, words)) / max(len(words), 1) or 1.0
+        totals = totals or Totals.of(words)
+        self.longest, mean = totals.longest, totals.mean or 1.0
         each = [np.unique(w, return_counts=True) for w in words]
         self.terms, inverse = np.unique(np.concatenate([t for t, _ in each] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        counts = np.bincount(inverse, minlength=len(self.terms))
-        idf = np.log1p((len(items) - counts + 0.5) / (counts + 0.5))
+        counts = totals.counts[np.searchsorted(totals.terms, self.terms)]
+        idf = np.log1p((totals.n - counts + 0.5) / (counts + 0.5))
         owner = np.repeat(np.arange(len(words)), [len(t) for t, _ in each])
         tf = np.concatenate([c for _, c in each] or [np.zeros(0)])
         length = np.array([len(w) for w in words], float)
@@ -99,6 +119,7 @@ class Index:
         key, first = np.unique(at * self.n_blocks + self.block_of[self.owner], return_index=True)
         self.block, self.most = key % self.n_blocks, np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.block_ends = np.searchsorted(key // self.n_blocks, np.arange(len(self.terms) + 1))
+        self.highest = np.maximum.reduceat(self.impact, self.ends[:-1]) if len(self.terms) else np.zeros(0)
 
     def search(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, score, first word of the passage) of all items at the bar or above, for each passage.
@@ -128,9 +149,20 @@ class Index:
             row, t = np.repeat(np.arange(len(f)), n), term[_expand(lo, n)]
             pairs = np.unique(row * len(self.terms) + t)
             row, t = pairs // len(self.terms), pairs % len(self.terms)
+            keep = np.bincount(row, weights=self.highest[t], minlength=len(f))[row] >= 1 - 1e-9
+            row, t = row[keep], t[keep]
+            order = np.lexsort((self.highest[t], row))
+            row, t = row[order], t[order]
+            upto = np.cumsum(self.highest[t])
+            first = np.searchsorted(row, np.arange(len(f)))
+            pivot = upto - np.concatenate(([0.0], upto))[first[row]] >= 1 - 1e-9
             n = self.block_ends[t + 1] - self.block_ends[t]
             e = _expand(self.block_ends[t], n)
-            bound = np.bincount(np.repeat(row, n) * self.n_blocks + self.block[e], weights=self.most[e], minlength=len(f) * self.n_blocks)
+            cell = np.repeat(row, n) * self.n_blocks + self.block[e]
+            reached = np.zeros(len(f) * self.n_blocks, bool)
+            reached[cell[np.repeat(pivot, n)]] = True
+            some = reached[cell]
+            bound = np.bincount(cell[some], weights=self.most[e[some]], minlength=len(f) * self.n_blocks)
             open_ = bound.reshape(len(f), self.n_blocks) >= 1 - 1e-9
             keep = open_.any(1)[row]
             row, t = row[keep], t[keep]
@@ -181,19 +213,49 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(items["text"], F.lit("")).alias("text"))
     items = items.where(F.length(F.trim("text")) > 0)
-    size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    hashed = saved(items.select("item_id", "text", _item_key().alias("key")).mapInArrow(_item_terms, "key long, n long, b long, terms array<long>"), "items")
+    size = hashed.agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
     rounds = max(1, math.ceil((size["b"] or 0) / ROUND_BYTES))
+    in_round = lambda key, k: F.pmod(key, F.lit(rounds).cast("long")) == k
+    counts = hashed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     out = []
     for k in range(rounds):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k).orderBy("item_id", "text")
+        mine = items.where(in_round(_item_key(), k)).orderBy("item_id", "text")
         rows = [(r["item_id"], r["text"]) for r in mine.collect()]  # about ROUND_BYTES of text
-        out.append(_scan(docs, spark.sparkContext.broadcast(Index(rows))))
+        wanted = hashed.where(in_round(F.col("key"), k)).select(F.explode("terms").alias("term")).distinct()
+        found = np.array([(r["term"], r["n"]) for r in counts.join(wanted, "term", "left_semi").collect()], np.int64).reshape(-1, 2)
+        terms = found[:, 0].view(np.uint64) if len(found) else np.zeros(0, np.uint64)
+        order = np.argsort(terms)
+        index = spark.sparkContext.broadcast(Index(rows, Totals(size["n"], size["mean"] or 0.0, size["longest"] or 0, terms[order], found[order, 1])))
+        out.append(saved(_scan(docs, index), "leaks"))  # a row a leak; the round's index can go
+        index.unpersist()
+    discard(spark, hashed)
     return reduce(DataFrame.unionByName, out)
 
 
+def _item_key():
+    return F.xxhash64("item_id", "text")
+
+
+def _item_terms(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        words = [text_hashes(t) for t in batch.column(1).to_pylist()]
+        terms = [np.unique(w).view(np.int64) for w in words]
+        size = [len(t.encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(map(len, words), pa.int64()), pa.array(size, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["key", "n", "b", "terms"])
+
+
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item; a null doc_id is never dropped."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that leak an item, null doc_ids among them; rows that share a doc_id go by their text.
+
+    Null and empty texts stay. Other columns stay as they are, whatever their names.
+    """
+    doc, text = free_name(docs, "__doc"), free_name(docs, "__text")
+    keyed = docs.select(*own(docs), F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))).alias(doc))
+    found = leaks(keyed.select(F.col(doc).alias("doc_id"), F.col("text")), items).select(F.col("doc_id").alias(text)).distinct()
+    return keyed.join(found, keyed[doc] == found[text], "left_anti").select(*own(docs))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
