@@ -6,7 +6,8 @@ segments into an index by length and segment number; each line probes it with th
 the position bounds for each length difference allow, and pairs that meet are verified by a banded
 bit-parallel automaton. Counts of ten letters, carried with the keys, drop hopeless pairs inside the join.
 
-A line is dropped where an equal or near-equal line occurs earlier, by doc_id and then line number.
+A line is dropped where an equal or near-equal line occurs earlier, by doc_id and then line number. Equal lines of
+any length count, blank ones apart; near-equal ones where the longer has ``LEAST_CHARS``.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE_WORD, discard, let, saved, table
+from ._common import SPACE_WORD, discard, free_name, let, maybe_among, own, saved, table
+from .quality import words_of
 
 EDITS = 2
-#: Shorter lines are left alone.
+#: Two lines that are both shorter are near equal only if they are equal.
 LEAST_CHARS = 20
 #: Letters counted for the filter, six bits each; an edit changes the counts by two together at most.
 LETTERS = "etaonirshd"
 SHORTER = 6 * len(LETTERS)
+LONG = SHORTER + 1
 _SPACES = "".join(chr(i) for i in range(128) if not SPACE_WORD[i])
 
 
@@ -111,38 +114,28 @@ def letters_apart(a: Column, b: Column) -> Column:
     return total
 
 
-#: Bits of a membership filter: 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+def row_key(docs: DataFrame) -> Column:
+    """Tells apart rows with the same doc_id and other texts."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
 
 
-def maybe_among(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``among``: false only where ``column`` is surely none of ``keys``.
-
-    A bitmap of hashed keys is broadcast, so rows aren't moved to find the few that a join needs.
-    """
-    place = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(7)), F.lit(FILTER_BITS).cast("long"))
-    bits = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("__bits"))
-    spot = F.bitmap_bit_position(place(column))
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(column)) == F.col("__bucket"), "left")
-    return joined.select(*rows.columns, F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False)).alias("among"))
-
-
-def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, least_chars: int, edits: int) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id"), text).alias("k"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    rows = rows.where(F.octet_length("line") >= least_chars).withColumn("line", F.btrim("line", F.lit(_SPACES)))
-    rows = rows.withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
-    return rows.withColumns({"id": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "letters": letter_counts(F.col("line"))})
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("k"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    rows = rows.where("line <> ''").withColumn("line", F.btrim("line", F.lit(_SPACES)))
+    rows = rows.withColumn("n", F.length("line")).where("n > 0")
+    letters = letter_counts(F.col("line")).bitwiseOR(F.shiftleft((F.col("n") >= least_chars).cast("long"), LONG))
+    letters = F.when(F.col("n") >= least_chars - edits, letters)
+    return rows.withColumns({"id": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "letters": letters})
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, k, line_no, near): the lines to drop; ``near`` if no equal line is earlier, only a near-equal one.
 
-    ``k`` tells apart rows with the same doc_id and other texts. Rows that repeat doc_id and text are the same
-    document: their lines are no copies of one another. Null doc_ids come first.
+    ``k`` tells apart rows with the same doc_id and other texts (``row_key``). Rows that repeat doc_id and text are the
+    same document: their lines are no copies of one another. Null doc_ids come first.
     """
-    lines = saved(_lines(docs, least_chars), "lines", dictionary=False)
+    lines = saved(_lines(docs, least_chars, edits), "lines", dictionary=False)
     at = F.struct("doc_id", "k", "line_no")
     same_line = ["id", "h2", "n"]
     copied = saved(lines.groupBy(*same_line).agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "line-copies")
@@ -150,12 +143,13 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
     # one row a distinct line: those without a copy as they are, the rest grouped
     text = maybe_among(lines.select(*same_line, "line", "letters"), "id", copied, "id")
     grouped = text.where("among").groupBy(*same_line).agg(F.min("line").alias("line"), F.min("letters").alias("letters"))
-    distinct = text.where("not among").drop("among").unionByName(grouped)
+    distinct = text.where("not among").drop("among").unionByName(grouped).where("letters is not null")
 
     index = segment_keys(distinct, index_specs(edits), edits).select("key", F.col("id").alias("a"), F.col("letters").alias("la"))
     probes = segment_keys(distinct, probe_specs(edits), edits).select("key", F.col("id").alias("b"), F.col("letters").alias("lb"))
     # lines of one length meet twice: once is enough
-    alike = ((F.col("a") < F.col("b")) | (F.getbit("lb", F.lit(SHORTER)) == 1)) & (letters_apart(F.col("la"), F.col("lb")) <= 2 * edits)
+    alike = ((F.col("a") < F.col("b")) | (F.getbit("lb", F.lit(SHORTER)) == 1)) & (F.getbit(F.col("la").bitwiseOR(F.col("lb")), F.lit(LONG)) == 1)
+    alike = alike & (letters_apart(F.col("la"), F.col("lb")) <= 2 * edits)
     pairs = index.join(probes, (index["key"] == probes["key"]) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = saved(pairs, "line-pairs")
 
@@ -166,8 +160,6 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
     both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
     same = let(chars(F.col("line_a")), lambda x: let(chars(F.col("line_b")), lambda y: near_equal(x, y, edits)))
     later = F.col("at_a") > F.col("at_b")
-    # the built-in distance, cut off at the bound, spares the automaton most of the pairs
-    both = both.where(F.levenshtein("line_a", "line_b", edits) >= 0)
     near = both.where(same).select(*[F.when(later, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in (*same_line, "at")]).distinct()
 
     marked = near.withColumn("near", F.lit(True)).unionByName(copied.withColumn("near", F.lit(False)))
@@ -179,42 +171,60 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
     return hits.where(F.col("near") | ~first).select("doc_id", "k", "line_no", (F.col("near") & first).alias("near")).distinct()
 
 
+def _joined(rows: DataFrame, key: str, docs: DataFrame, edits: int, least_chars: int, name: str) -> DataFrame:
+    """``rows`` with ``name``, the drops of the row of ``docs`` whose ``row_key`` is the column ``key``: (dropped, n_near)."""
+    drops = dropped_lines(docs, edits, least_chars).groupBy("doc_id", "k").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
+    own_key, found = free_name(rows, "__k"), F.struct("dropped", "n_near").alias(name)
+    drops = drops.select(F.col("k").alias(own_key), found)  # k holds the doc_id too
+    out = rows.join(drops, rows[key] == drops[own_key], "left")
+    none = F.struct(F.array().cast("array<int>").alias("dropped"), F.lit(0).cast("long").alias("n_near"))
+    return out.withColumn(name, F.coalesce(name, none)).drop(own_key)
+
+
 def with_drops(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with ``line_dedup``: a struct of the dropped lines' numbers and how many were near equal.
+    """``docs`` with a last column ``line_dedup``: a struct of the dropped lines' numbers and how many were near equal.
 
-    Null text has no lines and stays null; lines under ``least_chars`` are never dropped; a row never goes.
+    A column of that name stays as it is: the struct's then has an underscore more. Null text has no lines and stays
+    null; blank lines are never dropped; a row never goes. Each row with a null doc_id or one that other rows have gets
+    its own lines' numbers. An empty table gives no rows.
     """
-    drops = dropped_lines(docs, edits, least_chars).groupBy("doc_id", "k").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
-    drops = drops.select(F.col("doc_id").alias("__d"), F.col("k").alias("__k"), F.struct("dropped", "n_near").alias("line_dedup"))
-    kept = docs.drop("line_dedup").withColumn("__own", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    out = kept.join(drops, (kept["__own"] == drops["__k"]) & kept["doc_id"].eqNullSafe(drops["__d"]), "left")
-    none = F.struct(F.array().cast("array<int>").alias("dropped"), F.lit(0).cast("long").alias("n_near"))
-    return out.withColumn("line_dedup", F.coalesce("line_dedup", none)).drop("__own", "__d", "__k")
+    key, name = free_name(docs, "__own"), free_name(docs, "line_dedup")
+    return _joined(docs.select(*own(docs), row_key(docs).alias(key)), key, docs, edits, least_chars, name).drop(key)
+
 
+def dedup(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, least_words: int = 0) -> DataFrame:
+    """``docs`` with the dropped lines gone from ``text``; other columns as they are (``n_chars`` follows, if there).
 
-def dedup(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with the dropped lines gone from ``text``; other columns as they are (``n_chars`` follows, if there)."""
+    A row that loses lines and has fewer than ``least_words`` words left goes; a row that loses none stays.
+    """
     out = with_drops(docs, edits, least_chars)
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("line_dedup.dropped", i)), "\n")
-    out = out.withColumn("text", F.when(F.size("line_dedup.dropped") > 0, left).otherwise(F.col("text")))
+    drops = f"{out.columns[-1]}.dropped"
+    some = F.size(drops) > 0
+    # dropped numbers and lines side by side: no look-up in a list for each line
+    gone = F.map_from_arrays(F.col(drops), F.col(drops))
+    left = F.array_join(let(gone, lambda g: F.filter(F.split("text", "\n", -1), lambda x, i: F.element_at(g, i).isNull())), "\n")
+    out = out.withColumn("text", F.when(some, left).otherwise(F.col("text")))
+    if least_words:
+        out = out.where(F.when(some, F.size(words_of(F.col("text"))) >= least_words).otherwise(F.lit(True)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*own(docs))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_lines, n_dropped, n_near, dropped_lines (numbers from 0, comma-joined)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drops = dropped_lines(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("near"), F.array_join(F.transform(F.sort_array(F.collect_list("line_no")), lambda x: x.cast("string")), ",").alias("lines"))
-    out = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines")).join(drops, "doc_id", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select("doc_id", "n_lines", zero("n").alias("n_dropped"), zero("near").alias("n_near"), F.coalesce("lines", F.lit("")).alias("dropped_lines"))
+    rows = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), row_key(docs).alias("k"))
+    out = _joined(rows, "k", docs, EDITS, LEAST_CHARS, "d")
+    numbers = F.array_join(F.transform("d.dropped", lambda x: x.cast("string")), ",")
+    return out.select("doc_id", "n_lines", F.size("d.dropped").cast("long").alias("n_dropped"), "d.n_near", numbers.alias("dropped_lines"))
 
 
 OP5_SQL = f"""
 with l as (select doc_id, unnest(range(0, len(x))) as line_no, unnest(x) as line from
   (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as x from documents)),
-d as (select line, length(line) as n, min((doc_id, line_no)) as at from l where length(line) >= {LEAST_CHARS} group by line),
-near as (select distinct b.line from d a join d b on a.n between b.n - {EDITS} and b.n + {EDITS} and a.at < b.at where levenshtein(a.line, b.line) <= {EDITS}),
+d as (select line, length(line) as n, min((doc_id, line_no)) as at from l where length(line) > 0 group by line),
+near as (select distinct b.line from d a join d b on a.n between b.n - {EDITS} and b.n + {EDITS} and a.at < b.at where greatest(a.n, b.n) >= {LEAST_CHARS} and levenshtein(a.line, b.line) <= {EDITS}),
 g as (select doc_id, line_no, (doc_id, line_no) = d.at as first, near.line is not null as near from l join d using (line) left join near using (line)),
 s as (select doc_id, count(*) as n, count_if(near and first) as near, string_agg(cast(line_no as varchar), ',' order by line_no) as lines from g where near or not first group by doc_id)
 select documents.doc_id, len(string_split(coalesce(text, ''), chr(10))) as n_lines, coalesce(s.n, 0) as n_dropped, cast(coalesce(s.near, 0) as bigint) as n_near, coalesce(s.lines, '') as dropped_lines

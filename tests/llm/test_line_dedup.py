@@ -47,9 +47,9 @@ def brute(texts, edits=2, least=20):
     for i, t in enumerate(texts):
         for j, x in enumerate((t or "").split("\n")):
             x = x.strip(" \t\n\x0b\x0c\r")
-            if len(x) < least:
+            if not x:
                 continue
-            equal, near = any(x == y for y in seen), any(abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in seen)
+            equal, near = any(x == y for y in seen), any(max(len(x), len(y)) >= least and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in seen)
             if equal or near:
                 dropped.setdefault(i, []).append((j, near and not equal))
             seen.append(x)
@@ -87,6 +87,27 @@ def test_texts_lose_those_lines_only(spark):
         assert r.text == (t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone))
 
 
+def test_rows_of_one_id_and_of_none_get_their_own_lines(spark, tmp_path):
+    line, short = "a line that is long enough to count", "short"
+    rows = [(None, f"{line}\n{short}\n{line}"), (None, short), (1, line), (1, f"x\n{line}"), (2, None), (2, short)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_lines, r.dropped_lines) for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect())
+    # which of the rows without an id comes first is by their hashes
+    assert [g for g in got if g[0] != "None"] == [("1", 1, "0"), ("1", 2, "1"), ("2", 1, ""), ("2", 1, "0")]
+    assert [g for g in got if g[0] == "None"] in ([("None", 1, ""), ("None", 3, "1,2")], [("None", 1, "0"), ("None", 3, "2")])
+
+
+def test_other_columns_stay_and_emptied_rows_may_go(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, line, "mine", 7), (2, line, "yours", 8), (3, line + "\n" + "more words " * 5, "his", 9), (4, "few words", "hers", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line_dedup string, `k.x` int")
+    out = line_dedup.with_drops(docs)
+    assert out.columns == [*docs.columns, "line_dedup_"] and sorted(r.line_dedup for r in out.collect()) == ["hers", "his", "mine", "yours"]
+    out = line_dedup.dedup(docs, least_words=5)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, line, "mine", 7), (3, "more words " * 5, "his", 9), (4, "few words", "hers", 1)]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     line = "a line that is long enough to count"
     rows = [(None, line), (1, line + "\n" + line + "!"), (1, line + "\n" + line + "!"), (1, "other words that are long enough\n" + line)]
