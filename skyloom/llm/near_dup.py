@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE_WORD, column_bytes, discard, id_text, lower_ascii, mix64, new_path, saved, slices, table, word_bounds, word_hashes
+from ._common import SPACE_WORD, column_bytes, discard, free_name, hot_join, id_text, lower_ascii, mix64, new_path, own, saved, slices, table, word_bounds, word_hashes
 
 WORDS = 5
 BANDS, ROWS = 24, 5
@@ -30,6 +30,8 @@ BATCH = 24
 MISS = 1e-5
 #: Nodes of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Shingles of a block whose full sets a task holds: 32 MB, and of a text that has more by itself.
+BLOCK_SHINGLES = 1 << 22
 PAIRS = 1 << 19
 _MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACES = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -140,10 +142,14 @@ def _matrix(column, width: int, dtype) -> np.ndarray:
 def blocks(buckets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Deal each bucket's nodes (``bucket``, ``n`` members, ``node``, ...) to tasks ``task``, one for each pair of its blocks.
 
+    With ``weight``, the shingles of the bucket's nodes together, blocks are also bounded by them: about BLOCK_SHINGLES each.
+
     A bucket of one block is one task; of g blocks, each node goes to g tasks. ``side`` is 2 in a block compared with
     itself, else 0 or 1.
     """
     g = F.ceil(F.col("n") / block).cast("int")
+    if "weight" in buckets.columns:
+        g = F.least(F.greatest(g, F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")), F.col("n").cast("int"))
     own = F.pmod(F.xxhash64("node", F.lit(17)), F.col("g").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")
     out = buckets.withColumn("g", g).withColumn("own", own).select("*", other)
@@ -188,12 +194,15 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
 
     signed = saved(id_text(docs).mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands binary"), "near-dup-signatures")
     usable = signed.where("doc_id is not null and n_shingles > 0")
-    sets = usable.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"))
-    nodes = signed.select("doc_id", "n_shingles", "f1", "f2").join(sets, ["n_shingles", "f1", "f2"], "left")
+    same = ["n_shingles", "f1", "f2"]
+    sets = saved(usable.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "near-dup-sets")
+    # a set may have a third of all rows: its copies are spread over tasks
+    nodes = hot_join(signed.select("doc_id", *same), sets, same, "copies", "doc_id")
     nodes = nodes.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
 
-    own = usable.join(sets.select("node", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"]).where("doc_id = node")
-    own = saved(own.select("node", "n_shingles", "sig", "bands"), "near-dup-nodes")
+    # the row of each node: keys with the doc_id are never hot
+    node_rows = usable.withColumnRenamed("doc_id", "node").join(sets.drop("copies"), ["node", *same]).dropDuplicates(["node", *same])
+    node_rows = saved(node_rows.select("node", "n_shingles", "sig", "bands"), "near-dup-nodes")
 
     def keys(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -202,7 +211,7 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
             k = _matrix(batch.column(1), BANDS, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(k))), pa.array(k.reshape(-1))], ["node", "band", "bucket"])
 
-    bands = own.select("node", "bands").mapInArrow(keys, "node long, band int, bucket long")
+    bands = node_rows.select("node", "bands").mapInArrow(keys, "node long, band int, bucket long")
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("band")).where("n > 1")
     members = saved(bands.select("node", "bucket").join(shared, "bucket"), "near-dup-buckets")
 
@@ -218,10 +227,10 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
                 same = key[i] == key[j]
                 first = (same.argmax(1) == band[i]) & (bucket[i] == bucket[j]) & (node[i] != node[j])
                 met[i[first]] = met[j[first]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (bucket, node)], ["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (bucket, node, size)], ["bucket", "node", "n_shingles"])
 
-    dealt = _dealt(blocks(members.join(own, "node"))).select("task", "bucket", "node", "side", "band", "n_shingles", "sig", "bands")
-    met = dealt.mapInArrow(compare, "bucket long, node long").distinct()
+    dealt = _dealt(blocks(members.join(node_rows, "node"))).select("task", "bucket", "node", "side", "band", "n_shingles", "sig", "bands")
+    met = dealt.mapInArrow(compare, "bucket long, node long, n_shingles long").distinct()
     met = saved(met, "near-dup-met")
 
     def full(batches: Iterator) -> Iterator:
@@ -236,9 +245,9 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
 
     wanted = met.select(F.col("node").alias("doc_id")).distinct()
     texts = id_text(docs).join(wanted, "doc_id", "left_semi")
-    sized = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sized = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
     full_sets = texts.mapInArrow(full, "node long, shingles binary")
-    ready = met.join(sized, "bucket").join(own.select("node", "sig"), "node").join(full_sets, "node")
+    ready = met.drop("n_shingles").join(sized, "bucket").join(node_rows.select("node", "sig"), "node").join(full_sets, "node")
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -273,7 +282,7 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
 
     forest = _dealt(blocks(ready)).select("task", "node", "side", "sig", "shingles").mapInArrow(verify, "a long, b long").distinct()
     out = saved(forest, "near-dup-links")
-    discard(spark, own, members, met)
+    discard(spark, node_rows, members, met)
     return nodes, out
 
 
@@ -324,9 +333,10 @@ def keep_one(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFram
     """
     kept = near_duplicates(docs, percent, words).where("kept and doc_id is not null").select("doc_id").distinct()
     out = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    name = free_name(docs, "__place")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    out = out.withColumn("__place", place).where("__place = 1")
-    return out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    out = out.withColumn(name, place).where(F.col(name) == 1)
+    return out.select(*own(docs)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

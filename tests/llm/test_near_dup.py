@@ -54,6 +54,20 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_hot_sets_long_sets_and_repeated_rows(spark, tmp_path, monkeypatch):
+    """Copies over the bound of a hot key, blocks bounded by shingles, rows that share a doc_id."""
+    monkeypatch.setattr(near_dup.hot_join, "__defaults__", (20,))
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    rows = texts(9, 6, 20)
+    rows += [rows[30]] * 90 + ["one and the same text of some words"] * 60
+    got = sorted(tuple(r) for r in near_dup.op10_minhash_near_dup(spark, put(spark, tmp_path, rows)).collect())
+    assert got == brute(rows)
+    same = spark.createDataFrame([(1, "a b c d e f g"), (1, "other words than those of it"), (2, "a b c d e f g"), (3, "other words than those of it")], "doc_id long, text string")
+    assert sorted({r.component_id for r in near_dup.near_duplicates(same).collect()}) == [1]
+    kept = near_dup.keep_one(same.selectExpr("*", "'x' as __place", "1 as node"))
+    assert kept.columns == ["doc_id", "text", "__place", "node"] and [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_chain_has_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 3)], "a long, b long")
     got = {r.node: r.component for r in near_dup.components(edges).collect()}
