@@ -52,7 +52,10 @@ def test_run_equals_brute_force(spark, tmp_path):
     now = [texts[i] for i in ids]
     drops = brute_lines(now)
     now = ["\n".join(x for j, x in enumerate(t.split("\n")) if j not in {j for j, _ in drops.get(k, [])}) for k, t in enumerate(now)]
-    kept = [k for k, (_, _, _, keep) in enumerate(brute_near(now)) if keep]
+    left = [k for k, t in enumerate(now) if k not in drops or len(t.split()) >= 50]
+    assert len(left) < len(now)  # what lost its lines and is short now has gone
+    ids, now = [ids[k] for k in left], [now[k] for k in left]
+    kept = [k for k, (_, _, _, keep) in enumerate(brute_near(now, 80)) if keep]
     flat = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     kept = [k for k in kept if not any(flat(t) in flat(now[k]) for _, t in items)]
     assert len(kept) < len(now) < len(texts)
@@ -60,6 +63,21 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert check(rows, want) < 0.5
 
 
+def test_stages_take_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(8)
+    long = [" ".join(f"{w} the" for w in sentence(rng, 60).split()) for _ in range(4)]
+    rows = [(None, long[0], "q", "s"), (None, None, None, None), (1, long[1], "q", None), (1, long[1], "q", None), (1, long[2], "r", "s"), (2, long[1], None, "s"), (3, "", "q", "s"), (4, long[3] + " x" * 400_000, "long", "s")]
+    names = "doc_id long, text string, quality string, line_dedup string, __doc string, shard string, `a.b` int"
+    docs = spark.createDataFrame([(*r, "d", "h", 1) for r in rows], names)
+    spark.createDataFrame([(1, "nothing of that. stands here", 0)], "item_id long, text string, doc_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {(r["__doc"], r["shard"], r["a.b"]) for r in out.collect()} == {("d", "h", 1)}, name
+        assert any(r.doc_id is None for r in out.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(rows)
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([], DOCS)
