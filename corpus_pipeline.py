@@ -8,23 +8,35 @@ from skyloom.llm import decontam, line_dedup, near_dup, packing, quality, tokens
 from skyloom.llm._common import discard, new_path, scratch, table
 
 
+LEAST_WORDS = next(least for _, metric, least, _ in quality.RULES if metric == "n_words")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.score(docs).where("quality.kept").select(*docs.columns)
+    """Rows that the rules keep, as they are. Null and empty texts go; repeated rows, null ids and other columns, whatever their names, are no matter."""
+    return quality.keep(docs)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(docs)
+    """Rows without the lines that an earlier row, or line, has; a row that is left with fewer words than the quality rules ask for goes.
+
+    Rows with a null doc_id come first; rows that share a doc_id go by their own lines; null texts stay null; ``n_chars``
+    follows the text.
+    """
+    return line_dedup.dedup(docs, least_words=LEAST_WORDS)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group linked at 0.80 or more: that of the least doc_id, and one of rows that repeat it. Rows with a null doc_id or without a word stay."""
     return near_dup.keep_one(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no item of ``benchmark``; null or empty texts and items hold nothing, null ids go by their text."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the sequences that hold all ids of all rows; null text has the end id alone, each row is a document of its own."""
     return packing.pack(docs, tokens.vocabulary_path("word_bpe_49k.json"))
 
 
