@@ -1,16 +1,23 @@
 """Secret scans in Spark SQL: base patterns plus a battery of randomness tests (no Python on the data path).
 
 Base kinds: ``assign``, ``access`` and ``hex``; every leftmost non-overlapping match is found, then short
-ones are dropped. The battery looks at the other long tokens that mix digits and letters. Each token's
-encoding is inferred from its characters (hex, base32, alphanumeric, base64), and three p-values are taken
-under "its characters are independent and uniform over that alphabet": chi-squared uniformity, number of
-runs above and below the alphabet's middle, and lag-1 serial correlation. Tokens that are not random are
-those rejected by a Benjamini-Hochberg procedure over the whole table, run apart in each length class since
-the tests' power grows with length; the rest are reported as kind ``random``.
+ones are dropped. The battery looks at all other tokens of 20 or more characters. Each token's encoding is
+inferred from its characters (hex, base32, alphanumeric, base64), and three p-values are taken under "its
+characters are independent and uniform over that alphabet": chi-squared uniformity, number of runs above and
+below the alphabet's middle, and lag-1 serial correlation; a token that one of them rejects isn't random.
+
+What is reported as kind ``random`` are discoveries against ordinary tokens. The null hypothesis is a text model:
+characters drawn by letter frequencies, in one of three styles (lower case, upper case, digits). The token's
+likelihood under a uniform alphabet over that under the model has mean 1 for ordinary tokens, so its inverse is a
+p-value of any length's tokens that holds without approximation. Tokens that the battery rejects count with p = 1.
+A Benjamini-Hochberg procedure over the whole table, apart in each length class, then bounds the share of ordinary
+tokens among those reported.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +48,14 @@ ENCODINGS = (
 )
 #: Length classes of the false-discovery control, by their least length.
 CLASSES = (20, 24, 32, 48, 64)
-LEVEL = 0.1
-BINS = 2_000
+#: Greatest share of ordinary tokens among the reported ones, and the battery's level.
+LEVEL, BATTERY_LEVEL = 0.05, 0.01
+#: p-values are counted in bins of a tenth of a decade, the last one for all below.
+BINS_A_DECADE, LAST_BIN = 10, 1_000
+#: Percentages of the letters a to z in English text.
+LETTER_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: Styles of ordinary tokens: shares of upper-case letters, lower-case letters, digits and the two signs.
+STYLES = ((0.04, 0.86, 0.06, 0.04), (0.86, 0.04, 0.06, 0.04), (0.04, 0.04, 0.88, 0.04))
 
 
 def _matches(text: Column, pattern: str, group: int, least: int, kind: int, hint: str) -> Column:
@@ -61,8 +74,15 @@ def _matches(text: Column, pattern: str, group: int, least: int, kind: int, hint
                 .alias("out"),
             ),
         )
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
+        last, size = F.size(found) - 1, 256  # appended in pieces: an array is copied whenever it grows
+
+        def piece(at: Column, k: Column) -> Column:
+            zero = F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+            return F.aggregate(F.sequence(k * size, F.least(k * size + size - 1, last)), zero, step)
+
+        more = lambda acc, k: let(piece(acc["at"], k), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(last / size).cast("int")), zero, more, lambda acc: F.flatten(acc["out"]))
 
     none = F.array().cast(SPAN)
     p = F.lit(pattern)
@@ -123,6 +143,31 @@ def p_value(token: Column) -> Column:
     return out
 
 
+def ordinary_p(token: Column) -> Column:
+    """A p-value under the text model: likelihood by the styles, each as likely, over that of a uniform alphabet."""
+    alphabet = dict((name, chars) for name, _, chars in ENCODINGS)["base64"]
+    total = sum(LETTER_SHARES)
+    letters = [math.log(x / total) for x in LETTER_SHARES]
+
+    def logs(upper: float, lower: float, digit: float, sign: float) -> Column:
+        values = [math.log(upper) + x for x in letters] + [math.log(lower) + x for x in letters] + [math.log(digit / 10)] * 10 + [math.log(sign / 2)] * 2
+        return F.array(*[F.lit(x) for x in values])
+
+    body = F.regexp_replace(token, "=+$", "")
+    size = F.lit(float(len(alphabet)))
+    for _, pattern, chars in reversed(ENCODINGS):
+        size = F.when(body.rlike(f"^(?:{pattern})$"), F.lit(float(len(chars)))).otherwise(size)
+    chars = F.filter(F.split(F.translate(body, "_-", "/+"), ""), lambda c: c != F.lit(""))
+    places = F.transform(chars, lambda c: F.position(c, F.lit(alphabet)) - 1)
+
+    def ratio(p: Column) -> Column:
+        sums = F.array(*[F.aggregate(p, F.lit(0.0), lambda acc, i, v=logs(*s): acc + F.get(v, i)) for s in STYLES])
+        # the sum of the styles' likelihoods, by the greatest of them
+        return let(sums, lambda s: F.array_max(s) + F.log(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max(s))) / len(STYLES)) + F.size(p) * F.log(size))
+
+    return F.exp(F.least(let(places, ratio), F.lit(0.0)))
+
+
 def _length_class(n: Column) -> Column:
     return sum(((n >= c).cast("int") for c in CLASSES[1:]), F.lit(0))
 
@@ -131,16 +176,18 @@ def scan(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): ``base`` and ``spans``, arrays of (start, kind, end).
 
     Offsets count code points, ends are exclusive, spans are sorted by start, then kind. Null text is empty and
-    has no spans; repeated rows are scanned each; a text is never cut. Random spans that meet a base span are
-    left out. The only statistics gathered are counts of p-values by length class and bin: a fixed number.
+    has no spans; repeated rows, null ids too, are scanned each; a text is never cut; other columns aren't read; an empty
+    table gives no rows. Random spans that meet a base span are left out. The only statistics gathered are counts of
+    p-values by length class and bin: a fixed number.
     """
     none = F.array().cast("array<struct<start:int,end:int,p:double>>")
 
     def tokens(t: Column) -> Column:
         spans = _matches(t, _TOKEN, 0, CLASSES[0], KINDS["random"], "[A-Za-z0-9+/_-]{20}")
         with_text = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(t, x["start"] + 1, x["end"] - x["start"]).alias("v")))
-        mixed = F.filter(with_text, lambda x: x["v"].rlike("[0-9].*[0-9]") & x["v"].rlike("[A-Za-z]"))
-        return F.transform(mixed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), p_value(x["v"]).alias("p")))
+        # the battery where the text model leaves room for a discovery
+        p = lambda v: let(ordinary_p(v), lambda q: F.when((q <= level) & (p_value(v) < BATTERY_LEVEL), 1.0).otherwise(q))
+        return F.transform(with_text, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), p(x["v"]).alias("p")))
 
     text = id_text(docs)
     found = saved(
@@ -154,19 +201,17 @@ def scan(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     clear = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     found = found.select("doc_id", "base", clear.alias("tokens"))
 
-    bins = (
-        found.select(F.explode("tokens").alias("x"))
-        .groupBy(_length_class(F.col("x.end") - F.col("x.start")).alias("c"), F.ceil(F.col("x.p") * BINS).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = Window.partitionBy("c").orderBy("bin")
+    bin_of = lambda p: F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_A_DECADE), F.lit(LAST_BIN))
+    bins = found.select(F.explode("tokens").alias("x")).groupBy(_length_class(F.col("x.end") - F.col("x.start")).alias("c"), bin_of(F.col("x.p")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("c").orderBy(F.desc("bin"))
     passed = bins.select("c", "bin", F.sum("n").over(running).alias("upto"), F.sum("n").over(Window.partitionBy("c")).alias("all"))
-    passed = passed.where(F.col("all") * F.col("bin") / BINS <= level * F.col("upto"))
-    cut = passed.groupBy("c").agg((F.max("bin") / BINS).alias("p"))
-    cut = cut.agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("cut"))  # one row, a number a class
+    # all p-values of a bin count as its greatest
+    passed = passed.where(F.col("all") * F.pow(F.lit(10.0), -F.col("bin") / BINS_A_DECADE) <= level * F.col("upto"))
+    cut = passed.groupBy("c").agg(F.min("bin").alias("bin"))
+    cut = cut.agg(F.map_from_entries(F.collect_list(F.struct("c", "bin"))).alias("cut"))  # one row, a number a class
 
     def added(x: Column) -> Column:
-        return x["p"] > F.coalesce(F.element_at("cut", _length_class(x["end"] - x["start"])), F.lit(-1.0))
+        return bin_of(x["p"]) >= F.coalesce(F.element_at("cut", _length_class(x["end"] - x["start"])), F.lit(LAST_BIN + 1))
 
     random = F.transform(F.filter("tokens", added), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS["random"]).alias("kind"), x["end"].alias("end")))
     return found.crossJoin(F.broadcast(cut)).select("doc_id", "base", F.sort_array(F.concat("base", random)).alias("spans"))
