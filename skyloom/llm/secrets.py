@@ -160,8 +160,11 @@ def ordinary_p(token: Column) -> Column:
     chars = F.filter(F.split(F.translate(body, "_-", "/+"), ""), lambda c: c != F.lit(""))
     places = F.transform(chars, lambda c: F.position(c, F.lit(alphabet)) - 1)
 
+    def likelihood(p: Column, values: Column) -> Column:
+        return F.aggregate(p, F.lit(0.0), lambda acc, i: acc + F.get(values, i))
+
     def ratio(p: Column) -> Column:
-        sums = F.array(*[F.aggregate(p, F.lit(0.0), lambda acc, i, v=logs(*s): acc + F.get(v, i)) for s in STYLES])
+        sums = F.array(*[likelihood(p, logs(*s)) for s in STYLES])
         # the sum of the styles' likelihoods, by the greatest of them
         return let(sums, lambda s: F.array_max(s) + F.log(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max(s))) / len(STYLES)) + F.size(p) * F.log(size))
 
