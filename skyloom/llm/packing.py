@@ -1,10 +1,11 @@
 """Lexical retrieval packing: a sharded BM25 inverted index gives unused neighbours for each seed document.
 
 Documents become token ids once. Full windows of a long document stand alone; what is left of each document goes to
-a shard by two weighted min-hashes of its ids, so that documents that share their rarer ids lie together. Each shard
-has an inverted index of its documents, with idf from counts over all documents. Some seeds at a time are scored
-against all unused documents of their shard, and their windows take the best ones one after another; a window whose
-list runs out asks again. When the next doesn't fit, it is cut, and its rest is a seed later on.
+a shard of documents like it: by the nearest of ``CENTRES`` directions of its ids' idf, then by two weighted min-hashes
+of its ids, so that documents that share their rarer ids lie together. Each shard has an inverted index of its
+documents, with idf from counts over all documents. Some seeds at a time are scored against all unused documents of
+their shard, and their windows take the best ones one after another; a window whose list runs out asks again. When the
+next doesn't fit, it is cut, and its rest is a seed later on.
 
 A shard is bounded (``SHARD_ROWS``, ``SHARD_IDS``), so the work grows with the input. To ask every shard for every
 seed grows with its square; README.md has both ways' figures and what a shard's neighbours are worth against those
@@ -31,6 +32,8 @@ SEEDS, NEIGHBOURS = 64, 64
 #: A shard's terms in more than this share of its documents are multiplied as a matrix, up to so many.
 COMMON, MOST_COMMON = 1 / 24, 2048
 K1, B = 1.2, 0.75
+#: Directions that shards are made by, and the rests of documents that they are fitted on (about so many; every rest goes by them).
+CENTRES, SAMPLE = 64, 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -44,6 +47,36 @@ def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
+def signs(weights: np.ndarray) -> np.ndarray:
+    """For each id its idf with 64 signs drawn by its hash: sums over a document's ids keep the angles between documents."""
+    bits = mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(3 << 32)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) * weights[:, None]
+
+
+def directions(docs: list[np.ndarray], drawn: np.ndarray) -> np.ndarray:
+    """A unit vector of each document's distinct ids."""
+    sums = np.array([drawn[np.unique(x)].sum(0) for x in docs], np.float32).reshape(-1, drawn.shape[1])
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+
+
+def centres(vectors: np.ndarray) -> np.ndarray:
+    """Spherical k-means, the centres in a chain from each to the nearest one left, so that neighbours in it are alike."""
+    if not len(vectors):
+        return np.zeros((1, 64), np.float32)
+    vectors = np.unique(vectors, axis=0)
+    c = vectors[np.unique(np.linspace(0, len(vectors) - 1, CENTRES).astype(np.int64))]
+    for _ in range(10):
+        own = (vectors @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, vectors)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c).astype(np.float32)
+    left, chain = list(range(1, len(c))), [0]
+    while left:
+        chain.append(left.pop(int((c[left] @ c[chain[-1]]).argmax())))
+    return c[chain]
+
+
 class Shard:
     """Inverted index of a shard's documents (arrays of ids) and the packing of their windows."""
 
@@ -190,19 +223,33 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     made = saved(id_text(docs).mapInArrow(_encode(tokenizer), ENCODED), "packing-ids")
     ids = made.where("n_tokens is not null")
-    total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).first()
+    rest = F.col("n_tokens") % WINDOW
+    total = ids.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.count_if(rest > 0).alias("rests"), F.sum(rest).alias("rest_ids")).first()
     n_docs, mean = total["n"], (total["t"] or 0) / max(total["n"], 1)
     shared = spark.sparkContext.broadcast(idf(tokens.counts_of(made), n_docs))  # 65,536 numbers
 
+    def vectors(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        drawn = signs(shared.value)
+        for batch in batches:
+            v = directions([np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column(0)], drawn)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() for x in v], pa.binary())], ["v"])
+
+    some = ids.where((rest > 0) & (F.rand(7) < SAMPLE / max(total["rests"], 1))).select("rest").mapInArrow(vectors, "v binary").collect()  # 256 bytes a row
+    middle = centres(np.array([np.frombuffer(x.v, "<f4") for x in some], np.float32).reshape(-1, 64))
+
     def rests(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        drawn = signs(shared.value)
         w = np.maximum(shared.value.astype(np.float64), 1e-6) ** 2
         draw = [-np.log((mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54) / w for s in (1, 2)]
         for batch in batches:
             rest = [np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column(2)]
-            keys = [pa.array([int(x[np.argmin(d[x])]) for x in rest], pa.int32()) for d in draw]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], ["doc_id", "doc_tokens", "ids", "k1", "k2"])
+            keys = [pa.array((directions(rest, drawn) @ middle.T).argmax(1), pa.int32())]
+            keys += [pa.array([int(x[np.argmin(d[x])]) for x in rest], pa.int32()) for d in draw]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], ["doc_id", "doc_tokens", "ids", "centre", "k1", "k2"])
 
     def fill(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -241,10 +288,11 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     window = F.lit(WINDOW).cast("long")
     long = ids.where(F.col("n_tokens") >= WINDOW).select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.posexplode("crcs").alias("place", "ids_crc32"))
     long = long.select("doc_id", (F.col("place") * window).alias("start"), window.alias("length"), "ids_crc32", "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = ids.where(F.col("n_tokens") % WINDOW > 0).select("doc_id", "n_tokens", "rest").mapInArrow(rests, "doc_id long, doc_tokens long, ids binary, k1 int, k2 int")
-    # as many tasks as the session has shuffle partitions, each with as many shards as its rows make
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    short = short.repartitionByRange(parts, "k1", "k2", "doc_id").sortWithinPartitions("k1", "k2", "doc_id", F.crc32("ids"))
+    short = ids.where(F.col("n_tokens") % WINDOW > 0).select("doc_id", "n_tokens", "rest").mapInArrow(rests, "doc_id long, doc_tokens long, ids binary, centre int, k1 int, k2 int")
+    # a task a shard, but at most as many as the session has shuffle partitions, each with as many shards as its rows make
+    shards = max(-(-total["rests"] // SHARD_ROWS), -(-(total["rest_ids"] or 0) // SHARD_IDS), 1)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    short = short.repartitionByRange(parts, "centre", "k1", "k2", "doc_id").sortWithinPartitions("centre", "k1", "k2", "doc_id", F.crc32("ids"))
     return long.unionByName(short.select("doc_id", "doc_tokens", "ids").mapInArrow(fill, PIECES))
 
 

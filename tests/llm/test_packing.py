@@ -89,6 +89,21 @@ def test_windows_of_a_shard_are_full_and_hold_neighbours():
     assert np.mean(alike) > 0.7  # by chance 1/8
 
 
+def test_directions_keep_documents_of_a_topic_together():
+    rng = np.random.default_rng(3)
+    topics = [rng.integers(0, 1 << 16, 400).astype(np.uint16) for _ in range(12)]
+    of = rng.integers(0, 12, 600)
+    docs = [rng.choice(topics[k], rng.integers(100, 900)) for k in of]
+    drawn = packing.signs(np.ones(1 << 16, np.float32))
+    v = packing.directions(docs, drawn)
+    middle = packing.centres(np.concatenate([v[:300], np.repeat(v[:1], 500, axis=0)]))  # copies have no more weight
+    own = (v @ middle.T).argmax(1)
+    assert len(middle) == packing.CENTRES and np.allclose(np.linalg.norm(middle, axis=1), 1, atol=1e-3)
+    pure = sum(np.bincount(of[own == c]).max() for c in set(own.tolist()))
+    assert pure >= 0.95 * len(docs)
+    assert len(packing.centres(v[:0])) == 1 and packing.directions([], drawn).shape == (0, 64)
+
+
 def test_many_small_shards_cover_all(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 8)
     monkeypatch.setattr(packing, "SHARD_IDS", 20_000)
