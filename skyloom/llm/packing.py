@@ -14,6 +14,7 @@ of a brute force over all documents.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,10 @@ SEEDS, NEIGHBOURS = 64, 64
 #: A shard's terms in more than this share of its documents are multiplied as a matrix, up to so many.
 COMMON, MOST_COMMON = 1 / 24, 2048
 K1, B = 1.2, 0.75
-#: Directions that shards are made by, and the rests of documents that they are fitted on (about so many; every rest goes by them).
-CENTRES, SAMPLE = 64, 4096
+#: Directions that shards are made by, and the rests of documents that they and the tasks' bounds are fitted on (about so many; every rest goes by them).
+CENTRES, SAMPLE = 64, 1 << 14
+#: A null doc_id among the bounds of tasks.
+NULL = -(1 << 63)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -59,6 +62,16 @@ def directions(docs: list[np.ndarray], drawn: np.ndarray) -> np.ndarray:
     return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
 
+def draws(weights: np.ndarray) -> list[np.ndarray]:
+    """Exponential draws of each id by its squared idf: the least one's id is a weighted min-hash."""
+    w = np.maximum(weights.astype(np.float64), 1e-6) ** 2
+    return [-np.log((mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54) / w for s in (1, 2)]
+
+
+def min_hashes(docs: list[np.ndarray], draw: list[np.ndarray]) -> list[list[int]]:
+    return [[int(x[np.argmin(d[x])]) for x in docs] for d in draw]
+
+
 def centres(vectors: np.ndarray) -> np.ndarray:
     """Spherical k-means, the centres in a chain from each to the nearest one left, so that neighbours in it are alike."""
     if not len(vectors):
@@ -231,25 +244,31 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        drawn = signs(shared.value)
+        drawn, draw = signs(shared.value), draws(shared.value)
         for batch in batches:
-            v = directions([np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column(0)], drawn)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes() for x in v], pa.binary())], ["v"])
+            rest = [np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column(1)]
+            v = pa.array([x.astype("<f4").tobytes() for x in directions(rest, drawn)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), v, *(pa.array(k, pa.int32()) for k in min_hashes(rest, draw))], ["doc_id", "v", "k1", "k2"])
 
-    some = ids.where((rest > 0) & (F.rand(7) < SAMPLE / max(total["rests"], 1))).select("rest").mapInArrow(vectors, "v binary").collect()  # 256 bytes a row
-    middle = centres(np.array([np.frombuffer(x.v, "<f4") for x in some], np.float32).reshape(-1, 64))
+    # a task a shard, but at most as many as the session has shuffle partitions, each with as many shards as its rows make
+    shards = max(-(-total["rests"] // SHARD_ROWS), -(-(total["rest_ids"] or 0) // SHARD_IDS), 1)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+    some = ids.where((rest > 0) & (F.rand(7) < SAMPLE / max(total["rests"], 1))).select("doc_id", "rest").mapInArrow(vectors, "doc_id long, v binary, k1 int, k2 int").collect()  # 300 bytes a row
+    v = np.array([np.frombuffer(x.v, "<f4") for x in some], np.float32).reshape(-1, 64)
+    middle = centres(v)
+    keys = sorted((c, x.k1, x.k2, NULL if x.doc_id is None else x.doc_id) for c, x in zip((v @ middle.T).argmax(1).tolist(), some))
+    bounds = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
 
     def rests(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        drawn = signs(shared.value)
-        w = np.maximum(shared.value.astype(np.float64), 1e-6) ** 2
-        draw = [-np.log((mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54) / w for s in (1, 2)]
+        drawn, draw = signs(shared.value), draws(shared.value)
         for batch in batches:
             rest = [np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column(2)]
-            keys = [pa.array((directions(rest, drawn) @ middle.T).argmax(1), pa.int32())]
-            keys += [pa.array([int(x[np.argmin(d[x])]) for x in rest], pa.int32()) for d in draw]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], ["doc_id", "doc_tokens", "ids", "centre", "k1", "k2"])
+            keys = [(directions(rest, drawn) @ middle.T).argmax(1).tolist(), *min_hashes(rest, draw)]
+            part = [bisect.bisect_right(bounds, (c, k1, k2, NULL if d is None else d)) for c, k1, k2, d in zip(*keys, batch.column(0).to_pylist())]
+            keys = [pa.array(x, pa.int32()) for x in (*keys, part)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], ["doc_id", "doc_tokens", "ids", "centre", "k1", "k2", "part"])
 
     def fill(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -288,11 +307,8 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     window = F.lit(WINDOW).cast("long")
     long = ids.where(F.col("n_tokens") >= WINDOW).select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.posexplode("crcs").alias("place", "ids_crc32"))
     long = long.select("doc_id", (F.col("place") * window).alias("start"), window.alias("length"), "ids_crc32", "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = ids.where(F.col("n_tokens") % WINDOW > 0).select("doc_id", "n_tokens", "rest").mapInArrow(rests, "doc_id long, doc_tokens long, ids binary, centre int, k1 int, k2 int")
-    # a task a shard, but at most as many as the session has shuffle partitions, each with as many shards as its rows make
-    shards = max(-(-total["rests"] // SHARD_ROWS), -(-(total["rest_ids"] or 0) // SHARD_IDS), 1)
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
-    short = short.repartitionByRange(parts, "centre", "k1", "k2", "doc_id").sortWithinPartitions("centre", "k1", "k2", "doc_id", F.crc32("ids"))
+    short = ids.where(F.col("n_tokens") % WINDOW > 0).select("doc_id", "n_tokens", "rest").mapInArrow(rests, "doc_id long, doc_tokens long, ids binary, centre int, k1 int, k2 int, part int")
+    short = short.repartitionById(parts, "part").sortWithinPartitions("centre", "k1", "k2", "doc_id", F.crc32("ids"))
     return long.unionByName(short.select("doc_id", "doc_tokens", "ids").mapInArrow(fill, PIECES))
 
 
