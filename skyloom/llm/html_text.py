@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-#: One pass over a page: comments, raw-text elements, declarations, tags, text.
+#: One pass over a page: comments, raw-text elements, declarations, tags, text. A quote counts only where it starts a value.
 _LEX = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>|[^<]+|<",
     re.S | re.I,
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(.*?)(/?)>\Z", re.S)

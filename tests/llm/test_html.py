@@ -45,3 +45,10 @@ def test_odd_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id in (1, 2)] == ["", ""]
     assert [r.text for r in got if r.page_id is None] == ["deep words"]
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_quotes_count_only_where_they_start_a_value():
+    lexed = lambda page: [m.group() for m in html_text._LEX.finditer(page)]
+    assert lexed("<a href=/it's>one</a> it's <b>two</b>") == ["<a href=/it's>", "one", "</a>", " it's ", "<b>", "two", "</b>"]
+    assert lexed("<a title=\"x > y\" alt= 'p > q'>z") == ["<a title=\"x > y\" alt= 'p > q'>", "z"]
+    assert lexed("<a =" * 3000) is not None and lexed("<p 'q>r") == ["<p 'q>", "r"]
