@@ -26,8 +26,8 @@ from . import tokens
 from ._common import id_text, mix64, saved, table
 
 WINDOW = 4096
-#: Rests of documents a shard, and their ids: so 16 MB of ids and as many postings at most. A task's last shard has up to half as much again.
-SHARD_ROWS, SHARD_IDS = 8192, 1 << 23
+#: Rests of documents a shard, and their ids: so 32 MB of ids and as many postings at most. A task's last shard has up to half as much again.
+SHARD_ROWS, SHARD_IDS = 16384, 1 << 24
 #: Seeds scored at once, and the length of their lists.
 SEEDS, NEIGHBOURS = 64, 64
 #: A shard's terms in more than this share of its documents are multiplied as a matrix, up to so many.
