@@ -134,8 +134,16 @@ def mismatched_channels(first: DataFrame, other: DataFrame, tolerance_hz: float
     return a.join(b, "chan", "full").where(~F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= tolerance_hz, F.lit(False))).select("chan")
 
 
-def merge(blocks: Sequence[DataFrame], centres: Sequence[DataFrame] = (), tolerance_deg: float = 1e-6) -> DataFrame:
-    """Samples of all blocks beam by beam; blocks must agree on beams and centres."""
+def same_channels(axes: Sequence[DataFrame]) -> None:
+    """An error if a channel axis (``chan``, ``frequency``) differs from the first."""
+    for other in axes[1:]:
+        if mismatched_channels(axes[0], other).limit(1).count():
+            raise MismatchError("blocks differ in their frequencies")
+
+
+def merge(blocks: Sequence[DataFrame], centres: Sequence[DataFrame] = (), tolerance_deg: float = 1e-6, axes: Sequence[DataFrame] = ()) -> DataFrame:
+    """Samples of all blocks beam by beam; blocks must agree on beams, centres and channel axes."""
+    same_channels(axes)
     for other in centres[1:]:
         bad = mismatched_centres(centres[0], other, tolerance_deg).limit(1).count()
         if bad:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units
+from . import nufft
 
-#: Visibility-pixel products up to which the join form is used; beyond, the matrix kernel.
-JOIN_COST = 2e8
+#: Pixels of a plane up to which ``kernel="auto"`` sums over all of them; beyond, samples are gridded.
+SUM_PIXELS = 64 * 64
 #: Images are broadcast to tasks; beyond this many pixels they are refused (a dish map of 8192 by 8192 has 2**26).
 MOST_PIXELS = 1 << 26
 
@@ -30,12 +31,24 @@ def phase(height: int, width: int) -> Column:
     return F.col("ur") * (F.col("x") - width // 2) - F.col("vr") * (F.col("y") - height // 2)
 
 
-def degrid(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), kernel: str = "join") -> DataFrame:
+def _kernel(kernel: str, height: int, width: int) -> str:
+    if kernel not in ("auto", "join", "matrix", "nufft"):
+        raise ValueError(f"unknown kernel {kernel}")
+    if kernel == "auto":
+        return "join" if height * width <= SUM_PIXELS else "nufft"
+    return kernel
+
+
+def degrid(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto") -> DataFrame:
     """Model visibilities ``m_re``, ``m_im`` of each sample (``vis_id``, ``chan``, ``beam``, ``ur``, ``vr``).
 
     ``image`` has the columns of ``key`` that it depends on, y, x and value. The join form is a join on those keys and
-    a sum; the matrix form sends the image to the tasks and multiplies separable phase factors.
+    a sum; the matrix form sends the image to the tasks and multiplies separable phase factors; ``nufft`` grids, with an
+    error of about 1e-7 and work that grows with samples plus pixels. ``auto`` is the join for planes of few pixels.
     """
+    kernel = _kernel(kernel, height, width)
+    if kernel == "nufft":
+        return nufft.forward(vis, image, height, width, cell, key)
     if kernel == "matrix":
         return _degrid_matrix(vis, image, height, width, cell, key)
     on = [k for k in key if k in image.columns]
@@ -85,8 +98,11 @@ def _degrid_matrix(vis, image, height, width, cell, key):
     return vis.select("vis_id", "chan", "beam", "ur", "vr").mapInPandas(run, "vis_id long, chan int, beam int, m_re double, m_im double")
 
 
-def grid_adjoint(vis: DataFrame, pixels: DataFrame, height: int, width: int, cell: float, keys: tuple[str, ...] = ("chan", "beam")) -> DataFrame:
+def grid_adjoint(vis: DataFrame, pixels: DataFrame, height: int, width: int, cell: float, keys: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto") -> DataFrame:
     """Adjoint of ``degrid`` for ``re``, ``im``: (keys, y, x, re, im). Partial sums a task, so one row a pixel and task is moved."""
+    if _kernel(kernel, height, width) == "nufft":
+        every = nufft.adjoint(vis, height, width, cell, keys)
+        return every.join(pixels.select("y", "x").distinct(), ["y", "x"], "left_semi").select(*keys, "y", "x", "re", "im")
     p = phase(height, width)
     both = vis.crossJoin(F.broadcast(pixels.select("y", "x")))
     s = both.groupBy(*keys, "y", "x").agg(F.sum(F.col("re") * F.cos(p) + F.col("im") * F.sin(p)).alias("re"), F.sum(F.col("im") * F.cos(p) - F.col("re") * F.sin(p)).alias("im"))
@@ -125,7 +141,7 @@ def reproject_adjoint(z: DataFrame, weights: DataFrame) -> DataFrame:
 class Measurement:
     """A and its adjoint over fixed visibilities: reprojection, primary beam and transform, by beam and channel."""
 
-    def __init__(self, vis: DataFrame, channels: DataFrame, pb: DataFrame, grid: DataFrame, height: int, width: int, cell: float, kernel: str = "join"):
+    def __init__(self, vis: DataFrame, channels: DataFrame, pb: DataFrame, grid: DataFrame, height: int, width: int, cell: float, kernel: str = "auto"):
         self.vis, self.pb, self.grid = radpix(vis, channels, cell), pb, grid
         self.weights = interp(grid, height, width)
         self.height, self.width, self.cell, self.kernel = height, width, cell, kernel
@@ -153,7 +169,7 @@ class Measurement:
 
     def adjoint(self, vis: DataFrame) -> DataFrame:
         """(chan, y, x, re, im) of samples with ``re``, ``im``, ``ur``, ``vr``; flagged ones are left out."""
-        dirty = grid_adjoint(vis.where(~F.col("flag")), self.grid.select("y", "x").distinct(), self.height, self.width, self.cell)
+        dirty = grid_adjoint(vis.where(~F.col("flag")), self.grid.select("y", "x").distinct(), self.height, self.width, self.cell, kernel=self.kernel)
         p = self.pb.select("beam", "y", "x", F.col("value").alias("pb"))
         z = dirty.join(p, ["beam", "y", "x"]).withColumns({"re": F.col("re") * F.col("pb"), "im": F.col("im") * F.col("pb")})
         return reproject_adjoint(z, self.weights)

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from ..operators import measure, objective
 
 
-def cg_step(op: measure.Measurement) -> DataFrame:
-    """The first conjugate-gradient iterate from zero: α b with α = b·b / b·Nb."""
+def cg_step(op: measure.Measurement, joint: bool = False) -> DataFrame:
+    """The first conjugate-gradient iterate from zero: α b with α = b·b / b·Nb.
+
+    Each channel is a system of its own with its own α; with ``joint`` the cube is one system, as in ``conjugate_gradient``.
+    """
     b = objective.right_hand_side(op)
     n = objective.normal(op, b).select("chan", "y", "x", F.col("value").alias("n"))
     both = b.join(n, ["chan", "y", "x"])
-    alpha = both.groupBy("chan").agg((F.sum(F.col("value") * F.col("value")) / F.sum(F.col("value") * F.col("n"))).alias("alpha"))
-    return b.join(F.broadcast(alpha), "chan").select("chan", "y", "x", (F.col("alpha") * F.col("value")).alias("value"))
+    alpha = both.groupBy(*([] if joint else ["chan"])).agg((F.sum(F.col("value") * F.col("value")) / F.sum(F.col("value") * F.col("n"))).alias("alpha"))
+    scaled = b.crossJoin(F.broadcast(alpha)) if joint else b.join(F.broadcast(alpha), "chan")
+    return scaled.select("chan", "y", "x", (F.col("alpha") * F.col("value")).alias("value"))
 
 
 def fista_first_step(op: measure.Measurement, step: float, positive: bool = False) -> DataFrame:

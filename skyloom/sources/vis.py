@@ -135,11 +135,18 @@ class VisReader:
         return self.spark.createDataFrame(rows, "beam int, name string, ra_deg double, dec_deg double")
 
     def read_blocks(self, root: str, mode: str = "merge", most: int | None = None, **how) -> DataFrame:
-        """Blocks put together: ``merge`` (beam by beam, centres must agree), ``stack`` or ``separate``."""
+        """Blocks put together: ``merge`` (beam by beam, centres must agree), ``stack`` or ``separate``.
+
+        Merged and stacked blocks must have the same frequencies.
+        """
         paths = list_blocks(self.spark, root)[:most]
+        axes = [self.channels(list_sets(self.spark, p)[0], how.get("spw") or 0) for p in paths] if mode in ("merge", "stack") else []
+        if how.get("channels") is not None:
+            axes = [ingest.select_channels(a, how["channels"]) for a in axes]
         each = [self.read_block(p, **how).withColumn("block", F.lit(i)) for i, p in enumerate(paths)]
         if mode == "merge":
-            return ingest.merge(each, [self.beams(p) for p in paths], 1e-6)
+            return ingest.merge(each, [self.beams(p) for p in paths], 1e-6, axes)
+        ingest.same_channels(axes)
         both = reduce(DataFrame.unionByName, each)
         if mode == "stack":
             return ingest.stack(both)

@@ -1,6 +1,7 @@
 """Kernels against dense NumPy, properties, solvers, sources and streams."""
 
 import math
+import os
 import tarfile
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skyloom.functions import sky, units
-from skyloom.operators import images, ingest, measure, objective, spectra, spectral
+from skyloom.operators import images, ingest, measure, nufft, objective, spectra, spectral
 from skyloom.plans import imager, solvers
 from skyloom.sources import fits, vis
 from skyloom.streaming import slabs
@@ -77,7 +78,7 @@ def numpy_forward(setup, cube):
     return out
 
 
-@pytest.mark.parametrize("kernel", ["join", "matrix"])
+@pytest.mark.parametrize("kernel", ["join", "matrix", "nufft"])
 def test_forward_equals_numpy(spark, setup, kernel):
     cube = np.random.default_rng(2).normal(size=(2, H, W))
     want = numpy_forward(setup, cube)
@@ -86,8 +87,9 @@ def test_forward_equals_numpy(spark, setup, kernel):
     np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-6, atol=1e-5)
 
 
-def test_adjoint_identity(spark, setup):
-    op, cube = operator(setup), np.random.default_rng(3).normal(size=(2, H, W))
+@pytest.mark.parametrize("kernel", ["join", "nufft"])
+def test_adjoint_identity(spark, setup, kernel):
+    op, cube = operator(setup, kernel), np.random.default_rng(3).normal(size=(2, H, W))
     ax = {r.vis_id: complex(r.m_re, r.m_im) for r in op.forward(image_table(spark, cube)).collect()}
     y = {r[0]: complex(r[10], r[11]) for r in setup[4]}
     left = sum(ax[k] * y[k].conjugate() for k in ax)
@@ -96,6 +98,34 @@ def test_adjoint_identity(spark, setup):
     assert abs(left - right) < 1e-6 * abs(left)
 
 
+@pytest.mark.parametrize("part", [nufft.PART, 7])
+def test_gridding_over_many_tiles(spark, monkeypatch, part):
+    monkeypatch.setattr(nufft, "PART", part)
+    monkeypatch.setattr(nufft, "BLOCK_CELLS", 1000)
+    rng, (h, w, n) = np.random.default_rng(8), (75, 90, 400)
+    plane, u, v, d = rng.normal(size=(h, w)), rng.uniform(-5, 5, n), rng.uniform(-math.pi, math.pi, n), rng.normal(size=(n, 2)) @ [1, 1j]
+    seen = spark.createDataFrame([(i, 0, 0, float(u[i]), float(v[i]), float(d[i].real), float(d[i].imag)) for i in range(n)], "vis_id long, chan int, beam int, ur double, vr double, re double, im double")
+    ev, eu = np.exp(-1j * np.outer(v, np.arange(h) - h // 2)), np.exp(1j * np.outer(u, np.arange(w) - w // 2))
+    want = ((ev @ plane) * eu).sum(1) * CELL**2
+    got = {r.vis_id: complex(r.m_re, r.m_im) for r in measure.degrid(seen, image_table(spark, plane[None]), h, w, CELL).collect()}
+    np.testing.assert_allclose([got[i] for i in range(n)], want, atol=1e-6 * abs(want).max())
+    pixels = image_table(spark, plane[None]).select("y", "x")
+    re, im = dense(measure.grid_adjoint(seen, pixels, h, w, CELL), (1, h, w), "re", "im")
+    want = CELL**2 * (ev.conj().T @ (d[:, None] * eu.conj()))
+    np.testing.assert_allclose((re + 1j * im)[0], want, atol=1e-6 * abs(want).max())
+    joins = measure.grid_adjoint(seen, pixels, h, w, CELL)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in joins and "Cartesian" not in joins
+    with pytest.raises(ValueError):
+        measure.degrid(seen, pixels, h, w, CELL, kernel="other")
+
+
+def test_gridding_of_empty_tables(spark, setup):
+    seen, image = operator(setup).vis, image_table(spark, np.ones((2, H, W)))
+    assert nufft.forward(seen.limit(0), image, H, W, CELL).count() == 0
+    assert nufft.forward(seen, image.limit(0), H, W, CELL).count() == 0
+    assert nufft.adjoint(seen.limit(0), H, W, CELL).count() == 0
+
+
 def test_gradient_equals_finite_differences(spark, setup):
     op, x = operator(setup), np.random.default_rng(4).normal(size=(2, H, W))
     problem = solvers.Problem(op, [0, 1], lambda_r=1e-6)
@@ -248,6 +278,13 @@ def test_visibility_sets(spark, tmp_path):
     per_set = main.where("ant1 <> ant2").count()
     assert reader.read_blocks(root).count() == 4 * per_set
     assert reader.read_blocks(root, "stack").select("beam").distinct().count() == 4
+    for name in ("X_C10_10_a.ms", "X_C10_2_a.ms"):
+        vis.write_set(f"{tmp_path}/other/b3/{name}", main, channels.withColumn("frequency", F.col("frequency") + F.when(F.col("chan") > 1, 1e5).otherwise(0.0)), 75.0 if "10_10" in name else 80.0, -70.0, [(0, 0), (1, 0)])
+    os.symlink(f"{tmp_path}/b1", f"{tmp_path}/other/b1")
+    for mode in ("merge", "stack"):
+        with pytest.raises(ingest.MismatchError):
+            reader.read_blocks(f"{root}/other", mode)
+    assert reader.read_blocks(f"{root}/other", channels=[0, 1]).count() > 0 and reader.read_blocks(f"{root}/other", "separate").count() == 4 * per_set
     near = reader.read_block(f"{root}/b1", channels=[1], cone=(75.0, -70.0, 0.5), uv_range=(10.0, 30.0))
     assert near.select("beam").distinct().collect()[0].beam == 0 and near.where("isnan(sigma)").count() == 0
     plan = near._jdf.queryExecution().executedPlan().toString()
