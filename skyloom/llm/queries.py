@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, licenses, line_dedup, near_dup, packing, quality, secrets, sharding, token_output
+from . import decontam, filter_audit, html_text, licenses, line_dedup, near_dup, packing, quality, secrets, sharding, token_output
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op4_maglev_sharding": sharding.op4_maglev_sharding,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
+    "op13_filter_audit": filter_audit.OP13_SQL,
     "op10_minhash_near_dup": near_dup.OP10_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op4_maglev_sharding": sharding.OP4_SQL,
