@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, filter_audit, html_text, licenses, line_dedup, near_dup, packing, quality, secrets, sharding, token_output
+from . import decontam, filter_audit, html_text, licenses, line_dedup, near_dup, packing, quality, secrets, sharding, spelling, token_output
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op4_maglev_sharding": sharding.op4_maglev_sharding,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
+    "op12_spelling_variants": spelling.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
     "op10_minhash_near_dup": near_dup.OP10_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
