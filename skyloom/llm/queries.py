@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, filter_audit, html_text, licenses, line_dedup, near_dup, packing, quality, secrets, sharding, spelling, token_output
+from . import decontam, filter_audit, html_text, licenses, line_dedup, near_dup, packing, quality, rule_ensemble, secrets, sharding, spelling, token_output
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_maglev_sharding": sharding.op4_maglev_sharding,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op11_rule_ensemble": rule_ensemble.op11_rule_ensemble,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
