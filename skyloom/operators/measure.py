@@ -16,7 +16,7 @@ from . import nufft
 
 #: Pixels of a plane up to which ``kernel="auto"`` sums over all of them; beyond, samples are gridded.
 SUM_PIXELS = 64 * 64
-#: Images are broadcast to tasks; beyond this many pixels they are refused (a dish map of 8192 by 8192 has 2**26).
+#: The matrix form sends images to tasks; beyond this many pixels it refuses them (a dish map of 8192 by 8192 has 2**26).
 MOST_PIXELS = 1 << 26
 
 
@@ -39,24 +39,35 @@ def _kernel(kernel: str, height: int, width: int) -> str:
     return kernel
 
 
-def degrid(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto") -> DataFrame:
-    """Model visibilities ``m_re``, ``m_im`` of each sample (``vis_id``, ``chan``, ``beam``, ``ur``, ``vr``).
+def _bounded(image: DataFrame, height: int, width: int) -> DataFrame:
+    """A plane of few pixels to send to every task; larger ones are for gridding."""
+    if height * width > SUM_PIXELS:
+        raise ValueError(f"{height} by {width} pixels are too many to join with every sample")
+    return F.broadcast(image)
+
+
+def degrid(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto", carried: tuple[str, ...] = ("vis_id", "chan", "beam")) -> DataFrame:
+    """Model visibilities ``m_re``, ``m_im`` of each sample (``vis_id``, ``chan``, ``beam``, ``ur``, ``vr``), with its columns ``carried``.
 
     ``image`` has the columns of ``key`` that it depends on, y, x and value. The join form is a join on those keys and
-    a sum; the matrix form sends the image to the tasks and multiplies separable phase factors; ``nufft`` grids, with an
-    error of about 1e-7 and work that grows with samples plus pixels. ``auto`` is the join for planes of few pixels.
+    a sum, for planes of at most ``SUM_PIXELS``; the matrix form sends the image to the tasks and multiplies separable
+    phase factors; ``nufft`` grids, with an error of about 1e-7 and work that grows with samples plus pixels. ``auto`` is
+    the join for planes of few pixels. Spark broadcasts the image of a join with keys only if it is small.
     """
     kernel = _kernel(kernel, height, width)
     if kernel == "nufft":
-        return nufft.forward(vis, image, height, width, cell, key)
+        return nufft.forward(vis, image, height, width, cell, key, carried=carried)
     if kernel == "matrix":
         return _degrid_matrix(vis, image, height, width, cell, key)
     on = [k for k in key if k in image.columns]
     pix = image.select(*on, "y", "x", "value")
-    both = vis.join(F.broadcast(pix), on) if on else vis.crossJoin(F.broadcast(pix))
+    one = _bounded(pix, height, width)
+    both = vis.join(pix, on) if on else vis.crossJoin(one)
     p = phase(height, width)
-    s = both.groupBy("vis_id", "chan", "beam").agg(F.sum(F.col("value") * F.cos(p)).alias("m_re"), F.sum(F.col("value") * F.sin(p)).alias("m_im"))
-    return s.withColumns({"m_re": F.col("m_re") * cell**2, "m_im": F.col("m_im") * cell**2})
+    ids = ["vis_id", "chan", "beam"]
+    rest = [F.first(c).alias(c) for c in carried if c not in ids]
+    s = both.groupBy(*ids).agg(*rest, (F.sum(F.col("value") * F.cos(p)) * cell**2).alias("m_re"), (F.sum(F.col("value") * F.sin(p)) * cell**2).alias("m_im"))
+    return s.select(*carried, "m_re", "m_im")
 
 
 def _planes(image: DataFrame, height: int, width: int, on: list[str]) -> dict:
@@ -104,7 +115,7 @@ def grid_adjoint(vis: DataFrame, pixels: DataFrame, height: int, width: int, cel
         every = nufft.adjoint(vis, height, width, cell, keys)
         return every.join(pixels.select("y", "x").distinct(), ["y", "x"], "left_semi").select(*keys, "y", "x", "re", "im")
     p = phase(height, width)
-    both = vis.crossJoin(F.broadcast(pixels.select("y", "x")))
+    both = vis.crossJoin(_bounded(pixels.select("y", "x"), height, width))
     s = both.groupBy(*keys, "y", "x").agg(F.sum(F.col("re") * F.cos(p) + F.col("im") * F.sin(p)).alias("re"), F.sum(F.col("im") * F.cos(p) - F.col("re") * F.sin(p)).alias("im"))
     return s.withColumns({"re": F.col("re") * cell**2, "im": F.col("im") * cell**2})
 

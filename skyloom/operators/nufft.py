@@ -1,8 +1,9 @@
 """Non-uniform Fourier transforms between images and samples, by gridding.
 
 A sample touches ``spread`` by ``spread`` cells of a grid twice as fine as the image, so the work grows with samples plus
-pixels and not with their product. The grid is transformed line by line in one direction and then in the other, and is
-read back in tiles, so no task holds a plane and nothing is broadcast. With the kernel exp(β(√(1 - z²) - 1)) the error is
+pixels and not with their product. Samples meet the grid in tiles, and what moves between tasks are arrays: strips of
+tiles, and blocks of lines that are transformed in one direction and then in the other. No task holds a plane and
+nothing is broadcast. With the kernel exp(β(√(1 - z²) - 1)) the error is
 about 10^(1 - spread) of the largest value. ``forward`` and ``adjoint`` are each other's adjoint to rounding.
 
 Samples with the same angles, and pixels given twice, add up. Pixels not given are 0. Samples whose plane has no pixel
@@ -16,9 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells that a task transforms at a time, if a line isn't longer.
-BLOCK_CELLS = 1 << 20
-#: Rows and columns of cells in a tile, and samples that a task reads from a tile at a time.
+#: Rows and columns of cells in a tile, which is also how many lines are transformed at a time, and samples that a task
+#: holds against a tile at a time.
 TILE, PART = 64, 1 << 17
 
 
@@ -47,46 +47,24 @@ def _first(angle: str, size: int, spread: int) -> tuple[Column, Column]:
     return first, first - at
 
 
-def _cells(angle: str, size: int, spread: int) -> Column:
-    """The cells that an angle touches, with weights."""
-    first, off = _first(angle, size, spread)
-
-    def cell(i: int) -> Column:
-        z = (off + i) * (2 / spread)
-        w = F.exp(_beta(spread) * (F.sqrt(F.greatest(1 - z * z, F.lit(0.0))) - 1))
-        return F.struct(F.pmod(first + i, F.lit(size)).cast("int").alias("at"), w.alias("w"))
-
-    return F.explode(F.array(*[cell(i) for i in range(spread)]))
-
-
-def _by_line(cells: DataFrame, keys: list[str], line: str, along: str, length: int, change, rows, schema: str) -> DataFrame:
-    """``change`` applied to blocks of whole lines (a matrix, a line a row); ``rows`` makes columns of the result."""
-    kinds = [f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys]
-    per = max(1, BLOCK_CELLS // length)
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
+def _weights(distance, spread: int):
+    """The kernel at the cells from the first on, a row a sample."""
+    import numpy as np
 
-        lines, row = np.unique(pdf[line].to_numpy(), return_inverse=True)
-        block = np.zeros((len(lines), length), complex)
-        np.add.at(block, (row, pdf[along].to_numpy()), pdf.re.to_numpy() + 1j * pdf.im.to_numpy())
-        out = pd.DataFrame(rows(lines, change(block)))
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
+    z = (distance[:, None] + np.arange(spread)) * (2 / spread)
+    return np.exp(_beta(spread) * (np.sqrt(np.maximum(1 - z * z, 0)) - 1))
 
-    return cells.groupBy(*keys, F.floor(F.col(line) / per)).applyInPandas(run, ", ".join([*kinds, schema]))
 
+def _typed(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
-def _cell_rows(line: str, along: str):
-    def rows(lines, block):
-        import numpy as np
 
-        n = block.shape[1]
-        return {line: np.repeat(lines, n), along: np.tile(np.arange(n), len(lines)), "re": block.real.ravel(), "im": block.imag.ravel()}
-
-    return rows, f"{line} int, {along} int, re double, im double"
+def _flat(frame, keys: list[str], pdf, **columns):
+    """A pandas frame of the columns, the keys being those of the group."""
+    out = frame(columns)
+    for i, k in enumerate(keys):
+        out.insert(i, k, pdf[k].iloc[0])
+    return out
 
 
 def _to_pixels(n: int, size: int, spread: int, sign: int):
@@ -110,75 +88,150 @@ def _to_cells(n: int, size: int, spread: int, sign: int):
     return change
 
 
+def _in_tiles(vis: DataFrame, on: list[str], carried: list[str], gh: int, gw: int, spread: int) -> tuple[DataFrame, DataFrame]:
+    """Samples with their tile, first cell and distance from it, dealt to parts; and how many parts a tile has."""
+    (fy, dy), (fx, dx) = _first("vr", gh, spread), _first("ur", gw, spread)
+    s = vis.select(*carried, F.pmod(fy, F.lit(gh)).cast("int").alias("__fy"), F.pmod(fx, F.lit(gw)).cast("int").alias("__fx"), dy.alias("__dy"), dx.alias("__dx"))
+    s = s.withColumns({"__ty": F.floor(F.col("__fy") / TILE).cast("int"), "__tx": F.floor(F.col("__fx") / TILE).cast("int")})
+    by = [*on, "__ty", "__tx"]
+    parts = s.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / PART).alias("__parts"))
+    return s.join(parts, by).withColumn("__part", F.pmod(F.xxhash64("__dy", "__dx"), "__parts")).drop("__parts"), parts
+
+
 def adjoint(vis: DataFrame, height: int, width: int, cell: float, keys: tuple[str, ...] = ("chan", "beam"), spread: int = 8) -> DataFrame:
-    """cell² Σ V exp(-i(u(k - W/2) - v(j - H/2))) of samples ``ur``, ``vr``, ``re``, ``im``: (keys, y, x, re, im), every pixel."""
+    """cell² Σ V exp(-i(u(k - W/2) - v(j - H/2))) of samples ``ur``, ``vr``, ``re``, ``im``: (keys, y, x, re, im), every pixel.
+
+    A tile's samples are added up on its cells first, so strips of tiles are moved and not a row a sample and cell.
+    """
     keys, gh, gw = list(keys), _size(height, spread), _size(width, spread)
-    t = vis.select(*keys, "ur", "re", "im", _cells("vr", gh, spread).alias("c"))
-    t = t.select(*keys, F.col("c.at").alias("gy"), (F.col("re") * F.col("c.w")).alias("re"), (F.col("im") * F.col("c.w")).alias("im"), _cells("ur", gw, spread).alias("c"))
-    grid = t.groupBy(*keys, "gy", F.col("c.at").alias("gx")).agg(F.sum(F.col("re") * F.col("c.w")).alias("re"), F.sum(F.col("im") * F.col("c.w")).alias("im"))
-    t = _by_line(grid, keys, "gy", "gx", gw, _to_pixels(width, gw, spread, -1), *_cell_rows("gy", "x"))
-    t = _by_line(t, keys, "x", "gy", gh, _to_pixels(height, gh, spread, 1), *_cell_rows("x", "y"))
-    return t.select(*keys, "y", "x", (F.col("re") * cell**2).alias("re"), (F.col("im") * cell**2).alias("im"))
+    samples, _ = _in_tiles(vis, keys, [*keys, "re", "im"], gh, gw, spread)
+    side, kinds = TILE + spread, _typed(vis, keys)
+
+    def spread_out(pdf):
+        import numpy as np
+        import pandas as pd
+
+        oy, ox = pdf["__fy"].to_numpy() % TILE, pdf["__fx"].to_numpy() % TILE
+        wy, wx, v = _weights(pdf["__dy"].to_numpy(), spread), _weights(pdf["__dx"].to_numpy(), spread), pdf.re.to_numpy() + 1j * pdf.im.to_numpy()
+        step, patch = np.arange(spread), np.zeros(side * side, complex)
+        for a in range(0, len(v), 8192):
+            i = slice(a, a + 8192)
+            at = ((oy[i, None] + step)[:, :, None] * side + (ox[i, None] + step)[:, None, :]).ravel()
+            share = (wy[i][:, :, None] * wx[i][:, None, :] * v[i][:, None, None]).ravel()
+            patch += np.bincount(at, share.real, side * side) + 1j * np.bincount(at, share.imag, side * side)
+        patch = patch.reshape(side, side)
+        held = np.flatnonzero(patch.any(1))
+        line = (pdf["__ty"].iloc[0] * TILE + held) % gh
+        return _flat(pd.DataFrame, keys, pdf, gy=line, tx=np.full(len(held), pdf["__tx"].iloc[0]), re=list(patch[held].real), im=list(patch[held].imag))
+
+    strips = samples.groupBy(*keys, "__ty", "__tx", "__part").applyInPandas(spread_out, f"{kinds}, gy int, tx int, re array<double>, im array<double>")
+    across, down = _to_pixels(width, gw, spread, -1), _to_pixels(height, gh, spread, 1)
+
+    def lines(pdf):
+        import numpy as np
+        import pandas as pd
+
+        block = np.zeros((TILE, gw), complex)
+        at = (pdf.tx.to_numpy()[:, None] * TILE + np.arange(side)) % gw
+        np.add.at(block, (pdf.gy.to_numpy()[:, None] % TILE, at), np.stack(pdf.re.to_numpy()) + 1j * np.stack(pdf.im.to_numpy()))
+        cut = np.split(across(block), range(TILE, width, TILE), axis=1)
+        return _flat(pd.DataFrame, keys, pdf, xb=np.arange(len(cut)), gb=np.full(len(cut), pdf.gy.iloc[0] // TILE), re=[c.real.ravel() for c in cut], im=[c.imag.ravel() for c in cut])
+
+    blocks = strips.groupBy(*keys, F.floor(F.col("gy") / TILE)).applyInPandas(lines, f"{kinds}, xb int, gb int, re array<double>, im array<double>")
+
+    def columns(pdf):
+        import numpy as np
+        import pandas as pd
+
+        first = int(pdf.xb.iloc[0]) * TILE
+        n = min(TILE, width - first)
+        block = np.zeros((-(-gh // TILE) * TILE, n), complex)
+        for gb, re, im in zip(pdf.gb, pdf.re, pdf.im):
+            block[gb * TILE : (gb + 1) * TILE] = (np.asarray(re) + 1j * np.asarray(im)).reshape(TILE, n)
+        out = down(block[:gh].T) * cell**2  # a row an x
+        return _flat(pd.DataFrame, keys, pdf, y=np.tile(np.arange(height), n), x=np.repeat(first + np.arange(n), height), re=out.real.ravel(), im=out.imag.ravel())
+
+    return blocks.groupBy(*keys, "xb").applyInPandas(columns, f"{kinds}, y int, x int, re double, im double")
 
 
 def _tiles(image: DataFrame, on: list[str], height: int, width: int, gh: int, gw: int, spread: int) -> DataFrame:
-    """The grid of each plane in rows of tiles, each with the cells that its last samples touch: (on, ty, tx, gy, re, im)."""
+    """The grid of each plane in rows of tiles, each with the cells that its last samples touch: (on, __ty, __tx, gy, re, im)."""
     import numpy as np
 
     nx, ny = -(-gw // TILE), -(-gh // TILE)
     part = (np.arange(nx)[:, None] * TILE + np.arange(TILE + spread)) % gw
+    down, across = _to_cells(height, gh, spread, -1), _to_cells(width, gw, spread, 1)
+    kinds = _typed(image, on) + ", " if on else ""
+
+    def columns(pdf):
+        import pandas as pd
+
+        first = int(pdf.x.iloc[0]) // TILE * TILE
+        n = min(TILE, width - first)
+        block = np.zeros((n, height), complex)
+        np.add.at(block, (pdf.x.to_numpy() - first, pdf.y.to_numpy()), pdf.re.to_numpy() + 1j * pdf.im.to_numpy())
+        full = np.zeros((ny * TILE, n), complex)
+        full[:gh] = down(block).T
+        cut = np.split(full, ny)
+        return _flat(pd.DataFrame, on, pdf, gb=np.arange(ny), xb=np.full(ny, first // TILE), re=[c.real.ravel() for c in cut], im=[c.imag.ravel() for c in cut])
 
-    def rows(lines, block):
-        cut = block[:, part].reshape(-1, TILE + spread)
-        return {"gy": np.repeat(lines, nx), "tx": np.tile(np.arange(nx), len(lines)), "re": list(cut.real), "im": list(cut.imag)}
+    def lines(pdf):
+        import pandas as pd
 
-    t = image.select(*on, "y", "x", F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im"))
-    t = _by_line(t, on, "x", "y", height, _to_cells(height, gh, spread, -1), *_cell_rows("x", "gy"))
-    t = _by_line(t, on, "gy", "x", width, _to_cells(width, gw, spread, 1), rows, "gy int, tx int, re array<double>, im array<double>")
-    own = F.floor(F.col("gy") / TILE).cast("int")
+        block = np.zeros((TILE, width), complex)
+        for xb, re, im in zip(pdf.xb, pdf.re, pdf.im):
+            n = min(TILE, width - xb * TILE)
+            block[:, xb * TILE : xb * TILE + n] = (np.asarray(re) + 1j * np.asarray(im)).reshape(TILE, n)
+        first = int(pdf.gb.iloc[0]) * TILE
+        n = min(TILE, gh - first)
+        cut = across(block)[:n, part].reshape(-1, TILE + spread)
+        return _flat(pd.DataFrame, on, pdf, gy=np.repeat(first + np.arange(n), nx), __tx=np.tile(np.arange(nx), n), re=list(cut.real), im=list(cut.imag))
+
+    im = F.col("im").cast("double") if "im" in image.columns else F.lit(0.0)
+    t = image.select(*on, "y", "x", F.col("value").cast("double").alias("re"), im.alias("im"))
+    t = t.groupBy(*on, F.floor(F.col("x") / TILE)).applyInPandas(columns, f"{kinds}gb int, xb int, re array<double>, im array<double>")
+    t = t.groupBy(*on, "gb").applyInPandas(lines, f"{kinds}gy int, __tx int, re array<double>, im array<double>")
+    # tiles whose cells reach this line, also beyond the grid's end, where a last tile may be shorter than the kernel
+    own, beyond = F.floor(F.col("gy") / TILE).cast("int"), F.floor((F.col("gy") + gh) / TILE).cast("int")
     above = F.when((F.col("gy") % TILE < spread) & (own > 0), own - 1)
-    around = F.when(F.col("gy") < spread, F.lit(ny - 1))
-    return t.withColumn("ty", F.explode(F.array_compact(F.array_distinct(F.array(own, above, around)))))
+    around = F.when(beyond < ny, beyond)
+    before = F.when(((F.col("gy") + gh) % TILE < spread) & (beyond - 1 < ny), beyond - 1)
+    return t.withColumn("__ty", F.explode(F.array_compact(F.array_distinct(F.array(own, above, around, before)))))
 
 
-def forward(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), spread: int = 8) -> DataFrame:
-    """cell² Σ x exp(i(u(k - W/2) - v(j - H/2))) at each sample: (vis_id, chan, beam, m_re, m_im).
+def forward(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), spread: int = 8, carried: tuple[str, ...] = ("vis_id", "chan", "beam")) -> DataFrame:
+    """cell² Σ x exp(i(u(k - W/2) - v(j - H/2))) at each sample: its columns ``carried``, m_re and m_im.
 
-    A tile that many samples read is given to several tasks, by counts of samples.
+    ``image`` has value, and im where it is complex. A tile that many samples read is given to several tasks, by counts
+    of samples.
     """
     on = [k for k in key if k in image.columns]
     gh, gw = _size(height, spread), _size(width, spread)
-    (fy, dy), (fx, dx) = _first("vr", gh, spread), _first("ur", gw, spread)
-    s = vis.select("vis_id", "chan", "beam", F.pmod(fy, F.lit(gh)).cast("int").alias("fy"), F.pmod(fx, F.lit(gw)).cast("int").alias("fx"), dy.alias("dy"), dx.alias("dx"))
-    s = s.withColumns({"ty": F.floor(F.col("fy") / TILE).cast("int"), "tx": F.floor(F.col("fx") / TILE).cast("int")})
-    by = [*on, "ty", "tx"]
-    parts = s.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
-    s = s.join(parts, by).withColumn("part", F.pmod(F.xxhash64("vis_id", "chan", "beam"), "parts")).drop("parts")
+    kept = list(dict.fromkeys([*carried, *on]))
+    s, parts = _in_tiles(vis, on, kept, gh, gw, spread)
+    by = [*on, "__ty", "__tx"]
     tiles = _tiles(image, on, height, width, gh, gw, spread).join(parts, by)
-    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    beta = _beta(spread)
+    tiles = tiles.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+    names = list(carried)
 
     def run(samples, tile):
         import numpy as np
 
-        out = samples[["vis_id", "chan", "beam"]]
+        out = samples[names]
         if not len(samples) or not len(tile):
             return out.iloc[:0].assign(m_re=0.0, m_im=0.0)
         place = np.full(gh, -1)
         place[tile.gy.to_numpy()] = np.arange(len(tile))
         rows = np.stack(tile.re.to_numpy()) + 1j * np.stack(tile.im.to_numpy())
-        plane = rows[place[(tile.ty.iloc[0] * TILE + np.arange(TILE + spread)) % gh]]
-        oy, ox = samples.fy.to_numpy() % TILE, samples.fx.to_numpy() % TILE
+        plane = rows[place[(tile["__ty"].iloc[0] * TILE + np.arange(TILE + spread)) % gh]]
+        oy, ox = samples["__fy"].to_numpy() % TILE, samples["__fx"].to_numpy() % TILE
         step, model = np.arange(spread), np.zeros(len(samples), complex)
-        weight = lambda d: np.exp(beta * (np.sqrt(np.maximum(1 - ((d[:, None] + step) * (2 / spread)) ** 2, 0)) - 1))
-        wy, wx = weight(samples.dy.to_numpy()), weight(samples.dx.to_numpy())
+        wy, wx = _weights(samples["__dy"].to_numpy(), spread), _weights(samples["__dx"].to_numpy(), spread)
         for a in range(0, len(samples), 8192):
             i = slice(a, a + 8192)
             near = plane[oy[i, None, None] + step[:, None], ox[i, None, None] + step]
             model[i] = np.einsum("nij,ni,nj->n", near, wy[i], wx[i])
         return out.assign(m_re=model.real * cell**2, m_im=model.imag * cell**2)
 
-    by.append("part")
-    types = {c: vis.schema[c].dataType.simpleString() for c in ("vis_id", "chan", "beam")}
-    schema = ", ".join(f"{c} {k}" for c, k in types.items()) + ", m_re double, m_im double"
-    return s.groupBy(*by).cogroup(tiles.groupBy(*by)).applyInPandas(run, schema)
+    by.append("__part")
+    return s.groupBy(*by).cogroup(tiles.groupBy(*by)).applyInPandas(run, f"{_typed(vis, names)}, m_re double, m_im double")

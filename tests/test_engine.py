@@ -101,7 +101,7 @@ def test_adjoint_identity(spark, setup, kernel):
 @pytest.mark.parametrize("part", [nufft.PART, 7])
 def test_gridding_over_many_tiles(spark, monkeypatch, part):
     monkeypatch.setattr(nufft, "PART", part)
-    monkeypatch.setattr(nufft, "BLOCK_CELLS", 1000)
+    monkeypatch.setattr(nufft, "TILE", 24)
     rng, (h, w, n) = np.random.default_rng(8), (75, 90, 400)
     plane, u, v, d = rng.normal(size=(h, w)), rng.uniform(-5, 5, n), rng.uniform(-math.pi, math.pi, n), rng.normal(size=(n, 2)) @ [1, 1j]
     seen = spark.createDataFrame([(i, 0, 0, float(u[i]), float(v[i]), float(d[i].real), float(d[i].imag)) for i in range(n)], "vis_id long, chan int, beam int, ur double, vr double, re double, im double")
@@ -119,6 +119,16 @@ def test_gridding_over_many_tiles(spark, monkeypatch, part):
         measure.degrid(seen, pixels, h, w, CELL, kernel="other")
 
 
+def test_gridding_where_the_last_tile_is_narrow(spark):
+    """66 cells: the second tile has two, so the first one's kernels reach over it to the other end."""
+    rng, (h, w, n) = np.random.default_rng(9), (33, 35, 500)
+    plane, u, v = rng.normal(size=(h, w)), rng.uniform(-math.pi, math.pi, n), rng.uniform(-math.pi, math.pi, n)
+    seen = spark.createDataFrame([(i, 0, 0, float(u[i]), float(v[i])) for i in range(n)], "vis_id long, chan int, beam int, ur double, vr double")
+    want = ((np.exp(-1j * np.outer(v, np.arange(h) - h // 2)) @ plane) * np.exp(1j * np.outer(u, np.arange(w) - w // 2))).sum(1)
+    got = {r.vis_id: complex(r.m_re, r.m_im) for r in nufft.forward(seen, image_table(spark, plane[None]), h, w, 1.0).collect()}
+    np.testing.assert_allclose([got[i] for i in range(n)], want, atol=1e-6 * abs(want).max())
+
+
 def test_gridding_of_empty_tables(spark, setup):
     seen, image = operator(setup).vis, image_table(spark, np.ones((2, H, W)))
     assert nufft.forward(seen.limit(0), image, H, W, CELL).count() == 0
