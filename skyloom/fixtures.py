@@ -30,6 +30,13 @@ select c.chan, cast(floor(p_partkey/8) as int) as y, cast(p_partkey % 8 as int)
 select vis_id, block, beam, ddid, chan, ant1, ant2, uu, vv, ww, 0.5e0*(p0_re+p1_re) as re, 0.5e0*(p0_im+p1_im) as im,
  0.5e0*sqrt(s0*s0+s1*s1) as sigma, (f0 or f1) as flag from fx_vis""",
 }
+#: An image of four pixels a part, 100 a row, and a cube with a spectrum for each part: both grow with the tables.
+VIEWS["fx_field"] = """
+select cast(floor(n/100) as int) as y, cast(n % 100 as int) as x, value from
+ (select p_partkey*4 + q as n, (p_size - 10)/10.0e0*(1.0e0 + 0.1e0*q) as value from part cross join (select 0 as q union all select 1 union all select 2 union all select 3) s) t"""
+VIEWS["fx_cube"] = """
+select c.chan, cast(floor(p.p_partkey/100) as int) as y, cast(p.p_partkey % 100 as int) as x, coalesce(sum(l.l_quantity), 0)/10.0e0 as value
+ from part p cross join fx_channel c left join lineitem l on l.l_partkey = p.p_partkey and l.l_linenumber - 1 = c.chan group by c.chan, p.p_partkey"""
 BASIS = {
     "spark": "select cast(vec_id as int) as k, pos as chan, cast(val as double) as value from (select vec_id, posexplode(embedding) as (pos,val) from embeddings where vec_id < 3)",
     "duckdb": "select cast(vec_id as int) as k, cast(g-1 as int) as chan, cast(embedding[g] as double) as value from (select vec_id, embedding, unnest(range(1,len(embedding)+1)) as g from embeddings where vec_id < 3)",

@@ -44,20 +44,37 @@ NO_ARTICLE = frozenset(
 )
 
 
+#: Words that say nothing by themselves: what stands before them tells what an element is.
+PLAIN_HEADS = frozenset(
+    "wrapper wrap container box block area section item items list links link inner outer content body bar button buttons group row col column panel slot unit zone region"
+    " posts post articles stories story module component text title header heading top bottom left right main primary secondary small large icon icons toggle count author meta avatar thread card cards".split()
+)
+#: A heading of these words opens the readers' part of its element.
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+)?(?:comments?|repl(?:y|ies)|responses?|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "bad", "first", "last", "depth")
+    """An element: whether it can't be article text, and whether it lies in a link or in an article's element."""
+
+    __slots__ = ("tag", "parent", "bad", "order", "end", "linked", "content")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool):
-        self.tag, self.parent, self.bad, self.first, self.last = tag, parent, bad, -1, -1
-        self.depth = parent.depth + 1 if parent else 0
+        self.tag, self.parent, self.bad, self.order, self.end = tag, parent, bad, 0, 0
+        self.linked = tag == "a" or (parent is not None and parent.linked)
+        self.content = tag in ("article", "main") or (parent is not None and parent.content)
 
 
 def _marked(rest: str) -> bool:
+    """Whether an id, class or role names what is no article: by its last word, plain ones like "list" apart."""
     for m in _HINT.finditer(rest):
         value = next(filter(None, m.groups()), "")
         for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
-            words = re.split(r"[^a-z]+", name)
-            if words[0] not in ("no", "has", "with", "without") and not NO_ARTICLE.isdisjoint(words):
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w.isalpha()]
+            if not words or words[0] in ("no", "has", "with", "without"):
+                continue
+            while len(words) > 1 and words[-1] in PLAIN_HEADS:
+                words.pop()
+            if words[-1] in NO_ARTICLE:
                 return True
     return False
 
@@ -66,15 +83,44 @@ def parse(page: str) -> tuple[list[tuple[str, str, Node]], list[tuple[Node, str]
     """Tokens (kind, text, element) and blocks (element, text) of a page.
 
     Kinds: ``word`` once a run of text with its words, and the classes of tags. Blocks end at block elements only.
+    Elements carry what is asked of them, so the work grows with the page, however deep it is nested.
     """
     root = Node("#root", None, False)
     here, tokens, blocks, text = root, [], [], []
-
-    def flush() -> None:
+    nodes, opened = [root], {}
+
+    def open_(tag: str, bad: bool) -> Node:
+        node = Node(tag, here, bad)
+        node.order = len(nodes)
+        nodes.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
+        return node
+
+    def closed(name: str, within: tuple[str, ...] = ()) -> Node:
+        """The parent of the nearest open ``name``; ``here`` itself where none is open (inside ``within``)."""
+        if not opened.get(name):
+            return here
+        node = here
+        while node.tag != name:
+            if node.parent is None or node.tag in within:
+                return here
+            node = node.parent
+        gone = here
+        while gone is not node.parent:
+            opened[gone.tag] -= 1
+            gone = gone.parent
+        return node.parent
+
+    def flush() -> Node:
         joined = _SPACE.sub(" ", "".join(text)).strip()
+        text.clear()
         if joined:
             blocks.append((here, joined))
-        text.clear()
+            # what follows a heading of comments belongs to the readers, to the end of its element
+            if here.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not here.bad and _COMMENTS.fullmatch(joined):
+                here.bad = True
+                return here
+        return root
 
     for m in _LEX.finditer(page):
         piece = m.group()
@@ -85,63 +131,49 @@ def parse(page: str) -> tuple[list[tuple[str, str, Node]], list[tuple[Node, str]
             plain = html.unescape(piece)
             text.append(plain)
             if n := len(plain.split()):
-                tokens.append(("link" if _inside(here, "a") else "word", n, here))
+                tokens.append(("link" if here.linked else "word", n, here))
             continue
         closing, name, rest, single = t.group(1), t.group(2).lower(), t.group(3), t.group(4)
         if name in INLINE:
             tokens.append(("a" if name == "a" else "inline", 1, here))
             if name in ("a",):
                 if closing:
-                    here = _closed(here, "a")
+                    here = closed("a")
                 elif not single:
-                    here = Node("a", here, here.bad or _marked(rest))
+                    here = open_("a", here.bad or _marked(rest))
             elif name in ("span", "b", "i", "em", "strong", "small", "label", "font") and not closing and _marked(rest) and not single:
-                here = Node(name, here, True)
+                here = open_(name, True)
             elif closing and here.tag == name:
-                here = here.parent
+                here = closed(name)
             continue
         if name in ("br", "wbr"):
             text.append(" ")
             tokens.append(("inline", 1, here))
             continue
-        flush()
+        heading = flush()
         kind = "item" if name in ("li", "ul", "ol", "dl", "dt", "dd") else "p" if name == "p" else "head" if name in ("h1", "h2", "h3", "h4", "h5", "h6") else "block"
         if closing:
             tokens.append((kind, 1, here))
-            here = _closed(here, name)
+            here = closed(name)
+            if heading.bad and here is heading.parent:
+                here = open_("#comments", True)
         else:
             if name in _P_ENDERS:
-                here = _closed(here, "p", within=("td", "th", "li", "div", "article", "section", "main", "body", "blockquote"))
+                here = closed("p", ("td", "th", "li", "div", "article", "section", "main", "body", "blockquote"))
             for other in _CLOSES.get(name, ()):
-                here = _closed(here, other, within=("ul", "ol", "table", "dl", "div", "article", "section", "body", "tr" if other in ("td", "th") and name != "tr" else "table"))
+                here = closed(other, ("ul", "ol", "table", "dl", "div", "article", "section", "body", "tr" if other in ("td", "th") and name != "tr" else "table"))
             if name not in VOID and not single:
-                bad = here.bad or name in DROPPED or (name not in CONTENT and _marked(rest)) or (name == "header" and not _inside(here, "article") and not _inside(here, "main"))
-                here = Node(name, here, bad)
+                bad = here.bad or name in DROPPED or (name not in CONTENT and _marked(rest)) or (name == "header" and not here.content)
+                here = open_(name, bad)
             tokens.append((kind, 1, here))
     flush()
+    for node in reversed(nodes):
+        node.end = max(node.end, node.order)
+        if node.parent is not None:
+            node.parent.end = max(node.parent.end, node.end)
     return tokens, blocks
 
 
-def _inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def _closed(here: Node, name: str, within: tuple[str, ...] = ()) -> Node:
-    """The parent of the nearest open ``name``; ``here`` itself where none is open (inside ``within``)."""
-    node = here
-    while node.parent is not None:
-        if node.tag == name:
-            return node.parent
-        if node.tag in within:
-            return here
-        node = node.parent
-    return here
-
-
 #: Labelled pages: (html, the article's element id). Menus, adverts and so on stand outside it.
 _SENTENCE = "Some words that tell a longer story go on in this place and end here."
 LABELLED = tuple(
@@ -159,7 +191,7 @@ def weights() -> dict[str, float]:
     count = {True: {}, False: {}}
     for page in LABELLED:
         for kind, n, node in parse(page)[0]:
-            side = count[_inside(node, "article")]
+            side = count[node.content]
             side[kind] = side.get(kind, 0) + n
     kinds = ("word", "link", "a", "inline", "item", "p", "head", "block")
     total = {s: sum(c.values()) + len(kinds) for s, c in count.items()}
@@ -216,16 +248,14 @@ def _up(node: Node | None) -> Iterator[Node]:
 
 
 def _within(node: Node, box: Node) -> bool:
-    while node.depth > box.depth:
-        node = node.parent
-    return node is box
+    return box.order <= node.order <= box.end
 
 
 def _common(nodes: list[Node]) -> Node:
-    box = nodes[0]
-    for n in nodes[1:]:
-        while not _within(n, box):
-            box = box.parent
+    first, last = min(n.order for n in nodes), max(n.order for n in nodes)
+    box = min(nodes, key=lambda n: n.order)
+    while not box.order <= first <= last <= box.end:
+        box = box.parent
     return box
 
 

@@ -17,18 +17,19 @@ from ._common import ALNUM_WORD, column_bytes, id_text, lower_ascii, slices, tab
 
 #: Fixed values of the base contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: (notice as normalised words, label). Edits are counted in characters of words joined by one space.
+#: (notice as normalised words, label). Edits are counted in characters of words joined by one space. What stands in brackets
+#: tells the license from its siblings and must be found as it is.
 NOTICES = (
-    ("released under the mit license", "mit"),
+    ("released under the [mit] license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("licensed under cc by 4 0", "cc-by-4.0"),
-    ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
-    ("licensed under a creative commons attribution license", "cc-by"),
+    ("licensed under the [apache] license version [2 0]", "apache-2.0"),
+    ("this work is licensed under the [gnu general public license] version [3]", "gpl-3.0"),
+    ("licensed under [cc by nc 4 0]", "cc-by-nc-4.0"),
+    ("licensed under [cc by 4 0]", "cc-by-4.0"),
+    ("licensed under [cc by sa 4 0]", "cc-by-sa-4.0"),
+    ("licensed under a creative commons [attribution license]", "cc-by"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("this source code form is subject to the terms of the [mozilla public] license", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 #: One edit for each so many characters of a notice.
@@ -44,6 +45,12 @@ def split_parts(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _pattern(notice: str, edits: int) -> str:
+    """Bracketed words as they are, whole; the stretches around them with ``edits`` at most."""
+    parts = re.split(r"\[(.*?)\]", notice)
+    return "".join(f"(?<![^ ]){p}(?![^ ])" if i % 2 else f"(?:{p}){{e<={edits}}}" for i, p in enumerate(parts) if p)
+
+
 class Finder:
     """Notices with their allowed edits; ``find`` gives (notice, start, end, edits) in a normalised text."""
 
@@ -51,7 +58,8 @@ class Finder:
         import ahocorasick
         import regex
 
-        self.notices = [(text, label, len(text) // chars_per_edit) for text, label in notices]
+        plain = [(re.sub(r"[\[\]]", "", text), label) for text, label in notices]
+        self.notices = [(text, label, len(text) // chars_per_edit) for text, label in plain]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (text, _, k) in enumerate(self.notices):
             for place, part in split_parts(text, k):
@@ -61,7 +69,7 @@ class Finder:
             self.automaton.add_word(part, (len(part), at))
         self.automaton.make_automaton()
         # BESTMATCH: the fewest edits in a range; whole words only
-        self.patterns = [regex.compile(f"(?be)(?<![^ ])(?:{text}){{e<={k}}}(?![^ ])") for text, _, k in self.notices]
+        self.patterns = [regex.compile(f"(?be)(?<![^ ]){_pattern(text, k)}(?![^ ])") for (text, _), (_, _, k) in zip(notices, self.notices)]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         ranges: dict[int, list[list[int]]] = {}
@@ -87,8 +95,10 @@ class Finder:
         found, ranges = [], [(a, b)]
         while ranges:
             a, b = ranges.pop()
+            # stretches between exact words have k edits each in the pattern, so their sum is held to k here
             if b - a >= len(notice) - k and (m := self.patterns[i].search(text, a, b)):
-                found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                if sum(m.fuzzy_counts) <= k:
+                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
                 ranges += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
         return found
 

@@ -159,6 +159,26 @@ def stack(vis: DataFrame) -> DataFrame:
     return vis.join(F.broadcast(offset), "block").withColumn("beam", (F.col("beam") + F.col("offset")).cast("int")).drop("offset")
 
 
+def channel_offsets(cubes: DataFrame) -> DataFrame:
+    """Where each cube of a list (cube, first, n) begins in the merged one: (cube, first, n, offset).
+
+    Cubes go by their first channel in the survey; a gap between two of them or an overlap is an error.
+    """
+    w = Window.orderBy("first", "cube")  # a list of cubes: one row each
+    end = F.lag(F.col("first") + F.col("n")).over(w)
+    t = cubes.select("cube", "first", "n", end.alias("end"), F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("offset"))
+    bad = t.where("end is not null and end <> first").orderBy("first").select("cube", "first", "end").head(1)
+    if bad:
+        raise MismatchError(f"cube {bad[0]['cube']} begins at channel {bad[0]['first']}, the one before ends before {bad[0]['end']}")
+    return t.drop("end")
+
+
+def merge_cubes(images: DataFrame, cubes: DataFrame) -> DataFrame:
+    """Planes of several cubes (cube, chan, y, x, value), each numbered from 0, as one cube in the order of ``channel_offsets``."""
+    at = channel_offsets(cubes).select("cube", "offset")
+    return images.join(at, "cube").select((F.col("chan") + F.col("offset")).cast("int").alias("chan"), "y", "x", "value")
+
+
 def common_columns(tables: Sequence[DataFrame]) -> DataFrame:
     """Union of tables on the columns that all have."""
     shared = [c for c in tables[0].columns if all(c in t.columns for t in tables)]

@@ -31,7 +31,8 @@ def phase(height: int, width: int) -> Column:
     return F.col("ur") * (F.col("x") - width // 2) - F.col("vr") * (F.col("y") - height // 2)
 
 
-def _kernel(kernel: str, height: int, width: int) -> str:
+def chosen_kernel(kernel: str, height: int, width: int) -> str:
+    """``auto`` as what it stands for."""
     if kernel not in ("auto", "join", "matrix", "nufft"):
         raise ValueError(f"unknown kernel {kernel}")
     if kernel == "auto":
@@ -54,7 +55,7 @@ def degrid(vis: DataFrame, image: DataFrame, height: int, width: int, cell: floa
     phase factors; ``nufft`` grids, with an error of about 1e-7 and work that grows with samples plus pixels. ``auto`` is
     the join for planes of few pixels. Spark broadcasts the image of a join with keys only if it is small.
     """
-    kernel = _kernel(kernel, height, width)
+    kernel = chosen_kernel(kernel, height, width)
     if kernel == "nufft":
         return nufft.forward(vis, image, height, width, cell, key, carried=carried)
     if kernel == "matrix":
@@ -111,7 +112,7 @@ def _degrid_matrix(vis, image, height, width, cell, key):
 
 def grid_adjoint(vis: DataFrame, pixels: DataFrame, height: int, width: int, cell: float, keys: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto") -> DataFrame:
     """Adjoint of ``degrid`` for ``re``, ``im``: (keys, y, x, re, im). Partial sums a task, so one row a pixel and task is moved."""
-    if _kernel(kernel, height, width) == "nufft":
+    if chosen_kernel(kernel, height, width) == "nufft":
         every = nufft.adjoint(vis, height, width, cell, keys)
         return every.join(pixels.select("y", "x").distinct(), ["y", "x"], "left_semi").select(*keys, "y", "x", "re", "im")
     p = phase(height, width)
@@ -180,11 +181,21 @@ class Measurement:
 
     def adjoint(self, vis: DataFrame) -> DataFrame:
         """(chan, y, x, re, im) of samples with ``re``, ``im``, ``ur``, ``vr``; flagged ones are left out."""
-        dirty = grid_adjoint(vis.where(~F.col("flag")), self.grid.select("y", "x").distinct(), self.height, self.width, self.cell, kernel=self.kernel)
+        return self.back(vis.where(~F.col("flag")))
+
+    def back(self, good: DataFrame) -> DataFrame:
+        """The adjoint for samples of which none is flagged."""
+        dirty = grid_adjoint(good, self.grid.select("y", "x").distinct(), self.height, self.width, self.cell, kernel=self.kernel)
         p = self.pb.select("beam", "y", "x", F.col("value").alias("pb"))
         z = dirty.join(p, ["beam", "y", "x"]).withColumns({"re": F.col("re") * F.col("pb"), "im": F.col("im") * F.col("pb")})
         return reproject_adjoint(z, self.weights)
 
+    def normal(self, good: DataFrame, image: DataFrame) -> DataFrame:
+        """Aᴴ W A image for good samples with their inverse variance ``iv``: (chan, y, x, value). Samples are joined with nothing."""
+        t = degrid(good, self.beam_images(image), self.height, self.width, self.cell, kernel=self.kernel, carried=("chan", "beam", "ur", "vr", "iv"))
+        t = t.withColumns({"re": F.col("m_re") * F.col("iv"), "im": F.col("m_im") * F.col("iv")})
+        return self.back(t).select("chan", "y", "x", F.col("re").alias("value"))
+
     def residual(self, image: DataFrame, conjugate: bool = True) -> DataFrame:
         """Samples with ``re``, ``im`` = model - data over sigma²; data are conjugated, as models expect."""
         data_im = -F.col("im") if conjugate else F.col("im")

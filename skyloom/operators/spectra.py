@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from . import images
 
 
@@ -40,10 +41,10 @@ def autocorrelation(p: DataFrame, height: int, width: int, transform=images.dft)
     return transform(p.select("chan", "y", "x", F.col("p_re").alias("re"), F.col("p_im").alias("im")), height, width, inverse=True).select("chan", "y", "x", F.col("re").alias("value"))
 
 
-def linear_bins(p: DataFrame, height: int, width: int, pixel_arcsec: float, bins: int) -> DataFrame:
-    """Mean power in equal bins from the least positive to the greatest frequency: (chan, bin, centre, pk).
+def linear_bin(height: int, width: int, pixel_arcsec: float, bins: int):
+    """The equal bin of a frequency (y, x) between the least positive and the greatest, and the bins' edges.
 
-    A bin is open below and closed above, so the least frequency is in none; a bin without pixels is 0.
+    A bin is open below and closed above, so the least frequency is in none.
     """
     d = pixel_arcsec / 60.0
     fy, fx = images.frequency_of(F.col("y"), height) / (height * d), images.frequency_of(F.col("x"), width) / (width * d)
@@ -52,17 +53,54 @@ def linear_bins(p: DataFrame, height: int, width: int, pixel_arcsec: float, bins
     edge = [low + (high - low) * i / bins for i in range(bins + 1)]
     edge[-1] = high
     k = F.sqrt(fy * fy + fx * fx)
-    place = sum(((k > e * (1 + 1e-12)).cast("int") for e in edge), F.lit(0)) - 1
+    return sum(((k > e * (1 + 1e-12)).cast("int") for e in edge), F.lit(0)) - 1, edge
+
+
+def linear_bins(p: DataFrame, height: int, width: int, pixel_arcsec: float, bins: int) -> DataFrame:
+    """Mean power in equal bins of frequency (``linear_bin``): (chan, bin, centre, pk). A bin without pixels is 0."""
+    place, edge = linear_bin(height, width, pixel_arcsec, bins)
     sums = p.withColumn("bin", place).groupBy("chan", "bin").agg(F.avg("p_re").alias("pk"))
     centres = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.lit((edge[i] + edge[i + 1]) / 2).alias("centre")) for i in range(bins)])).alias("b")
     every = p.select("chan").distinct().select("chan", centres).select("chan", "b.*")
     return every.join(sums, ["chan", "bin"], "left").select("chan", "bin", "centre", F.coalesce("pk", F.lit(0.0)).alias("pk"))
 
 
-def percentiles(image: DataFrame, low: float, high: float) -> DataFrame:
-    """Display limits of each plane over its finite pixels."""
-    v = F.when(~F.isnan("value"), F.col("value"))
-    return image.groupBy("chan").agg(F.percentile(v, F.lit(low)).alias("lo"), F.percentile(v, F.lit(high)).alias("hi"))
+#: Bins of a pass, and passes at most: each narrows a wanted value's bracket that much, and doubles have 64 bits.
+BINS, PASSES = 1024, 16
+
+
+def percentiles(image: DataFrame, low: float, high: float, key: str = "chan") -> DataFrame:
+    """Display limits of each plane over its finite pixels, exact: (chan, lo, hi), linear between the two values around a rank.
+
+    The wanted ranks are closed in on by histograms: a pass counts each plane's pixels in ``BINS`` bins between the values
+    that still bracket a rank, and keeps the bin that holds it. A task holds counts, never a plane. A plane of NaN alone
+    has null limits.
+    """
+    scratch = Scratch(image.sparkSession, "percentiles")
+    rows = image.select(key, F.col("value").cast("double").alias("value")).where(~F.isnan("value") & F.col("value").isNotNull())
+    size = scratch.save(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b")))
+    at = lambda p: p * (F.col("n") - 1)
+    ranks = [(i, up, F.floor(at(p)) if not up else F.ceil(at(p))) for i, p in enumerate((low, high)) for up in (0, 1)]
+    want = F.inline(F.array(*[F.struct(F.lit(2 * i + up).alias("want"), r.cast("long").alias("rank")) for i, up, r in ranks]))
+    marks = scratch.save(size.select(key, "a", "b", F.lit(0).cast("long").alias("below"), want))
+    for _ in range(PASSES):
+        open_ = marks.where("a < b")
+        if open_.isEmpty():
+            break
+        v, a, b = F.col("value"), F.col("a"), F.col("b")
+        inside = rows.join(open_.drop("below", "rank"), key).where(v.between(a, b))
+        place = F.when(v == b, BINS - 1).otherwise(F.least(F.floor((v / 2 - a / 2) / (b / 2 - a / 2) * (BINS - 1)), F.lit(BINS - 2)))
+        bins = inside.groupBy(key, "want", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
+        until = F.sum("n").over(Window.partitionBy(key, "want").orderBy("bin"))  # at most BINS rows
+        bins = bins.withColumn("until", until).join(open_.select(key, "want", "rank", "below"), [key, "want"])
+        hit = bins.where((F.col("below") + F.col("until") > F.col("rank")) & (F.col("below") + F.col("until") - F.col("n") <= F.col("rank")))
+        found = hit.select(key, "a", "b", (F.col("below") + F.col("until") - F.col("n")).alias("below"), "want", "rank")
+        marks = scratch.save(marks.where("a >= b").unionByName(found))
+    of = lambda w: F.max(F.when(F.col("want") == w, F.col("a")))
+    ends = marks.groupBy(key).agg(*[of(w).alias(f"v{w}") for w in range(4)]).join(size.select(key, "n"), key)
+    part = lambda i, p: (F.col(f"v{2 * i}") + (at(p) - F.floor(at(p))) * (F.col(f"v{2 * i + 1}") - F.col(f"v{2 * i}")))
+    every = image.select(key).distinct()
+    return every.join(ends.select(key, part(0, low).alias("lo"), part(1, high).alias("hi")), key, "left")
 
 
 def noise_scale(signal: DataFrame, noise: DataFrame, above: float) -> DataFrame:

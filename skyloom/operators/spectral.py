@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import measure
+from . import measure, nufft
 
 
 def cube(coef: DataFrame, basis: DataFrame) -> DataFrame:
@@ -54,17 +54,29 @@ def gaussian_dictionary(channels: DataFrame, centres: list[float], widths: list[
     return t.select("a.k", "chan", F.exp(-0.5 * F.pow((F.col("chan") - F.col("a.c")) / F.col("a.s"), 2)).alias("value"))
 
 
-def mixed_visibilities(vis: DataFrame, coef: DataFrame, basis: DataFrame, height: int, width: int, cell: float) -> DataFrame:
+#: Basis maps that samples may be transformed with at once.
+MOST_MAPS = 4096
+
+
+def mixed_visibilities(vis: DataFrame, coef: DataFrame, basis: DataFrame, height: int, width: int, cell: float, kernel: str = "auto", spread: int = 8) -> DataFrame:
     """Visibilities of every channel from those of the basis maps.
 
     Where the operator is the same for all channels, A Σ ψ_k a_k = Σ ψ_k A a_k: one transform a basis map instead of one a
-    channel, which pays when there are fewer maps than channels (see ``cheaper_first``).
+    channel, which pays when there are fewer maps than channels (see ``cheaper_first``). Each sample is asked of each
+    map: of its pixels where planes are small, of a grid beyond (``measure.degrid`` has the kernels).
     """
-    p = measure.phase(height, width)
-    both = vis.select("vis_id", "ur", "vr").crossJoin(F.broadcast(coef))
-    each = both.groupBy("vis_id", "k").agg(F.sum(F.col("value") * F.cos(p)).alias("re"), F.sum(F.col("value") * F.sin(p)).alias("im"))
+    maps = [r["k"] for r in coef.select("k").distinct().orderBy("k").limit(MOST_MAPS + 1).collect()]
+    if len(maps) > MOST_MAPS:
+        raise ValueError(f"more than {MOST_MAPS} basis maps")
+    kind = coef.schema["k"].dataType
+    each = vis.select("vis_id", "ur", "vr", F.explode(F.array(*[F.lit(k).cast(kind) for k in maps])).alias("k")) if maps else vis.select("vis_id", "ur", "vr", F.lit(None).cast(kind).alias("k")).limit(0)
+    if measure.chosen_kernel(kernel, height, width) == "nufft":
+        model = nufft.forward(each, coef, height, width, 1.0, ("k",), spread, ("vis_id", "k"))
+    else:
+        p = measure.phase(height, width)
+        model = each.join(coef.select("k", "y", "x", "value"), "k").groupBy("vis_id", "k").agg(F.sum(F.col("value") * F.cos(p)).alias("m_re"), F.sum(F.col("value") * F.sin(p)).alias("m_im"))
     b = basis.select("k", "chan", F.col("value").alias("weight"))
-    s = each.join(F.broadcast(b), "k").groupBy("vis_id", "chan").agg(F.sum(F.col("re") * F.col("weight")).alias("re"), F.sum(F.col("im") * F.col("weight")).alias("im"))
+    s = model.join(b, "k").groupBy("vis_id", "chan").agg(F.sum(F.col("m_re") * F.col("weight")).alias("re"), F.sum(F.col("m_im") * F.col("weight")).alias("im"))
     return s.withColumns({"re": F.col("re") * cell**2, "im": F.col("im") * cell**2})
 
 
@@ -83,23 +95,117 @@ def w_bins(vis: DataFrame, planes: int, keys: tuple[str, ...] = ()) -> DataFrame
     ends = t.groupBy(*keys).agg(F.min("wl").alias("lo"), F.max("wl").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / planes
     k = F.least(F.floor(F.coalesce(F.try_divide(F.col("wl") - F.col("lo"), step), F.lit(0.0))), F.lit(planes - 1))
-    both = t.join(F.broadcast(ends), list(keys)) if keys else t.crossJoin(F.broadcast(ends))
+    both = t.join(ends, list(keys)) if keys else t.crossJoin(F.broadcast(ends))  # without keys, one row
     return both.withColumn("wc", F.col("lo") + (k + 0.5) * step).drop("lo", "hi", "wl")
 
 
-def w_stacked(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, planes: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Degridding with a phase π w r² for the bin's w, r in radians. With ``keys``, each key has its own bins, and its image if that has the column."""
+def w_stacked(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, planes: int, keys: tuple[str, ...] = (), kernel: str = "auto", spread: int = 8) -> DataFrame:
+    """Degridding with a phase π w r² for the bin's w, r in radians. With ``keys``, each key has its own bins, and its image if that has the column.
+
+    Beyond small planes each bin has a screen multiplied into its image, and one gridded transform, from which its samples
+    are read: samples meet no pixel.
+    """
     rad = cell * math.pi / 648000.0
     r2 = (F.pow(F.col("y") - height // 2, 2) + F.pow(F.col("x") - width // 2, 2)) * rad**2
     on = [k for k in keys if k in image.columns]
     pix = image.select(*on, "y", "x", "value", r2.alias("r2"))
-    p = measure.phase(height, width) + F.col("wc") * math.pi * F.col("r2")
     binned = w_bins(vis, planes, keys)
-    both = binned.join(F.broadcast(pix), on) if on else binned.crossJoin(F.broadcast(pix))
-    s = both.groupBy("vis_id", *keys).agg(F.sum(F.col("value") * F.cos(p)).alias("m_re"), F.sum(F.col("value") * F.sin(p)).alias("m_im"))
+    ids = ["vis_id", *keys]
+    if measure.chosen_kernel(kernel, height, width) == "nufft":
+        bins = binned.select(*keys, "wc").distinct()
+        screen = F.col("wc") * math.pi * F.col("r2")
+        # a plane a bin is what the method transforms; without common keys the few bins meet the one image
+        planes_of = (pix.join(bins, on) if on else pix.crossJoin(bins)).select(*keys, "wc", "y", "x", (F.col("value") * F.cos(screen)).alias("value"), (F.col("value") * F.sin(screen)).alias("im"))
+        return nufft.forward(binned, planes_of, height, width, cell, (*keys, "wc"), spread, tuple(ids))
+    p = measure.phase(height, width) + F.col("wc") * math.pi * F.col("r2")
+    both = binned.join(pix, on) if on else binned.crossJoin(F.broadcast(pix))
+    s = both.groupBy(*ids).agg(F.sum(F.col("value") * F.cos(p)).alias("m_re"), F.sum(F.col("value") * F.sin(p)).alias("m_im"))
     return s.withColumns({"m_re": F.col("m_re") * cell**2, "m_im": F.col("m_im") * cell**2})
 
 
+def principal_basis(cube: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``n`` principal spectra of a cube's pixels: basis (k, chan, value), mean spectrum (chan, value), (k, variance).
+
+    Pixels' spectra are vectors, their covariance is summed over the cluster, and its eigenproblem, channels by channels,
+    is the one small thing solved in one place. Channels that a pixel lacks count as 0; the largest entry of a
+    basis spectrum is positive; variances are over pixels minus one.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    spark = cube.sparkSession
+    channels = [r["chan"] for r in cube.select("chan").distinct().orderBy("chan").collect()]
+    of = lambda c: F.coalesce(F.max(F.when(F.col("chan") == c, F.col("value"))), F.lit(0.0)).cast("double")
+    spectra = cube.groupBy("y", "x").agg(F.array(*[of(c) for c in channels]).alias("s"))
+    sums = spectra.agg(F.array(*[F.avg(F.get("s", F.lit(i))) for i in range(len(channels))]).alias("mean"), sum((F.var_samp(F.get("s", F.lit(i))) for i in range(len(channels))), F.lit(0.0)).alias("total")).first()
+    model = PCA(k=n, inputCol="v", outputCol="p").fit(spectra.select(array_to_vector("s").alias("v")))
+    axes = model.pc.toArray().T
+    axes = [a * (1.0 if a[abs(a).argmax()] > 0 else -1.0) for a in axes]
+    basis = spark.createDataFrame([(k, c, float(v)) for k, a in enumerate(axes) for c, v in zip(channels, a)], "k int, chan int, value double")
+    mean = spark.createDataFrame([(c, float(m)) for c, m in zip(channels, sums["mean"])], "chan int, value double")
+    variance = spark.createDataFrame([(k, float(v) * sums["total"]) for k, v in enumerate(model.explainedVariance)], "k int, variance double")
+    return basis, mean, variance
+
+
+def coefficients(cube: DataFrame, basis: DataFrame, mean: DataFrame | None = None) -> DataFrame:
+    """Σ_chan basis[k, chan] (cube - mean): (k, y, x, value), for an orthonormal basis."""
+    b = basis.select("k", "chan", F.col("value").alias("weight"))
+    if mean is not None:
+        b = b.join(mean.select("chan", F.col("value").alias("mean")), "chan")
+        cube = cube.join(b, "chan").withColumn("value", F.col("value") - F.col("mean"))
+    else:
+        cube = cube.join(b, "chan")
+    return cube.groupBy("k", "y", "x").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
+
+
+def power_law(amplitude: DataFrame, alpha: DataFrame, channels: DataFrame, reference: float) -> DataFrame:
+    """amplitude (ν/ν₀)^-α of two maps (y, x, value): (chan, y, x, value)."""
+    both = amplitude.select("y", "x", F.col("value").alias("a")).join(alpha.select("y", "x", F.col("value").alias("alpha")), ["y", "x"])
+    at = both.crossJoin(F.broadcast(channels.select("chan", "frequency")))
+    return at.select("chan", "y", "x", (F.col("a") * F.pow(F.col("frequency") / reference, -F.col("alpha"))).alias("value"))
+
+
+def channel_overlaps(channels: DataFrame, n: int, start_kms: float, width_kms: float, rest_hz: float | None = None) -> DataFrame:
+    """How far each channel (chan, frequency) lies in each of ``n`` velocity channels: (chan, to, overlap) in km/s.
+
+    Channels end half way to their neighbours, the outer ones as far on the other side; new channel i is centred on
+    ``start_kms`` + i ``width_kms``. The numbers of the new channels follow from a channel's ends, so nothing is searched.
+    """
+    from ..functions import units
+
+    rest = units.REST_HZ if rest_hz is None else rest_hz
+    w = Window.orderBy("frequency")  # the channel axis: one row a channel
+    f = F.col("frequency")
+    before, after = (f - F.lag("frequency").over(w)) / 2, (F.lead("frequency").over(w) - f) / 2
+    t = channels.select("chan", (f - F.coalesce(before, after)).alias("f0"), (f + F.coalesce(after, before)).alias("f1"))
+    t = t.select("chan", units.velocity(F.col("f1"), rest).alias("v0"), units.velocity(F.col("f0"), rest).alias("v1")).where("v1 > v0")
+    edge = start_kms - width_kms / 2
+    place = lambda v: F.floor((v - edge) / width_kms)
+    first, last = F.greatest(place(F.col("v0")), F.lit(0)), F.least(place(F.col("v1")), F.lit(n - 1))
+    t = t.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("to"))
+    low = edge + F.col("to") * width_kms
+    t = t.select("chan", F.col("to").cast("int").alias("to"), (F.least("v1", low + width_kms) - F.greatest("v0", low)).alias("overlap"))
+    return t.where("overlap > 0")
+
+
+def regrid(rows: DataFrame, channels: DataFrame, n: int, start_kms: float, width_kms: float, keys: list[str], values: list[str], rest_hz: float | None = None) -> DataFrame:
+    """Samples or images on new velocity channels: (keys, chan, velocity, coverage, ``values`` and, where there is one, sigma).
+
+    A value is the mean of what lies in the channel, weighted by overlap; times ``coverage`` (the share of the channel that has
+    data) and width it sums to the flux of the old channels inside the new axis. Flagged rows are left out, errors add in
+    squares, rows of a key in one channel are taken together, and new channels without data have no row.
+    """
+    good = rows.where(~F.col("flag")) if "flag" in rows.columns else rows
+    each = good.groupBy(*keys, "chan").agg(*[F.avg(c).alias(c) for c in values], *([(F.sqrt(F.sum(F.pow("sigma", 2))) / F.count(F.lit(1))).alias("sigma")] if "sigma" in rows.columns else []))
+    t = each.join(channel_overlaps(channels, n, start_kms, width_kms, rest_hz), "chan")
+    w = F.col("overlap")
+    sums = [(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in values]
+    if "sigma" in rows.columns:
+        sums.append((F.sqrt(F.sum(F.pow(F.col("sigma") * w, 2))) / F.sum(w)).alias("sigma"))
+    out = t.groupBy(*keys, "to").agg((F.sum(w) / width_kms).alias("coverage"), *sums)
+    return out.select(*keys, F.col("to").alias("chan"), (start_kms + F.col("to") * width_kms).alias("velocity"), "coverage", *[c for c in out.columns if c not in (*keys, "to", "coverage")])
+
+
 def subtract_continuum(vis: DataFrame, line_free: list[int], keys: list[str]) -> DataFrame:
     """Line fitted over the line-free channels of each group, taken from every sample: adds ``line_re``, ``line_im``.
 

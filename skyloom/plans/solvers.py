@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import measure, objective
+from .iterative import strong_wolfe
 
 
 def cg_step(op: measure.Measurement, joint: bool = False) -> DataFrame:
@@ -167,8 +168,11 @@ def fista(problem: Problem, x: np.ndarray, iterations: int = 20, positive: bool
     return x
 
 
-def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, iterations: int = 20, memory: int = 7, positive: bool = False, tol: float = 1e-8) -> np.ndarray:
-    """Limited-memory BFGS with backtracking; with ``positive``, steps are projected and held pixels left out of the direction."""
+def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, iterations: int = 20, memory: int = 7, positive: bool = False, tol: float = 1e-8, seen: list | None = None) -> np.ndarray:
+    """Limited-memory BFGS. Steps fulfil both Wolfe conditions; with ``positive`` they are projected, held pixels are left out of the direction, and enough decrease will do.
+
+    ``seen`` gets (step, loss before, slope before, loss, slope) of every step.
+    """
     project = (lambda z: np.maximum(z, 0)) if positive else (lambda z: z)
     x = project(x)
     value, g = f(x)
@@ -191,15 +195,28 @@ def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, it
         d = np.where(free, -d, 0.0)
         if float((d * g).sum()) >= 0:
             d, pairs = np.where(free, -g, 0.0), []
-        step = 1.0 if pairs else min(1.0, 1.0 / max(float(np.abs(g).sum()), 1e-300))
-        for _ in range(40):
-            new = project(x + step * d)
+        slope, step = float((d * g).sum()), 1.0 if pairs else min(1.0, 1.0 / max(float(np.abs(g).sum()), 1e-300))
+
+        def phi(t: float, x=x, d=d):
+            new = project(x + t * d)
             new_value, new_g = f(new)
-            if new_value <= value + 1e-4 * float((g * (new - x)).sum()):
-                break
-            step *= 0.5
+            return new_value, float((new_g * d).sum()), (new, new_g)
+
+        if positive:
+            found = None
+            for _try in range(40):
+                new_value, new_slope, (new, new_g) = phi(step)
+                if new_value <= value + 1e-4 * float((g * (new - x)).sum()):
+                    found = (step, new_value, new_slope, (new, new_g))
+                    break
+                step *= 0.5
         else:
+            found = strong_wolfe(phi, value, slope, step)
+        if found is None:
             break
+        if seen is not None:
+            seen.append((found[0], value, slope, found[1], found[2]))
+        new_value, (new, new_g) = found[1], found[3]
         s, y = new - x, new_g - g
         if float((s * y).sum()) > 1e-12 * float((y * y).sum()):
             pairs = [*pairs, (s, y)][-memory:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .query_sets import images, imaging, ingest, registry, streams
+from .query_sets import images, imaging, ingest, registry, streams, survey
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
-__all__ = ["ORACLES", "QUERIES", "images", "imaging", "ingest", "streams"]
+__all__ = ["ORACLES", "QUERIES", "images", "imaging", "ingest", "streams", "survey"]

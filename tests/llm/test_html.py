@@ -52,3 +52,37 @@ def test_quotes_count_only_where_they_start_a_value():
     assert lexed("<a href=/it's>one</a> it's <b>two</b>") == ["<a href=/it's>", "one", "</a>", " it's ", "<b>", "two", "</b>"]
     assert lexed("<a title=\"x > y\" alt= 'p > q'>z") == ["<a title=\"x > y\" alt= 'p > q'>", "z"]
     assert lexed("<a =" * 3000) is not None and lexed("<p 'q>r") == ["<p 'q>", "r"]
+
+
+def test_names_that_an_article_may_carry():
+    """Words of menus and so on that only qualify another word mark nothing; heads that say nothing are passed over."""
+    for name in ("search-results-summary", "related-work", "form-of-government", "popular-science", "footnote", "comment-on-law", "adventure"):
+        for box in ("<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>"):
+            page = f"{NAV}{box.format(f'<h1>Title here</h1><p>{A}</p><section class={name}><p class={name}>{A}</p></section><p>Short.</p>')}{SIDE}"
+            want = html_text.extract(page.replace(f" class={name}", ""))
+            assert want.count("first paragraph") == 2 and html_text.extract(page) == want, (name, box)
+    for name in ("comment-list", "sidebar-left", "share-buttons", "cookieBanner", "ad-300x250", "footer_links", "related-posts", "main-menu"):
+        page = f"<article><h1>Title here</h1><p>{A}</p><div class={name}><p>Other words that are of no matter here.</p></div><p>{B}</p><p>Short.</p></article>"
+        assert html_text.extract(page) == WANT, name
+
+
+def test_a_heading_of_comments_ends_the_article():
+    for head in ("Comments", "12 Comments", "Kommentare (3)", "Leave a reply", "Commentaires"):
+        mine = f"<h1>Title here</h1><p>{A}</p><p>{B}</p><p>Short.</p>"
+        readers = f"<h3>{head}</h3><div class='css-2'><p>I liked this story a lot, and I want to say so in many words here.</p></div><p class=css-3>Me too.</p>"
+        assert html_text.extract(f"<article>{mine}{readers}</article>") == WANT
+        assert html_text.extract(f"<main>{NAV}<div class=x>{mine}</div><section class=css-1>{readers}</section></main>") == WANT
+    assert "Comments on the law" in html_text.extract(f"<article><h2>Comments on the law</h2><p>{A}</p></article>")
+
+
+def test_time_grows_with_the_page_however_deep():
+    import time
+
+    def took(n):
+        page = "".join(f"<div><p>Some words in paragraph {i}</i> and <a href=x>a link</a></b>" for i in range(n))
+        began = time.process_time()
+        assert html_text.extract(page).count("paragraph") == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 40 * max(took(500), 0.01)  # sixteen times the page
