@@ -32,7 +32,8 @@ MISS = 1e-5
 BLOCK = 512
 #: Shingles of a block whose full sets a task holds: 32 MB, and of a text that has more by itself.
 BLOCK_SHINGLES = 1 << 22
-PAIRS = 1 << 19
+#: Pairs looked at together: what they gather of signatures and keys is some 30 MB.
+PAIRS = 1 << 16
 _MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACES = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -223,7 +224,8 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
             sig, key = _matrix(t.column(6), HASHES, np.uint8), _matrix(t.column(7), BANDS, np.int64)
             met = np.zeros(len(node), bool)
             for i, j in _pairs(task, side):
-                i, j, _ = _survivors(i, j, sig, size, ratio, least)
+                more = ~(met[i] & met[j])  # where both go on with this bucket already, their pair tells nothing new
+                i, j, _ = _survivors(i[more], j[more], sig, size, ratio, least)
                 same = key[i] == key[j]
                 first = (same.argmax(1) == band[i]) & (bucket[i] == bucket[j]) & (node[i] != node[j])
                 met[i[first]] = met[j[first]] = True
@@ -258,7 +260,7 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
             data, off = column_bytes(t.column(4).combine_chunks())
             rows = [np.frombuffer(data[off[k] : off[k + 1]].tobytes(), np.uint64) for k in range(len(node))]
             size = np.array([len(r) for r in rows], np.int64)
-            root = list(range(len(node)))
+            root, label = list(range(len(node))), np.arange(len(node))
 
             def find(x: int) -> int:
                 while root[x] != x:  # noqa: B023
@@ -268,7 +270,10 @@ def links(docs: DataFrame, percent: int = 85, words: int = WORDS) -> tuple[DataF
 
             out = []
             for i, j in _pairs(task, side):
-                i, j, matches = _survivors(i, j, sig, size, ratio, least)
+                for x in np.unique(np.concatenate([i, j])).tolist():
+                    label[x] = find(x)
+                more = label[i] != label[j]  # links found so far join most of a large group
+                i, j, matches = _survivors(i[more], j[more], sig, size, ratio, least)
                 order = np.argsort(-matches, kind="stable")
                 for x, y in zip(i[order].tolist(), j[order].tolist()):
                     if node[x] == node[y] or (p := find(x)) == (q := find(y)):
