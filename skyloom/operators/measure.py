@@ -6,6 +6,7 @@ V = cell² Σ x[j,k] exp(i(u(k - W/2) - v(j - H/2))).
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -158,6 +159,12 @@ class Measurement:
         self.weights = interp(grid, height, width)
         self.height, self.width, self.cell, self.kernel = height, width, cell, kernel
 
+    def with_beams(self, pb: DataFrame, grid: DataFrame) -> Measurement:
+        """The same operator with its primary beams and grids read from other tables."""
+        out = copy.copy(self)
+        out.pb, out.grid, out.weights = pb, grid, interp(grid, self.height, self.width)
+        return out
+
     def persist(self) -> Measurement:
         """Keep visibilities and weights between a solver's iterations."""
         self.vis, self.weights = self.vis.persist(), self.weights.persist()

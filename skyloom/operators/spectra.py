@@ -69,6 +69,11 @@ def linear_bins(p: DataFrame, height: int, width: int, pixel_arcsec: float, bins
 BINS, PASSES = 1024, 16
 
 
+def _log(v):
+    """Rises with any double, negative ones too: the logarithm of its size above the least double's, with its sign."""
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.ln(F.abs(v)) + 745.2))
+
+
 def percentiles(image: DataFrame, low: float, high: float, key: str = "chan") -> DataFrame:
     """Display limits of each plane over its finite pixels, exact: (chan, lo, hi), linear between the two values around a rank.
 
@@ -89,7 +94,9 @@ def percentiles(image: DataFrame, low: float, high: float, key: str = "chan") ->
             break
         v, a, b = F.col("value"), F.col("a"), F.col("b")
         inside = rows.join(open_.drop("below", "rank"), key).where(v.between(a, b))
-        place = F.when(v == b, BINS - 1).otherwise(F.least(F.floor((v / 2 - a / 2) / (b / 2 - a / 2) * (BINS - 1)), F.lit(BINS - 2)))
+        # equal bins of the logarithm while a bracket spans orders of magnitude, then of the value
+        part = F.when(_log(b) - _log(a) > 1e-3, (_log(v) - _log(a)) / (_log(b) - _log(a))).otherwise((v - a) / (b - a))
+        place = F.when(v == b, BINS - 1).otherwise(F.least(F.floor(part * (BINS - 1)), F.lit(BINS - 2)))
         bins = inside.groupBy(key, "want", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
         until = F.sum("n").over(Window.partitionBy(key, "want").orderBy("bin"))  # at most BINS rows
         bins = bins.withColumn("until", until).join(open_.select(key, "want", "rank", "below"), [key, "want"])

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators import measure
-from . import solvers
+from . import iterative, models
 
 
 class Imager:
@@ -16,18 +15,18 @@ class Imager:
         self.op = measure.Measurement(vis, channels, pb, grid, height, width, cell)
         self.channels = channels
 
-    def process(self, solver: str = "lbfgs", positive: bool = False, iterations: int = 20, lambda_r: float = 0.0, unit: str = "Jy/arcsec^2", start: np.ndarray | None = None) -> DataFrame:
-        """Solve for all channels together: (chan, y, x, value)."""
-        spark = self.channels.sparkSession
-        numbers = [r["chan"] for r in self.channels.select("chan").orderBy("chan").collect()]
-        self.op.persist()
-        try:
-            x = solvers.solve(solvers.Problem(self.op, numbers, lambda_r), start, solver, positive, iterations)
-        finally:
-            self.op.unpersist()
-        c, y, k = np.indices(x.shape).reshape(3, -1)
-        rows = zip(np.array(numbers)[c].tolist(), y.tolist(), k.tolist(), x.ravel().tolist())
-        return self.converted(spark.createDataFrame(list(rows), "chan int, y int, x int, value double"), unit)
+    def process(self, solver: str = "lbfgs", positive: bool = False, iterations: int = 20, lambda_r: float = 0.0, unit: str = "Jy/arcsec^2", start: DataFrame | None = None, model=None, terms=(), priors=()) -> DataFrame:
+        """Solve for all channels together: (chan, y, x, value).
+
+        ``model`` (of ``plans.models``) is a plane a channel unless another is given; ``lambda_r`` smooths the cube, with further
+        ``terms`` on it and ``priors`` on the model's parameters. ``start`` and all iterates are tables: the image may be of any size.
+        """
+        if model is None:
+            model = models.Cube(r["chan"] for r in self.channels.select("chan").collect())  # the channel axis
+        smooth = [models.Laplacian(lambda_r)] if lambda_r else []
+        obj = models.Objective(self.op, model, [*smooth, *terms], priors)
+        params = iterative.solve(obj, start, solver, positive, iterations)
+        return self.converted(model.cube(params), unit)
 
     def converted(self, image: DataFrame, unit: str) -> DataFrame:
         if unit == "Jy/beam":  # a restoring beam of three pixels

@@ -161,7 +161,7 @@ def strong_wolfe(phi: Callable, f0: float, slope0: float, step: float, c1: float
             high = low
         low = now
     good = [t for t in tried if math.isfinite(t[1]) and enough(t[0], t[1])]
-    return min(good, key=lambda t: t[1]) if good else None
+    return min(good, key=lambda t: (t[1], abs(t[2]))) if good else None
 
 
 # ---------------------------------------------------------------- L-BFGS

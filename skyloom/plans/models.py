@@ -254,6 +254,8 @@ class Objective:
         self.op, self.model, self.terms, self.priors = op, model, list(terms), list(priors)
         self.keys, self.spark = list(model.keys), op.vis.sparkSession
         self.scratch = Scratch(self.spark, "imaging")
+        # beams and grids as tables: evaluations read them and not what they were made from
+        self.op = op = op.with_beams(self.scratch.save(op.pb), self.scratch.save(op.grid))
         sigma = F.greatest("sigma", F.lit(sigma_floor))
         im = -F.col("im") if conjugate else F.col("im")
         good = op.vis.where(~F.col("flag")).select("vis_id", "chan", "beam", "ur", "vr", "re", im.alias("im"), (1 / (sigma * sigma)).alias("iv"))

@@ -7,15 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import fixtures
+from ..storage import Scratch
 from ..streaming import slabs
 from .registry import ORACLES, QUERIES, query
 
 
 def _folder(spark, label: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{Scratch(spark, 'streams').path}/{label}"
 
 
 def _plain(t):

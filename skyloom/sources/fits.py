@@ -2,16 +2,19 @@
 
 ``spark.read.format("fits").load(path)`` gives (path, chan, y, x, value), one task a plane; ``planes`` selects channels
 before anything is read. Only the primary image of a file is read. NaN pixels become 0 where ``nan_to_zero`` is set.
+This source opens files as Python does; ``ranges.fits_pixels`` reads any path that Spark reads, and planes of any size.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 CARD, BLOCK = 80, 2880
 #: The format's pixel types.
@@ -79,15 +82,19 @@ def _card(key: str, value) -> str:
     return f"{key:<8}= {text}".ljust(CARD)[:CARD]
 
 
-def write(path: str, cube: np.ndarray, header: dict | None = None) -> None:
-    """Write an array of two or three axes as 32-bit floats."""
-    cards = {"SIMPLE": True, "BITPIX": -32, "NAXIS": cube.ndim}
-    cards |= {f"NAXIS{i + 1}": n for i, n in enumerate(reversed(cube.shape))}
+def _head(shape: Sequence[int], header: dict | None) -> bytes:
+    cards = {"SIMPLE": True, "BITPIX": -32, "NAXIS": len(shape)}
+    cards |= {f"NAXIS{i + 1}": n for i, n in enumerate(reversed(shape))}
     cards |= {k: v for k, v in (header or {}).items() if k not in cards}
     head = "".join(_card(k, v) for k, v in cards.items()) + "END".ljust(CARD)
+    return head.ljust((len(head) + BLOCK - 1) // BLOCK * BLOCK).encode("ascii")
+
+
+def write(path: str, cube: np.ndarray, header: dict | None = None) -> None:
+    """Write an array of two or three axes as 32-bit floats."""
     data = cube.astype(">f4").tobytes()
     with open(path, "wb") as f:
-        f.write(head.ljust((len(head) + BLOCK - 1) // BLOCK * BLOCK).encode("ascii"))
+        f.write(_head(cube.shape, header))
         f.write(data + b"\0" * (-len(data) % BLOCK))
 
 
@@ -136,6 +143,41 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.full(n, chan, np.int32)), pa.array(yy + np.int32(y)), pa.array(xx), pa.array(part.ravel())], ["path", "chan", "y", "x", "value"])
 
 
+class _Writer(DataSourceArrowWriter):
+    """Each task puts its pixels where they belong in a file of the right length; the header comes last, when all are there.
+
+    The same pixels written again by another attempt are the same bytes in the same place. The file must lie in a
+    folder that all executors share.
+    """
+
+    def __init__(self, options: dict):
+        self.path, self.shape = options["path"], tuple(int(options[k]) for k in ("n_planes", "height", "width"))
+        self.header = json.loads(options.get("header", "{}"))
+        self.part = f"{self.path}.part"
+        self.head = _head(self.shape if self.shape[0] > 1 else self.shape[1:], self.header)
+        size = int(np.prod(self.shape)) * 4
+        with open(self.part, "wb") as f:  # zeros: a pixel without a row is 0
+            f.truncate(len(self.head) + size + -size % BLOCK)
+
+    def write(self, batches: Iterator) -> WriterCommitMessage:
+        n, h, w = self.shape
+        file = np.memmap(self.part, ">f4", "r+", len(self.head), (n, h, w))
+        for batch in batches:
+            c, y, x, v = (batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for name in ("chan", "y", "x", "value"))
+            file[c, y, x] = v
+        file.flush()
+        return WriterCommitMessage()
+
+    def commit(self, messages) -> None:
+        with open(self.part, "r+b") as f:
+            f.write(self.head)
+        os.replace(self.part, self.path)
+
+    def abort(self, messages) -> None:
+        if os.path.exists(self.part):
+            os.remove(self.part)
+
+
 class FitsSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -147,16 +189,25 @@ class FitsSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FitsSource)
 
 
 def export(image: DataFrame, path: str, height: int, width: int, header: dict | None = None) -> None:
-    """Write (chan, y, x, value) as one file through the driver, plane by plane: for products of a map's size."""
-    chans = [r["chan"] for r in image.select("chan").distinct().orderBy("chan").collect()]
-    cube = np.zeros((len(chans), height, width), np.float32)
-    place = {c: i for i, c in enumerate(chans)}
-    for r in image.select("chan", "y", "x", "value").toLocalIterator():
-        cube[place[r["chan"]], r["y"], r["x"]] = r["value"]
-    write(path, cube if len(chans) > 1 else cube[0], header)
+    """Write (chan, y, x, value) as one file of 32-bit floats, planes in the order of their channels; tasks write their pixels.
+
+    ``path`` must lie in a folder that the executors share. Pixels go to tasks by blocks of lines, so a task's writes lie
+    together.
+    """
+    spark = image.sparkSession
+    register(spark)
+    chans = [r["chan"] for r in image.select("chan").distinct().orderBy("chan").collect()]  # the channel axis
+    place = spark.createDataFrame([(c, i) for i, c in enumerate(chans)], "chan int, place int")
+    rows = image.join(F.broadcast(place), "chan").select(F.col("place").alias("chan"), "y", "x", F.col("value").cast("float").alias("value"))
+    rows = rows.repartition("chan", F.floor(F.col("y") / 256)).sortWithinPartitions("chan", "y", "x")
+    how = {"n_planes": max(len(chans), 1), "height": height, "width": width, "header": json.dumps(header or {})}
+    rows.write.format("fits").options(**how).mode("append").save(path)

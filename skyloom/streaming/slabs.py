@@ -40,10 +40,22 @@ def complete_slabs(planes: DataFrame, n_blocks: int, ttl: str | None = None) ->
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and give its rows: for tests and small outputs."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what there is and give its rows, written by batch beside the checkpoint.
+
+    Each batch writes a folder of its own, so one that runs again replaces its rows. In complete mode the last batch is the
+    result.
+    """
+    path, spark = f"{checkpoint.rstrip('/')}-{name}", stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):  # a stream without a batch
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("basePath", path).parquet(path).select(*stream.columns)
 
 
 def live_planes(stream: DataFrame, path: str, checkpoint: str, also: Callable[[DataFrame, int], None] | None = None):
