@@ -23,11 +23,18 @@ def crop_centre(image: DataFrame, height: int, width: int, fraction: float) -> D
 
 
 def plane_at(image: DataFrame, channels: DataFrame, frequency: float) -> DataFrame:
-    """The plane at a frequency, linear between the two channels around it; no row outside the axis."""
+    """The plane at a frequency, linear between the two channels around it; an error outside the axis.
+
+    The last channel's own frequency is on the axis.
+    """
+    ends = channels.agg(F.min("frequency"), F.max("frequency")).first()
+    if ends[0] is None or not ends[0] <= frequency <= ends[1]:
+        raise ValueError(f"{frequency} Hz lies outside the axis {ends[0]}..{ends[1]}")
     w = Window.orderBy("frequency")  # the channel axis: one row a channel
     pair = channels.select("chan", "frequency", F.lead("chan").over(w).alias("next"), F.lead("frequency").over(w).alias("f1"))
-    pair = pair.where((F.col("frequency") <= frequency) & (F.lit(frequency) < F.col("f1")))
-    pair = pair.select("chan", "next", ((frequency - F.col("frequency")) / (F.col("f1") - F.col("frequency"))).alias("w"))
+    inside = (F.col("frequency") <= frequency) & (F.lit(frequency) < F.coalesce("f1", F.lit(float("inf"))))
+    pair = pair.where(inside)
+    pair = pair.select("chan", "next", F.coalesce((frequency - F.col("frequency")) / (F.col("f1") - F.col("frequency")), F.lit(0.0)).alias("w"))
     parts = pair.select(F.explode(F.array(F.struct("chan", (1 - F.col("w")).alias("w")), F.struct(F.col("next").alias("chan"), "w"))).alias("p")).select("p.*")
     return image.join(F.broadcast(parts), "chan").groupBy("y", "x").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
 
@@ -118,11 +125,18 @@ def laplacian_of(image: DataFrame, height: int, width: int) -> DataFrame:
     return given.groupBy("chan", y.alias("y"), x.alias("x")).agg(F.sum(F.col("value") * F.col("m.w")).alias("value"))
 
 
-def feather(sd: DataFrame, interferometer: DataFrame, height: int, width: int, fwhm_sd: float, fwhm_int: float, transform=fft) -> DataFrame:
-    """F_i + T (F_sd - F_i) with T = B_sd² / (B_sd² + B_i²), 1 at zero frequency: (chan, y, x, value)."""
+def feather(sd: DataFrame, interferometer: DataFrame, height: int, width: int, fwhm_sd: float, fwhm_int: float, transform=fft, alpha: float = 1.0, dc_from_sd: bool = True, dc_radius: float = 0) -> DataFrame:
+    """F_i + T (α F_sd - F_i) with T = B_sd² / (B_sd² + B_i²): (chan, y, x, value).
+
+    With ``dc_from_sd``, T is 1 at zero frequency and wherever the frequency's indices lie within ``dc_radius`` of it (indices as they
+    are, not wrapped).
+    """
     b, g = transfer(height, width, fwhm_sd), transfer(height, width, fwhm_int)
-    t = F.when((F.col("y") == 0) & (F.col("x") == 0), 1.0).otherwise(b * b / (b * b + g * g + 1e-12))
-    return _mixed(sd, interferometer, height, width, t, transform)
+    t = b * b / (b * b + g * g + 1e-12)
+    if dc_from_sd:
+        t = F.when(F.col("y") * F.col("y") + F.col("x") * F.col("x") <= max(dc_radius, 0) ** 2, 1.0).otherwise(t)
+    scaled = sd if alpha == 1 else sd.withColumn("value", alpha * F.col("value"))
+    return _mixed(scaled, interferometer, height, width, t, transform)
 
 
 def short_spacing(sd: DataFrame, interferometer: DataFrame, height: int, width: int, fwhm_sd: float, transform=fft) -> DataFrame:
@@ -142,12 +156,15 @@ def _mixed(sd, interferometer, height, width, share, transform, extra=None):
     return transform(mixed, height, width, inverse=True).select("chan", "y", "x", F.col("re").alias("value"))
 
 
-def halved(image: DataFrame, factor: int = 2) -> DataFrame:
-    """Down-sampling by an even factor: the mean of the two by two pixels around each new centre."""
-    if factor % 2:
-        raise ValueError("the factor must be even")
-    lo, hi = factor // 2 - 1, factor // 2
+def halved(image: DataFrame, factor: int = 2, height: int | None = None, width: int | None = None) -> DataFrame:
+    """Down-sampling by a whole factor, bilinear about each new centre: the mean of two by two pixels, or one where the factor is odd.
+
+    The image's ``height`` and ``width`` leave out a last row or column of fewer than ``factor`` pixels.
+    """
+    lo, hi = (factor - 1) // 2, factor // 2
     near = (F.col("y") % factor).between(lo, hi) & (F.col("x") % factor).between(lo, hi)
+    for c, n in (("y", height), ("x", width)):
+        near = near & (F.col(c) < n // factor * factor) if n is not None else near
     return image.where(near).groupBy("chan", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.avg("value").alias("value"))
 
 
@@ -178,6 +195,12 @@ def elliptical_source(spark: SparkSession, height: int, width: int, cell: float,
     return g.crossJoin(F.broadcast(total)).select("y", "x", (flux * F.col("g") / (F.col("total") * cell**2)).alias("value"))
 
 
+def delta_source(spark: SparkSession, height: int, width: int, cell: float, flux: float = 1.0) -> DataFrame:
+    """All of ``flux`` in the central pixel, in flux per squared arcsecond."""
+    centre = (F.col("y") == height // 2) & (F.col("x") == width // 2)
+    return pixels(spark, height, width).select("y", "x", F.when(centre, flux / cell**2).otherwise(0.0).alias("value"))
+
+
 def moments(image: DataFrame) -> DataFrame:
     """Sum, centroid and second moments of each plane, weights being the positive pixels."""
     w = F.greatest(F.col("value"), F.lit(0.0))

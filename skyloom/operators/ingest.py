@@ -105,6 +105,16 @@ def load_block(vis: DataFrame, beams: DataFrame) -> DataFrame:
     return beams.join(counts, "beam", "left").select("beam", F.coalesce("nvis", F.lit(0)).alias("nvis"), F.coalesce("ngood", F.lit(0)).alias("ngood"))
 
 
+def beam_ranges(vis: DataFrame) -> DataFrame:
+    """Where each beam's samples begin when they are put in order of beams, and how many they are: (beam, first, n).
+
+    Beginnings are sums of counts, so samples needn't be numbered.
+    """
+    n = vis.groupBy("beam").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("beam").rowsBetween(Window.unboundedPreceding, -1))  # one row a beam
+    return n.select("beam", F.coalesce(before, F.lit(0)).cast("long").alias("first"), "n")
+
+
 def counts(vis: DataFrame) -> DataFrame:
     """Good samples of each channel and beam that has some."""
     return vis.where(~F.col("flag")).groupBy("chan", "beam").agg(F.count(F.lit(1)).alias("n"))
@@ -151,14 +161,43 @@ def merge(blocks: Sequence[DataFrame], centres: Sequence[DataFrame] = (), tolera
     return reduce(DataFrame.unionByName, blocks)
 
 
-def stack(vis: DataFrame) -> DataFrame:
-    """Blocks side by side: each block's beams are numbered after those of the blocks before it."""
+def beam_offsets(vis: DataFrame) -> DataFrame:
+    """How many beams the blocks before each one have: (block, nbeam, offset)."""
     size = vis.groupBy("block").agg((F.max("beam") + 1).alias("nbeam"))
     before = F.coalesce(F.sum("nbeam").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = size.select("block", before.alias("offset"))
+    return size.select("block", "nbeam", before.cast("long").alias("offset"))
+
+
+def stack(vis: DataFrame) -> DataFrame:
+    """Blocks side by side: each block's beams are numbered after those of the blocks before it."""
+    offset = beam_offsets(vis).select("block", "offset")
     return vis.join(F.broadcast(offset), "block").withColumn("beam", (F.col("beam") + F.col("offset")).cast("int")).drop("offset")
 
 
+def paired(first: DataFrame, second: DataFrame, by_first: str, by_second: str) -> DataFrame:
+    """Two lists side by side, each in its own order, with their ``place`` from 0; lists of unequal lengths are an error."""
+    n, m = first.count(), second.count()
+    if n != m:
+        raise MismatchError(f"{n} and {m} rows can't be paired")
+    a = first.withColumn("place", F.row_number().over(Window.orderBy(by_first)) - 1)
+    return a.join(second.withColumn("place", F.row_number().over(Window.orderBy(by_second)) - 1), "place")
+
+
+def beam_files(names: DataFrame, column: str = "name") -> DataFrame:
+    """The leave's letter, beam number and holography file of each set's name: (``names``, leave, beam, file).
+
+    The letter is that of the last MS_M... part, the number that after "beam". A name without either is an error.
+    """
+    n = F.col(column)
+    leave = F.element_at(F.regexp_extract_all(n, F.lit(r"MS_M[0-9+\-]+([ABC])_"), F.lit(1)), -1)
+    number = F.nullif(F.regexp_extract(n, r"beam(\d+)", 1), F.lit(""))
+    out = names.withColumns({"leave": F.when(F.regexp_count(n, F.lit(r"MS_M[0-9+\-]+[ABC]_")) > 0, leave), "beam": number.cast("int")})
+    bad = out.where("leave is null or beam is null").select(column).head(1)
+    if bad:
+        raise ValueError(f"{bad[0][0]} has no beam number or leave letter")
+    return out.withColumn("file", F.concat(F.lit("ASKAP_BEAM"), F.lpad(number, F.greatest(F.length(number), F.lit(2)), F.lit("0")), F.lit(".fits")))
+
+
 def channel_offsets(cubes: DataFrame) -> DataFrame:
     """Where each cube of a list (cube, first, n) begins in the merged one: (cube, first, n, offset).
 

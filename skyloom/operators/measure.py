@@ -190,6 +190,13 @@ class Measurement:
         """(chan, y, x, re, im) of samples with ``re``, ``im``, ``ur``, ``vr``; flagged ones are left out."""
         return self.back(vis.where(~F.col("flag")))
 
+    def adjoint_of(self, values: DataFrame) -> DataFrame:
+        """The adjoint for values (vis_id, chan, beam, re, im) of all samples; values that lack one, or are one too many, are an error."""
+        ids = ["vis_id", "chan", "beam"]
+        if values.select(*ids).exceptAll(self.vis.select(*ids)).head(1) or self.vis.select(*ids).exceptAll(values.select(*ids)).head(1):
+            raise ValueError("the values are not one for each sample")
+        return self.adjoint(self.vis.drop("re", "im").join(values.select(*ids, "re", "im"), ids))
+
     def back(self, good: DataFrame) -> DataFrame:
         """The adjoint for samples of which none is flagged."""
         dirty = grid_adjoint(good, self.grid.select("y", "x").distinct(), self.height, self.width, self.cell, kernel=self.kernel)
@@ -217,6 +224,14 @@ def noise(vis: DataFrame, seed: int = 0) -> DataFrame:
     return vis.withColumns({"re": F.randn(seed) * F.col("sigma"), "im": F.randn(seed + 1) * F.col("sigma")})
 
 
+def dirty_noise(op: Measurement, seed: int = 0) -> DataFrame:
+    """The map that the samples' noise alone makes: (chan, y, x, value), weighted by inverse variance."""
+    var = F.col("sigma") * F.col("sigma")
+    drawn = noise(op.vis, seed)
+    t = op.adjoint(drawn.withColumns({"re": F.col("re") / var, "im": F.col("im") / var}))
+    return t.select("chan", "y", "x", F.col("re").alias("value"))
+
+
 def sampling_grid(pixels: DataFrame, target: dict, source: dict, kind: str = "SIN") -> DataFrame:
     """Where each target pixel (y, x) lies in a source image, in [-1, 1]: (y, x, gx, gy)."""
     from ..functions import sky

@@ -42,3 +42,8 @@ class Imager:
 def by_channel(vis: DataFrame, solve, schema: str = "chan int, y int, x int, value double") -> DataFrame:
     """Small images: a task solves a channel by itself. ``solve`` gets one channel's samples as pandas."""
     return vis.groupBy("chan").applyInPandas(solve, schema)
+
+
+def by_cell(vis: DataFrame, work, schema: str) -> DataFrame:
+    """The stream of (block, chan, beam) cells: ``work`` gets the key and a cell's samples as pandas, a cell a task's turn."""
+    return vis.groupBy("block", "chan", "beam").applyInPandas(work, schema)

@@ -265,3 +265,11 @@ def solve(obj: Objective, start: DataFrame | None = None, solver: str = "lbfgs",
     if solver == "cg":
         return conjugate_gradient(obj, start, iterations)
     raise ValueError(f"unknown solver {solver}")
+
+
+def sweep(make: Callable[[float], Objective], values: list[float], start: DataFrame | None = None, **how) -> dict[float, DataFrame]:
+    """Solutions for a list of strengths, each begun from the one before; ``make`` gives the objective of a strength."""
+    out: dict[float, DataFrame] = {}
+    for v in values:
+        out[v] = start = solve(make(v), start, **how)
+    return out

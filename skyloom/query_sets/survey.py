@@ -200,3 +200,70 @@ def chi2_without_nan(v):
     t = v("fx_sky").withColumn("re", F.when(F.col("re") > 2.0, F.lit(float("nan"))).otherwise(F.col("re")))
     return objective.chi2_ignoring_nan(t).select("beam", "chan", F.round("chi2", 4).alias("chi2"))
 
+
+
+# ---------------------------------------------------------------- lists, names and cells
+
+
+@query("q23_ranges", "select beam, cast(coalesce(sum(n) over (order by beam rows between unbounded preceding and 1 preceding), 0) as bigint) as first, n from (select beam, count(*) as n from fx_sky group by beam) t")
+def beam_ranges(v):
+    return ingest.beam_ranges(v("fx_sky"))
+
+
+@query("q31_offsets", "select block, nbeam, cast(coalesce(sum(nbeam) over (order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as offset_ from (select block, max(beam) + 1 as nbeam from fx_sky group by block) t")
+def beam_offsets(v):
+    return ingest.beam_offsets(v("fx_sky")).select("block", "nbeam", F.col("offset").alias("offset_"))
+
+
+@query("q34_channels", "select chan from fx_channel where abs(l - frequency) > 1.0e-6".replace("from fx_channel", "from (select chan, frequency, frequency + (case when chan % 3 = 2 then 1.0e-3 else 1.0e-7 end) as l from fx_channel) t"))
+def moved_channels(v):
+    """Channels whose frequencies differ by more than the tolerance."""
+    axis = v("fx_channel")
+    return ingest.mismatched_channels(axis, axis.withColumn("frequency", F.col("frequency") + F.when(F.col("chan") % 3 == 2, 1e-3).otherwise(1e-7)))
+
+
+@query("q36_paired", "select a.block, b.chan from (select block, row_number() over (order by block) as k from (select distinct block from fx_sky) x) a join (select chan, row_number() over (order by chan) as k from fx_channel) b using (k)")
+def paired(v):
+    return ingest.paired(v("fx_sky").select("block").distinct(), v("fx_channel").select("chan"), "block", "chan").select("block", "chan")
+
+
+_NAME = "concat('MS_M', cast(s_suppkey + 10 as varchar(20)), '-09', case when s_suppkey % 3 = 0 then 'A' when s_suppkey % 3 = 1 then 'B' else 'C' end, '_x_MS_M', cast(s_suppkey as varchar(20)), '+61', case when s_suppkey % 2 = 0 then 'C' else 'A' end, '_beam', cast(s_suppkey % 36 as varchar(20)), '.ms')"
+
+
+@query("q02_leaves", f"select {_NAME} as name, case when s_suppkey % 2 = 0 then 'C' else 'A' end as leave, cast(s_suppkey % 36 as int) as beam, concat('ASKAP_BEAM', lpad(cast(s_suppkey % 36 as varchar(20)), 2, '0'), '.fits') as file from supplier")
+def leaves(v):
+    return ingest.beam_files(v("supplier").select(F.expr(_NAME).alias("name")))
+
+
+@query("q23_cells", "select block, chan, beam, count(*) as n, round(sum(1.0e0/(sigma*sigma)), 4) as weight from fx_sky where not flag group by block, chan, beam")
+def cells(v):
+    """The stream of cells, each summed by itself."""
+    from ..plans import imager
+
+    def work(key, pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"block": [key[0]], "chan": [key[1]], "beam": [key[2]], "n": [len(pdf)], "weight": [(1 / pdf.sigma**2).sum()]})
+
+    t = imager.by_cell(v("fx_sky").where("not flag").select("block", "chan", "beam", "sigma"), work, "block int, chan int, beam int, n long, weight double")
+    return t.select("block", "chan", "beam", "n", F.round("weight", 4).alias("weight"))
+
+
+@query("q68_field", f"select y, x, round(2.0e0*(0.5e0*x+1.25e0)/({FIELD_WIDTH}-1)-1.0e0, 7)+0.0e0 as gx, round(2.0e0*(0.5e0*y+0.75e0)/(h-1)-1.0e0, 7)+0.0e0 as gy from fx_field cross join (select max(y)+1 as h from fx_field) t")
+def sampling_grid_field(v):
+    """Where each pixel of a target of half the pixel size lies in the field's own frame."""
+    from ..operators import measure
+
+    image, h, w = field(v)
+    own = {"CRVAL1": 80.0, "CRVAL2": 0.0, "CRPIX1": 4.5, "CRPIX2": 4.5, "CDELT1": -1e-6, "CDELT2": 1e-6, "NAXIS1": w, "NAXIS2": h}
+    target = own | {"CRPIX1": 5.5, "CRPIX2": 6.5, "CDELT1": -5e-7, "CDELT2": 5e-7}
+    t = measure.sampling_grid(image.select("y", "x"), target, own)
+    return t.select("y", "x", r("gx", 7).alias("gx"), r("gy", 7).alias("gy"))
+
+
+@query("q69_thirds", "select cast(floor(y/3) as int) as y, cast(floor(x/3) as int) as x, round(value, 6)+0.0e0 as value from fx_field cross join (select max(y)+1 as h from fx_field) t where y % 3 = 1 and x % 3 = 1 and y < 3*floor(h/3) and x < 99")
+def thirds(v):
+    from ..operators import images
+
+    image, h, w = field(v)
+    return images.halved(image.withColumn("chan", F.lit(0)), 3, h, w).select("y", "x", r("value", 6).alias("value"))

@@ -10,9 +10,11 @@ import io
 import os
 import re
 import tarfile
+import warnings
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def list_blocks(spark: SparkSession, root: str) -> list[str]:
     return found
 
 
+def windows_of(spw: int | Sequence[int] | None, chosen: Sequence[int], n_sets: int) -> list[int | None]:
+    """The window of each chosen beam: none, one for all, one each, or those of the chosen out of one a set."""
+    if spw is None or isinstance(spw, int):
+        return [spw] * len(chosen)
+    if isinstance(spw, (str, bytes)) or not isinstance(spw, Sequence):
+        raise TypeError("spw must be a number, a list of them or none")
+    if len(spw) == len(chosen):
+        return [int(x) for x in spw]
+    if len(spw) == n_sets:
+        return [int(spw[b]) for b in chosen]
+    raise ValueError(f"spw must have {len(chosen)} numbers (selected beams) or {n_sets} (all sets), not {len(spw)}")
+
+
 class VisReader:
     """Reads blocks into the long form. Selections are predicates, so that they reach the Parquet scan."""
 
@@ -118,15 +133,34 @@ class VisReader:
         )
         return t.select("beam", "ddid", "chan", "ant1", "ant2", "uu", "vv", "ww", "re", "im", "sigma", "flag")
 
-    def read_block(self, path: str, channels=None, beams: Sequence[int] | None = None, uv_range: tuple[float, float] | None = None, cone: tuple[float, float, float] | None = None, spw: int | None = None) -> DataFrame:
-        """All sets of a block; beams out of the cone aren't read at all."""
+    def read_block(
+        self, path: str, channels=None, beams: Sequence[int] | None = None, uv_range: tuple[float, float] | None = None, cone: tuple[float, float, float] | None = None, spw: int | Sequence[int] | None = None, skip_failed: bool = False
+    ) -> DataFrame:
+        """All sets of a block; beams out of the cone aren't read at all.
+
+        ``spw`` is one window, or a list with one for each selected beam or for each set of the block. With ``skip_failed`` sets that can't
+        be read are left out, with a warning; their beams' numbers stay free.
+        """
         sets = list_sets(self.spark, path)
         chosen = list(range(len(sets))) if beams is None else sorted(set(beams))
         if any(not 0 <= b < len(sets) for b in chosen):
             raise ValueError(f"beams must lie in 0..{len(sets) - 1}")
-        if cone is not None:
-            chosen = [b for b in chosen if ingest.in_cone(self.centre(sets[b]), *cone).limit(1).count()]
-        parts = [self.read_set(sets[b], b, channels, spw) for b in chosen] or [self.read_set(sets[0], 0, channels, spw).limit(0)]
+        windows = dict(zip(chosen, windows_of(spw, chosen, len(sets))))
+        parts, first = [], None
+        for b in chosen:
+            try:
+                if cone is not None and not ingest.in_cone(self.centre(sets[b]), *cone).limit(1).count():
+                    first = b if first is None else first
+                    continue
+                parts.append(self.read_set(sets[b], b, channels, windows[b]))
+            except AnalysisException as e:  # a table that isn't there, or isn't Parquet
+                if not skip_failed:
+                    raise
+                warnings.warn(f"{sets[b]} is left out: {str(e).splitlines()[0]}", stacklevel=2)
+        if not parts:
+            if first is None:
+                raise FileNotFoundError(f"{path} has no set that can be read")
+            parts = [self.read_set(sets[first], first, channels, windows[first]).limit(0)]
         out = reduce(DataFrame.unionByName, parts)
         return ingest.flag_uv_range(out, *uv_range) if uv_range else out
 
@@ -140,7 +174,9 @@ class VisReader:
         Merged and stacked blocks must have the same frequencies.
         """
         paths = list_blocks(self.spark, root)[:most]
-        axes = [self.channels(list_sets(self.spark, p)[0], how.get("spw") or 0) for p in paths] if mode in ("merge", "stack") else []
+        spw = how.get("spw")
+        spw = (spw or 0) if spw is None or isinstance(spw, int) else spw[0]
+        axes = [self.channels(list_sets(self.spark, p)[0], spw) for p in paths] if mode in ("merge", "stack") else []
         if how.get("channels") is not None:
             axes = [ingest.select_channels(a, how["channels"]) for a in axes]
         each = [self.read_block(p, **how).withColumn("block", F.lit(i)) for i, p in enumerate(paths)]

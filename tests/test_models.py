@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import fourier, images, measure
+from skyloom.operators import fourier, measure
 from skyloom.plans import iterative, models, solvers
 
 from .test_engine import CELL, VIS, H, W, dense, image_table, operator, setup  # noqa: F401
@@ -158,6 +158,27 @@ def test_low_rank_equals_the_dense_form(spark, setup):  # noqa: F811
     obj.close()
 
 
+def test_sweep_and_values_of_all_samples(spark, setup):  # noqa: F811
+    op, made = operator(setup), []
+
+    def make(lam):
+        made.append(models.Objective(op, models.Cube([0, 1]), [models.Ridge(lam)]))
+        return made[-1]
+
+    out = iterative.sweep(make, [1e6, 1e4], solver="cg", iterations=1)
+    size = [x.agg(F.sum(F.col("value") * F.col("value"))).first()[0] for x in out.values()]
+    assert list(out) == [1e6, 1e4] and 0 < size[0] < size[1]  # less held, larger
+    values = op.vis.select("vis_id", "chan", "beam", "re", "im")
+    want, got = (dense(t, (2, H, W), "re")[0] for t in (op.adjoint(op.vis), op.adjoint_of(values)))
+    np.testing.assert_allclose(got, want)
+    for wrong in (values.limit(3), values.union(values.limit(1))):
+        with pytest.raises(ValueError):
+            op.adjoint_of(wrong)
+    assert measure.dirty_noise(op, 5).where("value <> 0").count() == 2 * H * W
+    for obj in made:
+        obj.close()
+
+
 def test_block_transform_equals_numpy(spark, monkeypatch):
     from skyloom.operators import nufft
 
@@ -177,4 +198,3 @@ def test_nothing_is_left_behind(spark, setup, tmp_path):  # noqa: F811
     assert obj.spark.conf.get("spark.checkpoint.dir") in obj.scratch.path and os.path.isdir(obj.scratch.path)
     obj.close()
     assert not os.path.exists(obj.scratch.path)
-    assert images.pixels(spark, 2, 2).count() == 4 and F.lit(1) is not None

@@ -125,3 +125,68 @@ def test_principal_spectra(spark):
     assert all(g[np.abs(g).argmax()] > 0 for g in got)
     np.testing.assert_allclose([r.variance for r in variance.orderBy("k").collect()], values[::-1])
     np.testing.assert_allclose([r.value for r in mean.orderBy("chan").collect()], flat.mean(0))
+
+
+def test_windows_and_sets_that_fail(spark, tmp_path):
+    from skyloom.sources import vis
+
+    assert vis.windows_of(None, [0, 2], 3) == [None, None] and vis.windows_of(4, [0, 2], 3) == [4, 4]
+    assert vis.windows_of([5, 6], [0, 2], 3) == [5, 6] and vis.windows_of([5, 6, 7], [0, 2], 3) == [5, 7]
+    for wrong, error in (([1], ValueError), ("12", TypeError), (1.5, TypeError)):
+        with pytest.raises(error):
+            vis.windows_of(wrong, [0, 2], 3)
+    channels = spark.createDataFrame([(0, 1.42e9)], "chan int, frequency double")
+    main = spark.range(8).selectExpr(
+        "0 as chan", "cast(id % 2 as int) as ddid", "cast(id % 5 as int) as ant1", "7 as ant2", "double(id) as uu", "1.0d as vv", "0.0d as ww",
+        "array(named_struct('re', double(id), 'im', 1.0d)) as data", "array(false) as flags", "array(1.0d) as sigma",
+    )
+    for name in ("a.ms", "c.ms"):
+        vis.write_set(f"{tmp_path}/{name}", main, channels, 75.0, -70.0, [(0, 0), (1, 1)])
+    os.makedirs(f"{tmp_path}/b.ms/main")
+    reader = vis.VisReader(spark)
+    with pytest.raises(Exception):
+        reader.read_block(str(tmp_path))
+    with pytest.warns(UserWarning, match="b.ms"):
+        seen = reader.read_block(str(tmp_path), skip_failed=True)
+    assert {(r.beam, r["count"]) for r in seen.groupBy("beam").count().collect()} == {(0, 8), (2, 8)}
+    some = reader.read_block(str(tmp_path), beams=[0, 2], spw=[1, 0])
+    assert {(r.beam, r.ddid) for r in some.select("beam", "ddid").distinct().collect()} == {(0, 1), (2, 0)}
+
+
+def test_lists_that_must_agree(spark):
+    a = spark.createDataFrame([("x",), ("y",)], "name string")
+    with pytest.raises(ingest.MismatchError):
+        ingest.paired(a, a.limit(1).selectExpr("name as other"), "name", "other")
+    good = spark.createDataFrame([("MS_M345-09A_MS_M345-09C_beam7.ms",), ("MS_M1B_beam123",)], "name string")
+    assert [tuple(r)[1:] for r in ingest.beam_files(good).orderBy("beam").collect()] == [("C", 7, "ASKAP_BEAM07.fits"), ("B", 123, "ASKAP_BEAM123.fits")]
+    for bad in ("MS_M345-09A_x", "beam7", "MS_M345-09D_beam3"):
+        with pytest.raises(ValueError):
+            ingest.beam_files(spark.createDataFrame([(bad,)], "name string"))
+
+
+def test_planes_outside_the_axis_and_feathering(spark):
+    from skyloom.operators import images
+
+    cube = np.random.default_rng(3).normal(size=(3, 8, 8))
+    table = image_table(spark, cube)
+    channels = spark.createDataFrame([(0, 3.0), (1, 2.0), (2, 1.0)], "chan int, frequency double")
+    at = lambda f: dense(images.plane_at(table, channels, f).selectExpr("0 as chan", "y", "x", "value"), (1, 8, 8), "value")[0][0]
+    np.testing.assert_allclose(at(2.25), 0.75 * cube[1] + 0.25 * cube[0])
+    np.testing.assert_allclose(at(3.0), cube[0])
+    for f in (0.9, 3.1):
+        with pytest.raises(ValueError):
+            images.plane_at(table, channels, f)
+    sd, it = image_table(spark, cube[:1]), image_table(spark, cube[1:2])
+    out = dense(images.feather(sd, it, 8, 8, 4.0, 2.0, alpha=1.5, dc_radius=2), (1, 8, 8), "value")[0][0]
+    ky = np.fft.fftfreq(8)
+    k2 = ky[:, None] ** 2 + ky[None, :] ** 2
+    s2 = lambda w: (w / (2 * np.sqrt(2 * np.log(2)))) ** 2
+    b, g = np.exp(-2 * np.pi**2 * s2(4.0) * k2), np.exp(-2 * np.pi**2 * s2(2.0) * k2)
+    t = b * b / (b * b + g * g + 1e-12)
+    yy, xx = np.indices((8, 8))
+    t[np.hypot(yy, xx) <= 2] = 1
+    f, d = np.fft.fft2(cube[1]), np.fft.fft2(cube[0])
+    np.testing.assert_allclose(out, np.fft.ifft2(f + t * (1.5 * d - f)).real, atol=1e-9)
+    assert images.halved(image_table(spark, cube), 3, 8, 8).count() == 3 * 4
+    spot = dense(images.delta_source(spark, 5, 4, 7.0).selectExpr("0 as chan", "y", "x", "value"), (1, 5, 4), "value")[0][0]
+    assert spot[2, 2] == pytest.approx(1 / 49) and np.count_nonzero(spot) == 1
