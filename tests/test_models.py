@@ -198,3 +198,73 @@ def test_nothing_is_left_behind(spark, setup, tmp_path):  # noqa: F811
     assert obj.spark.conf.get("spark.checkpoint.dir") in obj.scratch.path and os.path.isdir(obj.scratch.path)
     obj.close()
     assert not os.path.exists(obj.scratch.path)
+
+
+class OnePixelEach(measure.Measurement):
+    """Sample i of a channel and beam sees pixel i alone, times one complex number: losses and gradients are known by hand."""
+
+    factor, n = 1.0, 1
+
+    def _seen(self, good):
+        i = F.pmod(F.pmod("vis_id", F.lit(self.n)), F.lit(self.height * self.width))
+        return good.withColumns({"y": F.floor(i / self.width).cast("int"), "x": (i % self.width).cast("int")})
+
+    def back(self, good):
+        back = F.sum(self.factor.real * F.col("re") + self.factor.imag * F.col("im"))
+        return self._seen(good).groupBy("chan", "y", "x").agg(back.alias("re"), F.lit(0.0).alias("im"))
+
+    def normal(self, good, image):
+        both = self._seen(good).join(image.select("chan", "y", "x", "value"), ["chan", "y", "x"])
+        return both.groupBy("chan", "y", "x").agg(F.sum(abs(self.factor) ** 2 * F.col("iv") * F.col("value")).alias("value"))
+
+
+LINES = [[1.0, 0.5, -0.25], [0.0, 0.75, 1.25]]
+
+
+@pytest.mark.parametrize(
+    "kind, n_vis, frequencies, first, factor, lambda_pos",
+    [
+        ("classic", 3, [1.40e9, 1.41e9], 0.1, 1.25 - 0.5j, 0.0),
+        ("low rank", 4, [1.40e9, 1.41e9, 1.42e9], -0.5, 0.75 + 0.25j, 0.3),
+        ("flat continuum", 4, [1.40e9, 1.41e9, 1.42e9], -0.5, 0.5 - 0.125j, 0.2),
+        ("taylor continuum", 4, [1.40e9, 1.41e9, 1.42e9], -0.5, 0.25 + 0.5j, 0.2),
+    ],
+)
+def test_models_on_known_operators(spark, kind, n_vis, frequencies, first, factor, lambda_pos):
+    n_chan, h, w = len(frequencies), 3, 3
+    data = np.arange(n_chan * 2 * n_vis, dtype=float).reshape(n_chan, 2, n_vis) + 1j
+    rows = [(int((c * 2 + b) * n_vis + i), 0, b, 0, c, 0, 1, 1.0, 1.0, 0.0, float(data[c, b, i].real), 1.0, 2.0, False) for c in range(n_chan) for b in range(2) for i in range(n_vis)]
+    channels = spark.createDataFrame([(c, f) for c, f in enumerate(frequencies)], "chan int, frequency double")
+    pb = spark.createDataFrame([(b, y, x, 1.0) for b in range(2) for y in range(h) for x in range(w)], "beam int, y int, x int, value double")
+    op = OnePixelEach(spark.createDataFrame(rows, VIS), channels, pb, pb.selectExpr("beam", "y", "x", "0.0d as gx", "0.0d as gy"), h, w, 1.0)
+    op.factor, op.n = factor, n_vis
+    basis = np.array(LINES)
+    if kind == "flat continuum":
+        basis = np.vstack([basis, np.ones(3)])
+    if kind == "taylor continuum":
+        basis = np.vstack([basis, np.ones(3), (np.array(frequencies) - 1.41e9) / 1.41e9])
+    lines = spark.createDataFrame([(k, c, v) for k, row in enumerate(LINES) for c, v in enumerate(row)], "k int, chan int, value double")
+    model = {
+        "classic": lambda: models.Cube(range(n_chan)),
+        "low rank": lambda: models.LowRank(lines),
+        "flat continuum": lambda: models.with_continuum(lines, channels),
+        "taylor continuum": lambda: models.with_continuum(lines, channels, 1, 1.41e9),
+    }[kind]()
+    basis = np.eye(n_chan) if kind == "classic" else basis
+    x = np.linspace(first, 1.0, len(basis) * h * w).reshape(len(basis), h, w)
+    cube = np.einsum("kc,kyx->cyx", basis, x)
+    flat, seen = cube.reshape(n_chan, -1), np.arange(n_vis) % (h * w)
+    off = flat[:, seen][:, None, :] * factor - data.conj()
+    slope = np.zeros_like(flat)
+    slope[:, seen] = (np.conj(factor) * off).real.sum(1) / 4
+    below = np.maximum(-cube, 0)
+    loss = 0.5 * (abs(off) ** 2).sum() / 4 + lambda_pos * (below**2).sum()
+    gradient = np.einsum("kc,cyx->kyx", basis, slope.reshape(cube.shape) - 2 * lambda_pos * below)
+
+    obj = models.Objective(op, model, [models.Negativity(lambda_pos)] if lambda_pos else [])
+    table = image_table(spark, x) if kind == "classic" else coefficient_table(spark, x)
+    point = obj.evaluate(table)
+    assert point.loss == pytest.approx(loss, rel=1e-6)
+    got = dense(point.table, x.shape, "gradient")[0] if kind == "classic" else coefficients(point.table, x.shape, "gradient")
+    np.testing.assert_allclose(got, gradient, rtol=1e-6, atol=1e-5)
+    obj.close()
