@@ -17,6 +17,8 @@ from . import nufft
 
 #: Pixels of a plane up to which ``kernel="auto"`` sums over all of them; beyond, samples are gridded.
 SUM_PIXELS = 64 * 64
+#: Error of a transform, as a share of its largest value, that callers get unless they ask for another.
+TOLERANCE = 1e-7
 #: The matrix form sends images to tasks; beyond this many pixels it refuses them (a dish map of 8192 by 8192 has 2**26).
 MOST_PIXELS = 1 << 26
 
@@ -48,17 +50,18 @@ def _bounded(image: DataFrame, height: int, width: int) -> DataFrame:
     return F.broadcast(image)
 
 
-def degrid(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto", carried: tuple[str, ...] = ("vis_id", "chan", "beam")) -> DataFrame:
+def degrid(vis: DataFrame, image: DataFrame, height: int, width: int, cell: float, key: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto", carried: tuple[str, ...] = ("vis_id", "chan", "beam"), tolerance: float = TOLERANCE) -> DataFrame:
     """Model visibilities ``m_re``, ``m_im`` of each sample (``vis_id``, ``chan``, ``beam``, ``ur``, ``vr``), with its columns ``carried``.
 
     ``image`` has the columns of ``key`` that it depends on, y, x and value. The join form is a join on those keys and
     a sum, for planes of at most ``SUM_PIXELS``; the matrix form sends the image to the tasks and multiplies separable
-    phase factors; ``nufft`` grids, with an error of about 1e-7 and work that grows with samples plus pixels. ``auto`` is
-    the join for planes of few pixels. Spark broadcasts the image of a join with keys only if it is small.
+    phase factors; ``nufft`` grids, with an error near ``tolerance`` of the largest value and work that grows with samples
+    plus pixels. ``auto`` is the join, which is exact, for planes of few pixels, so results hold ``tolerance`` at any size.
+    Spark broadcasts the image of a join with keys only if it is small.
     """
     kernel = chosen_kernel(kernel, height, width)
     if kernel == "nufft":
-        return nufft.forward(vis, image, height, width, cell, key, carried=carried)
+        return nufft.forward(vis, image, height, width, cell, key, nufft.spread_for(tolerance), carried)
     if kernel == "matrix":
         return _degrid_matrix(vis, image, height, width, cell, key)
     on = [k for k in key if k in image.columns]
@@ -111,10 +114,10 @@ def _degrid_matrix(vis, image, height, width, cell, key):
     return vis.select("vis_id", "chan", "beam", "ur", "vr").mapInPandas(run, "vis_id long, chan int, beam int, m_re double, m_im double")
 
 
-def grid_adjoint(vis: DataFrame, pixels: DataFrame, height: int, width: int, cell: float, keys: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto") -> DataFrame:
+def grid_adjoint(vis: DataFrame, pixels: DataFrame, height: int, width: int, cell: float, keys: tuple[str, ...] = ("chan", "beam"), kernel: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
     """Adjoint of ``degrid`` for ``re``, ``im``: (keys, y, x, re, im). Partial sums a task, so one row a pixel and task is moved."""
     if chosen_kernel(kernel, height, width) == "nufft":
-        every = nufft.adjoint(vis, height, width, cell, keys)
+        every = nufft.adjoint(vis, height, width, cell, keys, nufft.spread_for(tolerance))
         return every.join(pixels.select("y", "x").distinct(), ["y", "x"], "left_semi").select(*keys, "y", "x", "re", "im")
     p = phase(height, width)
     both = vis.crossJoin(_bounded(pixels.select("y", "x"), height, width))
@@ -154,10 +157,10 @@ def reproject_adjoint(z: DataFrame, weights: DataFrame) -> DataFrame:
 class Measurement:
     """A and its adjoint over fixed visibilities: reprojection, primary beam and transform, by beam and channel."""
 
-    def __init__(self, vis: DataFrame, channels: DataFrame, pb: DataFrame, grid: DataFrame, height: int, width: int, cell: float, kernel: str = "auto"):
+    def __init__(self, vis: DataFrame, channels: DataFrame, pb: DataFrame, grid: DataFrame, height: int, width: int, cell: float, kernel: str = "auto", tolerance: float = TOLERANCE):
         self.vis, self.pb, self.grid = radpix(vis, channels, cell), pb, grid
         self.weights = interp(grid, height, width)
-        self.height, self.width, self.cell, self.kernel = height, width, cell, kernel
+        self.height, self.width, self.cell, self.kernel, self.tolerance = height, width, cell, kernel, tolerance
 
     def with_beams(self, pb: DataFrame, grid: DataFrame) -> Measurement:
         """The same operator with its primary beams and grids read from other tables."""
@@ -182,7 +185,7 @@ class Measurement:
     def forward(self, image: DataFrame) -> DataFrame:
         """(vis_id, chan, beam, m_re, m_im); flagged samples are 0."""
         good = self.vis.where(~F.col("flag"))
-        model = degrid(good, self.beam_images(image), self.height, self.width, self.cell, kernel=self.kernel)
+        model = degrid(good, self.beam_images(image), self.height, self.width, self.cell, kernel=self.kernel, tolerance=self.tolerance)
         out = self.vis.select("vis_id", "chan", "beam").join(model, ["vis_id", "chan", "beam"], "left")
         return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("m_re", "m_im")})
 
@@ -199,14 +202,14 @@ class Measurement:
 
     def back(self, good: DataFrame) -> DataFrame:
         """The adjoint for samples of which none is flagged."""
-        dirty = grid_adjoint(good, self.grid.select("y", "x").distinct(), self.height, self.width, self.cell, kernel=self.kernel)
+        dirty = grid_adjoint(good, self.grid.select("y", "x").distinct(), self.height, self.width, self.cell, kernel=self.kernel, tolerance=self.tolerance)
         p = self.pb.select("beam", "y", "x", F.col("value").alias("pb"))
         z = dirty.join(p, ["beam", "y", "x"]).withColumns({"re": F.col("re") * F.col("pb"), "im": F.col("im") * F.col("pb")})
         return reproject_adjoint(z, self.weights)
 
     def normal(self, good: DataFrame, image: DataFrame) -> DataFrame:
         """Aᴴ W A image for good samples with their inverse variance ``iv``: (chan, y, x, value). Samples are joined with nothing."""
-        t = degrid(good, self.beam_images(image), self.height, self.width, self.cell, kernel=self.kernel, carried=("chan", "beam", "ur", "vr", "iv"))
+        t = degrid(good, self.beam_images(image), self.height, self.width, self.cell, kernel=self.kernel, tolerance=self.tolerance, carried=("chan", "beam", "ur", "vr", "iv"))
         t = t.withColumns({"re": F.col("m_re") * F.col("iv"), "im": F.col("m_im") * F.col("iv")})
         return self.back(t).select("chan", "y", "x", F.col("re").alias("value"))
 

@@ -26,6 +26,13 @@ def _size(n: int, spread: int) -> int:
     return max(2 * n, 2 * spread)
 
 
+def spread_for(tolerance: float) -> int:
+    """Cells a sample that keep the error near ``tolerance`` of the largest value: 8 for 1e-7, 14 for rounding."""
+    if not 0 < tolerance < 1:
+        raise ValueError("the tolerance must lie between 0 and 1")
+    return min(max(math.ceil(1 - math.log10(tolerance) - 1e-9), 4), 14)
+
+
 def _beta(spread: int) -> float:
     return 2.3 * spread
 

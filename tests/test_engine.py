@@ -117,6 +117,15 @@ def test_gridding_over_many_tiles(spark, monkeypatch, part):
     assert "NestedLoop" not in joins and "Cartesian" not in joins
     with pytest.raises(ValueError):
         measure.degrid(seen, pixels, h, w, CELL, kernel="other")
+    with pytest.raises(ValueError):
+        measure.grid_adjoint(seen, pixels, h, w, CELL, kernel="join")  # too many pixels to meet every sample
+    assert [nufft.spread_for(t) for t in (1e-3, 1e-7, 1e-13, 1e-20)] == [4, 8, 14, 14]
+    if part == 7:
+        return
+    want = ((ev @ plane) * eu).sum(1) * CELL**2
+    for tolerance in (1e-4, 1e-12):
+        got = {r.vis_id: complex(r.m_re, r.m_im) for r in measure.degrid(seen, image_table(spark, plane[None]), h, w, CELL, tolerance=tolerance).collect()}
+        assert abs(np.array([got[i] for i in range(n)]) - want).max() < 5 * tolerance * abs(want).max()
 
 
 def test_gridding_where_the_last_tile_is_narrow(spark):
