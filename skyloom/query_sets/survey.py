@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest, spectra, spectral
+from ..operators import measure as me
 from .imaging import _RES, _RHS, CELL, INTERP, _good, adjoint_sql, forward_sql, operator, vis_sql
 from .registry import query, r
 
@@ -15,48 +16,57 @@ _HALF = "(select cast(ceil((max(y)+1)/2.0e0 - 0.5e0) as int) as h from fx_field)
 _AT = f"(v.ur*(i.x-{FIELD_WIDTH // 2})-v.vr*(i.y-h.h))"
 
 
+def _keyed(where: str = "true") -> str:
+    """``vis_sql`` on samples whose ids need no sort."""
+    return vis_sql(where).replace("fx_stokes", "fx_keyed")
+
+
+def _samples(v):
+    return me.radpix(v("fx_keyed").where("not flag"), v("fx_channel"), CELL)
+
+
 def field(v):
     """The growing image, its height and width."""
     image = v("fx_field")
     return image, image.agg(F.max("y")).first()[0] + 1, FIELD_WIDTH
 
 
-@query("q40_field", f"with {vis_sql('not flag')}, h as {_HALF} select v.vis_id, v.beam, v.chan, round(49.0e0*sum(i.value*cos{_AT}), 2)+0.0e0 as re, round(49.0e0*sum(i.value*sin{_AT}), 2)+0.0e0 as im from vis v cross join fx_field i cross join h group by v.vis_id, v.beam, v.chan")
+@query("q40_field", f"with {_keyed('not flag')}, h as {_HALF} select v.vis_id, v.beam, v.chan, round(49.0e0*sum(i.value*cos{_AT}), 2)+0.0e0 as re, round(49.0e0*sum(i.value*sin{_AT}), 2)+0.0e0 as im from vis v cross join fx_field i cross join h group by v.vis_id, v.beam, v.chan")
 def degrid_field(v):
     from ..operators import nufft
 
     image, h, w = field(v)
-    t = nufft.forward(_good(v), image, h, w, CELL, spread=SPREAD)
+    t = nufft.forward(_samples(v), image, h, w, CELL, spread=SPREAD)
     return t.select("vis_id", "beam", "chan", r("m_re", 2).alias("re"), r("m_im", 2).alias("im"))
 
 
-@query("q41_field", f"with {vis_sql('not flag')}, h as {_HALF}, p as (select y, x from fx_field) select v.beam, v.chan, i.y, i.x, round(49.0e0*sum(v.re*cos{_AT}+v.im*sin{_AT}), 3)+0.0e0 as re, round(49.0e0*sum(v.im*cos{_AT}-v.re*sin{_AT}), 3)+0.0e0 as im from vis v cross join p i cross join h group by v.beam, v.chan, i.y, i.x")
+@query("q41_field", f"with {_keyed('not flag')}, h as {_HALF}, p as (select y, x from fx_field) select v.beam, v.chan, i.y, i.x, round(49.0e0*sum(v.re*cos{_AT}+v.im*sin{_AT}), 3)+0.0e0 as re, round(49.0e0*sum(v.im*cos{_AT}-v.re*sin{_AT}), 3)+0.0e0 as im from vis v cross join p i cross join h group by v.beam, v.chan, i.y, i.x")
 def dirty_field(v):
     from ..operators import nufft
 
     image, h, w = field(v)
-    t = nufft.adjoint(_good(v), h, w, CELL, spread=SPREAD).join(image.select("y", "x"), ["y", "x"], "left_semi")
+    t = nufft.adjoint(_samples(v), h, w, CELL, spread=SPREAD).join(image.select("y", "x"), ["y", "x"], "left_semi")
     return t.select("beam", "chan", "y", "x", r("re", 3).alias("re"), r("im", 3).alias("im"))
 
 
-@query("q74_field", f"with {vis_sql('not flag')}, h as {_HALF}, d as (select v.vis_id, k.k, 49.0e0*sum(i.value*(1.0e0+k.k*i.x)*cos{_AT}) as re, 49.0e0*sum(i.value*(1.0e0+k.k*i.x)*sin{_AT}) as im from vis v cross join fx_field i cross join h cross join (select distinct k from fx_basis) k where v.beam = 0 group by v.vis_id, k.k) select vis_id, b.chan, round(sum(d.re*b.value), 0)+0.0e0 as re, round(sum(d.im*b.value), 0)+0.0e0 as im from d join fx_basis b on b.k = d.k join fx_channel c on c.chan = b.chan group by vis_id, b.chan")
+@query("q74_field", f"with {_keyed('not flag')}, h as {_HALF}, d as (select v.vis_id, k.k, 49.0e0*sum(i.value*(1.0e0+k.k*i.x)*cos{_AT}) as re, 49.0e0*sum(i.value*(1.0e0+k.k*i.x)*sin{_AT}) as im from vis v cross join fx_field i cross join h cross join (select distinct k from fx_basis) k group by v.vis_id, k.k) select vis_id, b.chan, round(sum(d.re*b.value), 0)+0.0e0 as re, round(sum(d.im*b.value), 0)+0.0e0 as im from d join fx_basis b on b.k = d.k join fx_channel c on c.chan = b.chan group by vis_id, b.chan")
 def channel_invariant_field(v):
-    """Three maps of the field, all channels, at the samples of one beam (the other beams' work is the same again in the SQL)."""
+    """Three maps of the field and every channel at all samples."""
     image, h, w = field(v)
     basis = v("fx_basis").join(v("fx_channel").select("chan"), "chan")
     coef = image.crossJoin(F.broadcast(basis.select("k").distinct())).select("k", "y", "x", (F.col("value") * (1 + F.col("k") * F.col("x"))).alias("value"))
-    t = spectral.mixed_visibilities(_good(v).where("beam = 0"), coef, basis, h, w, CELL, "nufft", SPREAD)
+    t = spectral.mixed_visibilities(_samples(v), coef, basis, h, w, CELL, "nufft", SPREAD)
     return t.select("vis_id", "chan", r("re", 0).alias("re"), r("im", 0).alias("im"))
 
 
 _BINS = "b as (select beam, chan, min(wl) as lo, max(wl) as hi from vis group by beam, chan), w as (select v.*, lo + (least(cast(floor((wl-lo)/((hi-lo)/5.0e0)) as int), 4)+0.5e0)*((hi-lo)/5.0e0) as wc from vis v join b on b.beam = v.beam and b.chan = v.chan)"
 
 
-@query("q77_field", f"with {vis_sql('not flag')}, {_BINS}, h as {_HALF}, i as (select y, x, value, ((y-h)*(y-h)+(x-{FIELD_WIDTH // 2})*(x-{FIELD_WIDTH // 2}))*pow(7.0e0*pi()/648000.0e0, 2.0e0) as r2, h from fx_field cross join h), h2 as (select * from h) select vis_id, v.beam, v.chan, round(49.0e0*sum(i.value*cos({_AT.replace('h.h', 'i.h')}+v.wc*pi()*r2)), 2)+0.0e0 as re, round(49.0e0*sum(i.value*sin({_AT.replace('h.h', 'i.h')}+v.wc*pi()*r2)), 2)+0.0e0 as im from w v cross join i group by vis_id, v.beam, v.chan")
+@query("q77_field", f"with {_keyed('not flag')}, {_BINS}, h as {_HALF}, i as (select y, x, value, ((y-h)*(y-h)+(x-{FIELD_WIDTH // 2})*(x-{FIELD_WIDTH // 2}))*pow(7.0e0*pi()/648000.0e0, 2.0e0) as r2, h from fx_field cross join h), h2 as (select * from h) select vis_id, v.beam, v.chan, round(49.0e0*sum(i.value*cos({_AT.replace('h.h', 'i.h')}+v.wc*pi()*r2)), 2)+0.0e0 as re, round(49.0e0*sum(i.value*sin({_AT.replace('h.h', 'i.h')}+v.wc*pi()*r2)), 2)+0.0e0 as im from w v cross join i group by vis_id, v.beam, v.chan")
 def w_planes_field(v):
     image, h, w = field(v)
     channels = image.crossJoin(F.broadcast(v("fx_channel").select("chan")))  # one sky for the seven channels
-    t = spectral.w_stacked(_good(v), channels, h, w, CELL, 5, ("beam", "chan"), "nufft", SPREAD)
+    t = spectral.w_stacked(_samples(v), channels, h, w, CELL, 5, ("beam", "chan"), "nufft", SPREAD)
     return t.select("vis_id", "beam", "chan", r("m_re", 2).alias("re"), r("m_im", 2).alias("im"))
 
 
