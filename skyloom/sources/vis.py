@@ -207,7 +207,7 @@ def write_set(path: str, main: DataFrame, channels: DataFrame, ra_deg: float, de
 
 
 def tar_members(spark: SparkSession, path: str, pattern: str = "*.tar") -> DataFrame:
-    """(archive, name, content) of every file in the archives of a folder, an archive a task."""
+    """(archive, name, content) of every file in the archives of a folder, an archive a task: for small ones. ``ranges.tar_pieces`` reads archives of any size, by range."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
