@@ -225,7 +225,7 @@ def w_stacking_all(v):
     return t.select("vis_id", "beam", "chan", r("m_re", 5).alias("re"), r("m_im", 5).alias("im"))
 
 
-@query("q83_all")
+@query("q83_all", f"with {vis_sql()}, {INTERP}, {_RHS}, {adjoint_sql('rhs_s', 'b')}, p as (select chan, y, x, re as value from b), {forward_sql('p', 'm')}, ns as (select v.chan, v.beam, v.ur, v.vr, m_re/(sigma*sigma) as re, m_im/(sigma*sigma) as im from vis v join m on m.vis_id = v.vis_id), {adjoint_sql('ns', 'n')}, s as (select p.chan, sum(p.value*p.value)/sum(p.value*n.re) as alpha from p join n on n.chan = p.chan and n.y = p.y and n.x = p.x group by p.chan) select p.chan, y, x, round(1000.0e0*alpha*value, 5)+0.0e0 as value from p join s on s.chan = p.chan")
 def conjugate_gradient_step_all(v):
     from ..plans import solvers
 
