@@ -25,3 +25,15 @@ def test_maps_are_read_at_once(spark, setup):  # noqa: F811
     assert got.keys() == want.keys() and len(got) == by_grid.count() == 120
     for at in want:
         assert got[at] == pytest.approx(want[at], abs=1e-7)
+
+
+def test_screens_move_the_image_once(spark, setup):  # noqa: F811
+    """Planes of more bins than a task makes at a time are made in tasks; no row a pixel and bin is planned."""
+    seen = operator(setup).vis.where("not flag").withColumn("ww", 3.0e3 * F.col("uu") + F.col("vis_id"))
+    image = image_table(spark, np.random.default_rng(3).normal(size=(2, H, W)))
+    by_grid, by_sum = (spectral.w_stacked(seen, image, H, W, CELL, 31, ("beam", "chan"), kernel, 14) for kernel in ("nufft", "join"))
+    assert "COS(" not in plan_of(by_grid).upper()
+    got, want = ({r.vis_id: (r.m_re, r.m_im) for r in t.collect()} for t in (by_grid, by_sum))
+    assert got.keys() == want.keys()
+    for at in want:
+        assert got[at] == pytest.approx(want[at], abs=1e-7)
