@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom import fixtures
 from skyloom.operators import spectral
 
 from .test_engine import CELL, H, W, image_table, operator, setup  # noqa: F401
@@ -37,3 +38,28 @@ def test_screens_move_the_image_once(spark, setup):  # noqa: F811
     assert got.keys() == want.keys()
     for at in want:
         assert got[at] == pytest.approx(want[at], abs=1e-7)
+
+
+@pytest.fixture()
+def uncoalesced(spark):
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k in changed:
+        spark.conf.set(k, changed[k])
+    yield spark
+    for k in changed:
+        spark.conf.set(k, before[k])
+
+
+def test_no_task_numbers_all_samples(uncoalesced, tmp_path):
+    """Ids equal those of the SQL, with keys that are far apart, below zero, repeated and missing, and many tasks give them."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    order = "case when i % 97 = 0 then null when i % 2 = 0 then i*37 - 20000 else i*1000003 end"
+    con.execute(f"create table lineitem as select cast({order} as bigint) as l_orderkey, cast(case when i % 89 = 0 then null else i % 7 + 1 end as int) as l_linenumber, cast(i*7 % 200 as bigint) as l_partkey, cast(i % 10 as bigint) as l_suppkey, timestamp '1995-01-01' + to_days(cast(i as int)) as l_shipdate, i*1.0e0 as l_extendedprice, 1.0e0 as l_quantity, 0.05e0 as l_discount, 0.02e0 as l_tax, 'R' as l_returnflag, 'O' as l_linestatus from range(3000) t(i)")
+    con.execute("insert into lineitem select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice + 0.5e0, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus from lineitem where l_suppkey = 3")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    want = con.execute(fixtures.oracle("select p1_re, vis_id from fx_vis")).fetchall()
+    got = fixtures.view(uncoalesced, str(tmp_path), "fx_vis").select("p1_re", "vis_id", F.spark_partition_id().alias("task")).collect()
+    assert {r.p1_re: r.vis_id for r in got} == dict(want) and len(got) == len(want) == 3300
+    assert len({r.task for r in got}) > 4
