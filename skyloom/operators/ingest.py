@@ -161,6 +161,22 @@ def merge(blocks: Sequence[DataFrame], centres: Sequence[DataFrame] = (), tolera
     return reduce(DataFrame.unionByName, blocks)
 
 
+def numbered(rows: DataFrame, first: str, then: str, width_bits: int = 12) -> DataFrame:
+    """Adds ``place``, from 1 in order of two whole-number columns, nulls last: no task sorts all rows.
+
+    Rows are numbered within 2**width_bits values of ``then``, after the rows before; only the list of these ranges is in one place.
+    """
+    at = {"__first": F.coalesce(F.col(first).cast("long"), F.lit((1 << 63) - 1)), "__range": F.coalesce(F.shiftright(F.col(then).cast("long"), width_bits), F.lit((1 << 63) - 1))}
+    ranges = list(at)
+    t = rows.withColumns(at)
+    n = F.col("n")
+    before = F.sum(n).over(Window.orderBy(*ranges)) - n
+    size = t.groupBy(*ranges).agg(F.count(F.lit(1)).alias("n")).select(*[F.col(c).alias(c) for c in ranges], before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*ranges).orderBy(F.col(first).asc_nulls_last(), F.col(then).asc_nulls_last()))
+    t = t.withColumn("__own", own).join(size, ranges)
+    return t.withColumn("place", (F.col("__before") + F.col("__own")).cast("long")).drop(*ranges, "__own", "__before")
+
+
 def beam_offsets(vis: DataFrame) -> DataFrame:
     """How many beams the blocks before each one have: (block, nbeam, offset)."""
     size = vis.groupBy("block").agg((F.max("beam") + 1).alias("nbeam"))

@@ -78,8 +78,7 @@ def one_channel(v):
 def flat_concat(v):
     vis = v("fx_stokes").where("chan = 1")
     both = op.merge([vis.where("block = 0"), vis.where("block = 1")])
-    # the order is the result: one block's channel is small
-    return both.select(F.row_number().over(Window.orderBy("beam", "vis_id")).cast("long").alias("place"), "vis_id", "beam", r(-F.col("im"), 6).alias("im"))
+    return op.numbered(both, "beam", "vis_id").select("place", "vis_id", "beam", r(-F.col("im"), 6).alias("im"))
 
 
 @query("q11", "select chan, y, x, round(value, 6)+0.0e0 as value from fx_image where chan in (1, 3, 4)")

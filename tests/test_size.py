@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom import fixtures
-from skyloom.operators import spectral
+from skyloom.operators import ingest, spectral
 
 from .test_engine import CELL, H, W, image_table, operator, setup  # noqa: F401
 
@@ -63,3 +63,12 @@ def test_no_task_numbers_all_samples(uncoalesced, tmp_path):
     got = fixtures.view(uncoalesced, str(tmp_path), "fx_vis").select("p1_re", "vis_id", F.spark_partition_id().alias("task")).collect()
     assert {r.p1_re: r.vis_id for r in got} == dict(want) and len(got) == len(want) == 3300
     assert len({r.task for r in got}) > 4
+
+
+def test_places_by_ranges(uncoalesced):
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 50 == 0 else int(rng.integers(4)), int(n)) for i, n in enumerate(rng.permutation(5000) * 3 - 4000)]
+    t = ingest.numbered(uncoalesced.createDataFrame(rows, "beam int, vis_id long"), "beam", "vis_id", 6)
+    got = t.select("beam", "vis_id", "place", F.spark_partition_id().alias("task")).collect()
+    assert [(r.beam, r.vis_id) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert sorted(r.place for r in got) == list(range(1, 5001)) and len({r.task for r in got}) > 4
