@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom import fixtures
-from skyloom.operators import ingest, spectral
+from skyloom.operators import ingest, measure, spectral
 
 from .test_engine import CELL, H, W, image_table, operator, setup  # noqa: F401
 
@@ -72,3 +72,29 @@ def test_places_by_ranges(uncoalesced):
     got = t.select("beam", "vis_id", "place", F.spark_partition_id().alias("task")).collect()
     assert [(r.beam, r.vis_id) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert sorted(r.place for r in got) == list(range(1, 5001)) and len({r.task for r in got}) > 4
+
+
+@pytest.mark.parametrize("most", [1 << 20, 4])
+def test_samples_are_not_dealt_by_plane(uncoalesced, setup, monkeypatch, most):  # noqa: F811
+    """Planes go to the samples, unless they are too many together; both ways give the same, and samples without a plane go."""
+    spark, op = uncoalesced, operator(setup)
+    image = image_table(spark, np.random.default_rng(4).normal(size=(1, H, W)))
+    maps = image.withColumnRenamed("chan", "k")
+    basis = spark.sql("select * from values (0, 0, 0.5d), (0, 1, 2d) as t(k, chan, value)")
+    good = op.vis.where("not flag").withColumn("iv", F.lit(1.0))
+    made = lambda: {
+        "degrid": measure.degrid(good, image, H, W, CELL),
+        "normal": operator(setup).normal(good, image),
+        "w_stacked": spectral.w_stacked(good, image, H, W, CELL, 3, ("beam", "chan")),
+        "mixed": spectral.mixed_visibilities(good, maps, basis, H, W, CELL),
+    }
+    rows = lambda t: {tuple(r[c] for c in t.columns if c not in ("m_re", "m_im", "re", "im", "value")): [r[c] for c in t.columns if c in ("m_re", "m_im", "re", "im", "value")] for r in t.collect()}
+    want = {name: rows(t) for name, t in made().items()}
+    monkeypatch.setattr(measure, "SENT_PIXELS", most, raising=False)
+    for name, t in made().items():
+        plan, got = plan_of(t), rows(t)
+        assert got.keys() == want[name].keys() and len(got) == {"degrid": 28, "normal": H * W, "w_stacked": 28, "mixed": 112}[name]
+        for at in got:
+            assert got[at] == pytest.approx(want[name][at], rel=1e-9, abs=1e-9)
+        if name != "normal":  # whose sums by pixel are dealt by their plane too
+            assert any(f"hashpartitioning({k}#" in plan for k in ("chan", "k")) == (most == 4), name
