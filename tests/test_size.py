@@ -1,10 +1,12 @@
 """What moves and what one task holds: these fail where a step would grow with the whole input."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom import fixtures
+from skyloom import fixtures, queries
 from skyloom.operators import ingest, measure, spectral
 
 from .test_engine import CELL, H, W, image_table, operator, setup  # noqa: F401
@@ -98,3 +100,31 @@ def test_samples_are_not_dealt_by_plane(uncoalesced, setup, monkeypatch, most):
             assert got[at] == pytest.approx(want[name][at], rel=1e-9, abs=1e-9)
         if name != "normal":  # whose sums by pixel are dealt by their plane too
             assert any(f"hashpartitioning({k}#" in plan for k in ("chan", "k")) == (most == 4), name
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def most_read(spark, run):
+    """The records that the busiest task of ``run`` reads from shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jobs = lambda: {j.jobId(): j for j in (store.jobsList(None).apply(i) for i in range(store.jobsList(None).size()))}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before, most = set(jobs()), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {job.stageIds().apply(i) for n, job in jobs().items() if n not in before for i in range(job.stageIds().size())}
+    for stage in stages:
+        tasks = store.taskList(stage, 0, 100000)
+        for i in range(tasks.size()):
+            m = tasks.apply(i).taskMetrics()
+            most = max(most, m.get().shuffleReadMetrics().recordsRead() if m.isDefined() else 0)
+    return most
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+@pytest.mark.parametrize("name", ["q83_solver"])
+def test_no_task_reads_half_of_the_samples(uncoalesced, name):
+    """60,000 samples in 15 ranges of keys and 8 partitions, in any job of the query."""
+    got = most_read(uncoalesced, lambda: queries.QUERIES[name](uncoalesced, SMALL).write.format("noop").mode("overwrite").save())
+    assert 1000 < got < 30000
