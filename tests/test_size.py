@@ -123,7 +123,7 @@ def most_read(spark, run):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
-@pytest.mark.parametrize("name", ["q83_solver", "q88_low_rank", "q03", "q83", "q83_all", "q83_joint", "q77", "q77_planes", "q40", "q40_nufft"])
+@pytest.mark.parametrize("name", ["q83_solver", "q88_low_rank", "q03", "q83", "q83_all", "q83_joint", "q77", "q77_planes", "q40", "q40_nufft", "q62_all"])
 def test_no_task_reads_half_of_the_samples(uncoalesced, name):
     """60,000 samples in 15 ranges of keys and 8 partitions, in any job of the query."""
     got = most_read(uncoalesced, lambda: queries.QUERIES[name](uncoalesced, SMALL).write.format("noop").mode("overwrite").save())
