@@ -45,7 +45,7 @@ def dirty_field(v):
     from ..operators import nufft
 
     image, h, w = field(v)
-    t = nufft.adjoint(_samples(v), h, w, CELL, spread=SPREAD).join(image.select("y", "x"), ["y", "x"], "left_semi")
+    t = nufft.adjoint(_samples(v), h, w, CELL, spread=SPREAD, pixels=image)
     return t.select("beam", "chan", "y", "x", r("re", 3).alias("re"), r("im", 3).alias("im"))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom import fixtures, queries
-from skyloom.operators import ingest, measure, spectral
+from skyloom.operators import ingest, measure, nufft, spectral
 
 from .test_engine import CELL, H, W, image_table, operator, setup  # noqa: F401
 
@@ -102,6 +102,36 @@ def test_samples_are_not_dealt_by_plane(uncoalesced, setup, monkeypatch, most):
             assert any(f"hashpartitioning({k}#" in plan for k in ("chan", "k")) == (most == 4), name
 
 
+def test_tall_columns_are_transformed_a_few_at_a_time(uncoalesced, monkeypatch):
+    """No task of the adjoint holds more of a plane than COLUMN_PIXELS, and results don't move to meet the wanted pixels."""
+    rng, (h, w, n) = np.random.default_rng(11), (150, 20, 300)
+    monkeypatch.setattr(nufft, "COLUMN_PIXELS", 3 * h)
+    plain = nufft._to_pixels
+
+    def watched(size, *how):
+        run = plain(size, *how)
+
+        def change(block):
+            assert size != h or len(block) <= 3
+            return run(block)
+
+        return change
+
+    monkeypatch.setattr(nufft, "_to_pixels", watched)
+    u, v, d = rng.uniform(-3, 3, n), rng.uniform(-3, 3, n), rng.normal(size=(n, 2)) @ [1, 1j]
+    d[200:] = 0  # nothing is seen in the second plane
+    seen = uncoalesced.createDataFrame([(int(i >= 200), None, float(u[i]), float(v[i]), float(d[i].real), float(d[i].imag)) for i in range(n)], "chan int, beam int, ur double, vr double, re double, im double")
+    wanted = [(int(p) // w, int(p) % w) for p in rng.choice(h * w, 1000, replace=False)]
+    pixels = uncoalesced.createDataFrame([*wanted, *wanted[:9], (h, 1), (3, -1), (None, 2)], "y int, x int")
+    t = measure.grid_adjoint(seen, pixels, h, w, CELL, kernel="nufft")
+    got = t.collect()
+    assert "Semi" not in plan_of(t) and len(got) == 2000 and {(r.y, r.x) for r in got} == set(wanted)
+    want = CELL**2 * np.exp(1j * np.outer(np.arange(h) - h // 2, v)) @ (d[:, None] * np.exp(-1j * np.outer(u, np.arange(w) - w // 2)))
+    for r in got:
+        assert complex(r.re, r.im) == pytest.approx(0 if r.chan else want[r.y, r.x], abs=1e-5 * abs(want).max())
+    assert nufft.adjoint(seen.where("chan = 0"), h, w, CELL).count() == h * w
+
+
 SMALL = "/root/testdata/sf0.01"
 
 
