@@ -28,8 +28,7 @@ def _dot(a, b) -> Column:
 def conjugate_gradient(obj: Objective, start: DataFrame | None = None, iterations: int = 20, tol: float = 1e-6, atol: float = 0.0) -> DataFrame:
     """For linear models and quadratic terms. Stops where the residual's norm is at most max(atol, tol·|b|), or p·Np vanishes."""
     keys, scratch = obj.keys, obj.scratch
-    zeros = obj.zeros()
-    flat = obj.evaluate(zeros, False).table
+    flat = obj.flat()
     first = flat if start is None else obj.evaluate(start, False).table
     least = max(atol, tol * math.sqrt(_sums(flat, b=_dot("gradient", "gradient"))["b"]))
     state = first.select(*keys, F.col("value").alias("vx"), (-F.col("gradient")).alias("vr"), (-F.col("gradient")).alias("vp"))

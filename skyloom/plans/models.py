@@ -6,7 +6,7 @@ cube's gradient back to them; terms act on the cube or on the parameters. Any of
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -258,11 +258,11 @@ class Objective:
         self.op = op = op.with_beams(self.scratch.save(op.pb), self.scratch.save(op.grid))
         sigma = F.greatest("sigma", F.lit(sigma_floor))
         im = -F.col("im") if conjugate else F.col("im")
-        good = op.vis.where(~F.col("flag")).select("vis_id", "chan", "beam", "ur", "vr", "re", im.alias("im"), (1 / (sigma * sigma)).alias("iv"))
+        ids = [] if op.in_tasks else ["vis_id"]
+        good = op.vis.where(~F.col("flag")).select(*ids, "chan", "beam", "ur", "vr", "re", im.alias("im"), (1 / (sigma * sigma)).alias("iv"))
         self.good = self.scratch.save(good)
-        iv = F.col("iv")
-        self.constant = self.good.agg(F.sum(0.5 * iv * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))).first()[0] or 0.0
-        self.rhs = self.scratch.save(op.back(self.good.withColumns({"re": F.col("re") * iv, "im": F.col("im") * iv})).select(*PIXEL, F.col("re").alias("rhs")))
+        self.constant = self.good.agg(F.sum(0.5 * F.col("iv") * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))).first()[0] or 0.0
+        self.rhs = self.scratch.save(op.weighted(self.good).select(*PIXEL, F.col("re").alias("rhs")))
         self._flat: DataFrame | None = None
 
     def zeros(self) -> DataFrame:
@@ -274,11 +274,21 @@ class Objective:
 
     def evaluate(self, params: DataFrame, with_loss: bool = True) -> Point:
         """``params`` should be a table, or a projection of one: it is read several times."""
+        return self._evaluate(params, with_loss, self.op.normal)
+
+    def flat(self) -> DataFrame:
+        """The gradient at zero: (keys, value, gradient). A linear model's cube is 0 there, so no sample is read."""
+        if self._flat is None:
+            nothing = lambda good, cube: cube.select(*PIXEL, F.lit(0.0).alias("value"))
+            self._flat = self._evaluate(self.zeros(), False, nothing if self.model.linear else self.op.normal).table
+        return self._flat
+
+    def _evaluate(self, params: DataFrame, with_loss: bool, normal_of: Callable) -> Point:
         params = params.select(*self.keys, "value")
         cube, made = self.model.cube(params), []
         if not isinstance(self.model, Cube):
             made.append(cube := self.scratch.save(cube))
-        data = cube.join(self.op.normal(self.good, cube).withColumnRenamed("value", "normal"), list(PIXEL), "left").join(self.rhs, list(PIXEL), "left")
+        data = cube.join(normal_of(self.good, cube).withColumnRenamed("value", "normal"), list(PIXEL), "left").join(self.rhs, list(PIXEL), "left")
         zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
         data = self.scratch.save(data.select(*PIXEL, "value", zero("normal"), zero("rhs")))
         made.append(data)
@@ -299,9 +309,8 @@ class Objective:
 
     def curvature(self, direction: DataFrame) -> DataFrame:
         """The Hessian times a direction, where the gradient is linear in the parameters: (keys, value)."""
-        if self._flat is None:
-            self._flat = self.evaluate(self.zeros(), False).table.select(*self.keys, F.col("gradient").alias("flat"))
-        t = self.evaluate(direction, False).table.join(self._flat, self.keys, "left")
+        flat = self.flat().select(*self.keys, F.col("gradient").alias("flat"))
+        t = self.evaluate(direction, False).table.join(flat, self.keys, "left")
         return t.select(*self.keys, (F.col("gradient") - F.col("flat")).alias("value"))
 
     def close(self) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, spectra, spectral
 from ..operators import measure as me
-from .imaging import _RES, _RHS, CELL, INTERP, _good, adjoint_sql, forward_sql, operator, vis_sql
+from .imaging import _RES, _RHS, CELL, INTERP, _good, adjoint_sql, forward_sql, vis_sql
 from .registry import query, r
 
 FIELD_WIDTH = 100
@@ -80,6 +80,12 @@ def w_planes(v):
 # ---------------------------------------------------------------- solvers and models
 
 
+def _unsorted(v):
+    """The operator for an objective: it writes good samples once, so ids need no order, and most need none at all."""
+    vis = v("fx_sky").withColumn("vis_id", F.monotonically_increasing_id())
+    return me.Measurement(vis, v("fx_channel"), v("fx_pb"), v("fx_grid"), 8, 8, CELL)
+
+
 def _cg_sql(iterations: int) -> str:
     """The conjugate-gradient iterates from zero, written out: x, r, p and their scalars, one after the other."""
     m = "as materialized"
@@ -99,7 +105,7 @@ def conjugate_gradient(v):
     from ..plans import iterative, models
 
     channels = [row["chan"] for row in v("fx_channel").select("chan").collect()]
-    obj = models.Objective(operator(v), models.Cube(channels))
+    obj = models.Objective(_unsorted(v), models.Cube(channels))
     t = iterative.conjugate_gradient(obj, iterations=3)
     return t.select("chan", "y", "x", r(1000 * F.col("value"), 4).alias("value"))
 
@@ -113,7 +119,7 @@ def low_rank_gradient(v):
     from ..plans import models
 
     lines = v("fx_basis").where("k < 2").join(v("fx_channel").select("chan"), "chan").select("k", "chan", "value")
-    obj = models.Objective(operator(v), models.with_continuum(lines, v("fx_channel")), [models.Negativity(0.3)])
+    obj = models.Objective(_unsorted(v), models.with_continuum(lines, v("fx_channel")), [models.Negativity(0.3)])
     start = v("fx_image").where("chan < 3").select(F.col("chan").alias("k"), "y", "x", "value")
     return obj.evaluate(start, False).table.select("k", "y", "x", r("gradient", 1).alias("gradient"))
 
@@ -126,7 +132,7 @@ def mixture_gradient(v):
     """The gradient of a free Gaussian a pixel by its height, centre and width."""
     from ..plans import models
 
-    obj = models.Objective(operator(v), models.GaussianMixture(v("fx_channel"), 1))
+    obj = models.Objective(_unsorted(v), models.GaussianMixture(v("fx_channel"), 1))
     plane = v("fx_image").where("chan = 0")
     maps = [(0, 1.0 + F.col("value")), (1, 3.0 + 0.1 * F.col("x")), (2, 1.0 + 0.2 * F.col("y"))]
     start = plane.select("y", "x", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("value")) for k, c in maps]))).select("k", "y", "x", "value")

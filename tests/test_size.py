@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom import fixtures, queries
 from skyloom.operators import ingest, measure, nufft, spectral
+from skyloom.plans import iterative, models, solvers
 
 from .test_engine import CELL, H, W, image_table, operator, setup  # noqa: F401
 
@@ -166,6 +167,43 @@ def test_pixels_outside_their_plane_are_not_sent(spark):
         measure.sent_planes(spark.createDataFrame([(0, H, 0, 1.0)], "k int, y int, x int, value double"), H, W, ["k"])
 
 
+@pytest.mark.parametrize("most", [1 << 20, 4])
+def test_an_iteration_is_one_pass_and_moves_no_sample(uncoalesced, setup, monkeypatch, most):  # noqa: F811
+    """Three iterations read the samples three times, where they are; planes too many to send are joined as before."""
+    monkeypatch.setattr(measure, "SENT_PIXELS", most)
+    passes, normal = [], measure.Measurement.normal
+    monkeypatch.setattr(measure.Measurement, "normal", lambda op, good, image: passes.append(normal(op, good, image)) or passes[-1])
+    obj = models.Objective(operator(setup), models.Cube([0, 1]))
+    try:
+        got = {(r.chan, r.y, r.x): r.value for r in iterative.conjugate_gradient(obj, iterations=3, tol=0.0).collect()}
+        assert len(passes) == 3
+        assert ("vis_id" in plan_of(passes[0])) == ("vis_id" in obj.good.columns) == (most == 4)
+    finally:
+        obj.close()
+    problem = solvers.Problem(operator(setup), [0, 1])
+    want = solvers.conjugate_gradient(problem, np.zeros(problem.shape), iterations=3, tol=0.0)
+    assert len(got) == want.size
+    for at, value in got.items():
+        assert value == pytest.approx(want[at], rel=1e-9, abs=1e-12)
+
+
+def test_sums_in_tasks_leave_out_what_is_unknown(spark):
+    """As sums in SQL do: samples without an angle, a value or a plane add nothing."""
+    rows = [(0, 0, 0.3, -0.2, 1.0, 2.0, 0.5), (0, 0, None, 0.1, 1.0, 1.0, 1.0), (0, 0, 0.1, 0.1, None, 1.0, None), (0, None, 0.1, 0.1, 1.0, 1.0, 1.0), (1, 5, 0.2, 0.4, 3.0, 1.0, 2.0)]
+    good = spark.createDataFrame(rows, "chan int, beam int, ur double, vr double, re double, im double, iv double")
+    seen = lambda u, v: np.exp(1j * (u * (np.arange(W) - W // 2) - v * (np.arange(H) - H // 2)[:, None]))
+    plane = np.random.default_rng(13).normal(size=(H, W))
+    model = 0.5 * CELL**2 * (plane * seen(0.3, -0.2)).sum()
+    wants = [(None, {(0, 0): (1 + 2j) * seen(0.3, -0.2).conj(), (1, 5): (3 + 1j) * seen(0.2, 0.4).conj()}), ({(0, 0): plane, (2, 0): plane}, {(0, 0): model * seen(0.3, -0.2).conj()})]
+    for planes, want in wants:
+        rows = measure.summed_in_tasks(good, H, W, CELL, planes).groupBy("chan", "beam", "y", "x").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).collect()
+        assert {(r.chan, r.beam) for r in rows} == want.keys() and len(rows) == len(want) * H * W
+        for r in rows:
+            assert complex(r.re, r.im) == pytest.approx(CELL**2 * want[r.chan, r.beam][r.y, r.x], rel=1e-9)
+    with pytest.raises(ValueError):
+        measure.summed_in_tasks(good, 65, 64, CELL)
+
+
 SMALL = "/root/testdata/sf0.01"
 
 
