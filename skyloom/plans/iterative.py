@@ -1,4 +1,5 @@
-"""Solvers whose vectors are tables: a few numbers an iteration reach the driver, images never do.
+"""Solvers whose vectors are tables: a few numbers an iteration reach the driver, and images only
+where all their planes are small (``measure.SENT_PIXELS``) and are sent from there to the samples.
 
 Vectors are DataFrames of a row a pixel, written to the shared folder once an iteration, which cuts lineage and lets a lost
 executor's work be done again from the last iterate. Dot products are aggregates. L-BFGS keeps its pairs as two

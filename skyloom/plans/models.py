@@ -247,7 +247,7 @@ class Objective:
     """Half the weighted squares of model minus data, and terms on the cube and on the parameters.
 
     Good samples are written once, with their weights. An evaluation is one pass over them (degrid, weigh, grid) and a
-    few over pixels; only sums reach the driver. The data's loss follows from pixels too: x·Nx/2 - x·b + c.
+    few over pixels; only sums and small planes reach the driver. The data's loss follows from pixels too: x·Nx/2 - x·b + c.
     """
 
     def __init__(self, op: measure.Measurement, model, terms: Iterable = (), priors: Iterable = (), conjugate: bool = True, sigma_floor: float = 0.0):
@@ -256,13 +256,14 @@ class Objective:
         self.scratch = Scratch(self.spark, "imaging")
         # beams and grids as tables: evaluations read them and not what they were made from
         self.op = op = op.with_beams(self.scratch.save(op.pb), self.scratch.save(op.grid))
+        op.by_tasks = True
         sigma = F.greatest("sigma", F.lit(sigma_floor))
         im = -F.col("im") if conjugate else F.col("im")
-        ids = [] if op.in_tasks else ["vis_id"]
-        good = op.vis.where(~F.col("flag")).select(*ids, "chan", "beam", "ur", "vr", "re", im.alias("im"), (1 / (sigma * sigma)).alias("iv"))
+        good = op.vis.where(~F.col("flag")).select("vis_id", "chan", "beam", "ur", "vr", "re", im.alias("im"), (1 / (sigma * sigma)).alias("iv"))
         self.good = self.scratch.save(good)
-        self.constant = self.good.agg(F.sum(0.5 * F.col("iv") * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))).first()[0] or 0.0
-        self.rhs = self.scratch.save(op.weighted(self.good).select(*PIXEL, F.col("re").alias("rhs")))
+        iv = F.col("iv")
+        self.constant = self.good.agg(F.sum(0.5 * iv * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))).first()[0] or 0.0
+        self.rhs = self.scratch.save(op.back(self.good.withColumns({"re": F.col("re") * iv, "im": F.col("im") * iv})).select(*PIXEL, F.col("re").alias("rhs")))
         self._flat: DataFrame | None = None
 
     def zeros(self) -> DataFrame:

@@ -81,7 +81,7 @@ def w_planes(v):
 
 
 def _unsorted(v):
-    """The operator for an objective: it writes good samples once, so ids need no order, and most need none at all."""
+    """The operator for an objective, which writes good samples once: their ids need no order."""
     vis = v("fx_sky").withColumn("vis_id", F.monotonically_increasing_id())
     return me.Measurement(vis, v("fx_channel"), v("fx_pb"), v("fx_grid"), 8, 8, CELL)
 
